@@ -4,7 +4,7 @@ import importlib
 
 #: Modules with QUERIES and ORACLE_SQL.
 MODULES = (
-    "near_duplicates",
+    "url_filter", "mixing", "near_duplicates",
 )
 
 
