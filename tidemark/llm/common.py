@@ -55,3 +55,8 @@ def crc_mod(id_col: Column, n: int) -> Column:
 def small(df: DataFrame, limit: int = BROADCAST_ROWS) -> bool:
     """True if df has at most limit rows; counts no further than that."""
     return df.limit(limit + 1).count() <= limit
+
+
+def sized(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
+    """df, marked for broadcast if a count shows that it has at most limit rows; else joins on it shuffle, and AQE splits hot keys."""
+    return F.broadcast(df) if small(df, limit) else df

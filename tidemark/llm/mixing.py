@@ -10,7 +10,7 @@ whole copies: the integer part for all, one more for a source's documents in the
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import WORD, keep, table
+from tidemark.llm.common import WORD, keep, sized, table
 
 #: Weights by the sources' order, repeating.
 WEIGHTS = (5, 2, 1)
@@ -91,7 +91,7 @@ def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, cap: float = CAP
     # The part in which the extra copies end, and the tokens that it may still give.
     edge = edge.where("p.upto > r.more and p.upto - p.tokens <= r.more").select("p.source", "p.base", F.col("part").alias("last"), (F.col("more") - F.col("upto") + F.col("p.tokens")).alias("left"))
     plan = rates.alias("r").join(edge.alias("e"), same("r", "e"), "left").select("r.source", "r.base", "source_size", "target", "copies", F.coalesce("last", F.lit(PARTS)).alias("last"), F.coalesce("left", F.lit(0.0)).alias("left"))
-    doc = slim.alias("d").join(plan.alias("t"), same("d", "t")).select("doc_id", "d.source", "d.base", "size", "h", "part", "source_size", "target", "copies", "last", "left")
+    doc = slim.alias("d").join(sized(keep(plan, "plan")).alias("t"), same("d", "t")).select("doc_id", "d.source", "d.base", "size", "h", "part", "source_size", "target", "copies", "last", "left")
     within = Window.partitionBy("source", "base", "part").orderBy("h", "size")
     # Only the last part of each source is ordered; what lies before it is taken, what lies after is not.
     ends = doc.where("part = last").withColumn("extra", (F.sum("size").over(within) <= F.col("left") + 1e-3).cast("long"))
