@@ -8,7 +8,7 @@ aligned and compared word by word, and the overlap counts if enough of the align
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import keep, small, table, words
+from tidemark.llm.common import keep, small, table
 
 #: Picked positions are 1. All masks have the same span.
 MASKS = ("11011001101", "10110111011")
@@ -20,23 +20,20 @@ BROADCAST_WINDOWS = 1_000_000
 
 
 def tokens(text: Column) -> Column:
-    """Lower-cased words without punctuation at their ends; words of punctuation only are dropped."""
-    bare = F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"(?<![^\x20\x09-\x0D])[^\p{L}\p{N}\x20\x09-\x0D]+|[^\p{L}\p{N}\x20\x09-\x0D]+(?![^\x20\x09-\x0D])", "")
-    return words(bare)
-
-
-def window_hashes(w: Column) -> Column:
-    """Array of (hash, pos) structs: for each mask and each window of SPAN words, the hash of the picked words."""
-    n = F.size(w) - SPAN
-    picked = [[i for i, c in enumerate(m) if c == "1"] for m in MASKS]
-    of = lambda i, k: F.xxhash64(F.lit(k), *[F.get(w, i + j) for j in picked[k]])
-    return F.when(n >= 0, F.transform(F.sequence(F.lit(0), n), lambda i: F.array(*[of(i, k) for k in range(len(MASKS))])))
+    """Lower-cased runs of letters and digits."""
+    return F.array_remove(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+"), "")
 
 
 def _windows(df: DataFrame, *cols: str) -> DataFrame:
-    """df has words; a row per window and mask with hash and pos."""
-    at = df.select(*cols, F.posexplode(window_hashes(F.col("words"))).alias("pos", "hashes"))
-    return at.select(*cols, "pos", F.explode("hashes").alias("hash"))
+    """df has words; a row with pos and hash for each window of SPAN words and each mask.
+
+    Positions are exploded first, so the hashes are computed in generated code and not inside a lambda.
+    """
+    starts = F.when(F.size("words") >= SPAN, F.sequence(F.lit(0), F.size("words") - SPAN))
+    at = df.select(*{*cols, "words"}, F.explode(starts).alias("pos"))
+    picked = [[i for i, c in enumerate(m) if c == "1"] for m in MASKS]
+    hashes = [F.xxhash64(F.lit(k), *[F.get("words", F.col("pos") + j) for j in js]) for k, js in enumerate(picked)]
+    return at.select(*cols, "pos", F.explode(F.array(*hashes)).alias("hash"))
 
 
 def overlap(doc: Column, item: Column, at: Column, start: Column) -> Column:
@@ -92,8 +89,7 @@ def op3_spaced_seed_decontamination(spark, sf_dir):
 
 QUERIES = {"op3_spaced_seed_decontamination": op3_spaced_seed_decontamination}
 
-_TOKENS = r"""list_filter(regexp_split_to_array(regexp_replace(' ' || regexp_replace(regexp_replace(lower(coalesce(text, '')), '[\x20\x09-\x0D]+', '  ', 'g'),
-  ' [^\p{L}\p{N} ]+', ' ', 'g') || ' ', '[^\p{L}\p{N} ]+ ', ' ', 'g'), ' +'), lambda x: x <> '')"""
+_TOKENS = r"list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\p{L}\p{N}]+'), lambda x: x <> '')"
 
 
 def _sql_seeds(name: str, key: str, source: str) -> str:
