@@ -105,31 +105,54 @@ def _signatures(shingle: int, bands: int, rows: int):
     return run
 
 
-def _verified(shingle: int, percent: int):
+def _overlaps(shingle: int):
     def run(batches):
         import numpy as np
         import pyarrow as pa
 
         memo, last = _WordHash(), (None, None)
         for batch in batches:
-            hit = []
+            found = []
             for a, b in zip(batch.column(2).cast(pa.binary()).to_pylist(), batch.column(3).cast(pa.binary()).to_pylist(), strict=True):
                 if last[0] != a:
                     last = (a, shingle_set(a, shingle, memo))
                 s, t = last[1], shingle_set(b, shingle, memo)
-                both = np.intersect1d(s, t, assume_unique=True).size
-                hit.append(100 * both >= percent * (len(s) + len(t) - both) and both > 0)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(hit, pa.bool_()))
+                found.append((np.intersect1d(s, t, assume_unique=True).size, len(s), len(t)))
+            counts = np.array(found, np.int64).reshape(-1, 3)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *[pa.array(counts[:, k]) for k in range(3)]], names=["a", "b", "both", "size_a", "size_b"])
 
     return run
 
 
-def _links(pairs: DataFrame, texts: DataFrame, shingle: int, percent: int) -> DataFrame:
-    """The pairs whose full shingle sets reach the threshold."""
-    left = texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a"))
-    right = texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b"))
+def _tested(pairs: DataFrame, texts: DataFrame, shingle: int) -> DataFrame:
+    """a, b, both, size_a, size_b: the sizes of the full shingle sets of each pair and of what they share."""
+    left = texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")).hint("merge")
+    right = texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")).hint("merge")
     both = pairs.join(left, "a").join(right, "b").select("a", "b", "text_a", "text_b")
-    return both.mapInArrow(_verified(shingle, percent), "a long, b long")
+    return both.mapInArrow(_overlaps(shingle), "a long, b long, both long, size_a long, size_b long")
+
+
+def _linked(tested: DataFrame, percent: int) -> DataFrame:
+    return tested.where(f"both > 0 and 100 * both >= {percent} * (size_a + size_b - both)").select("a", "b")
+
+
+def _sets(shingle: int):
+    def run(batches):
+        import pyarrow as pa
+
+        memo = _WordHash()
+        for batch in batches:
+            sets = [shingle_set(t, shingle, memo).view("int64") for t in batch.column(1).cast(pa.binary()).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["rep", "s"])
+
+    return run
+
+
+def _shared_counts(texts: DataFrame, shingle: int) -> DataFrame:
+    """rep, common: how many shingles of a text occur in another text of the table. No pair of it can share more."""
+    each = texts.mapInArrow(_sets(shingle), "rep long, s array<long>").select("rep", F.explode("s").alias("g"))
+    twice = each.groupBy("g").agg(F.count("*").alias("n")).where("n > 1").select("g")
+    return each.join(twice.hint("merge"), "g", "left_semi").groupBy("rep").agg(F.count("*").alias("common"))
 
 
 def connected(edges: DataFrame, name: str = "components") -> DataFrame:
@@ -150,6 +173,39 @@ def connected(edges: DataFrame, name: str = "components") -> DataFrame:
             return labels
 
 
+def _open_pairs(shared: DataFrame, classes: DataFrame, comps: DataFrame, star: DataFrame, texts: DataFrame, shingle: int, percent: int) -> DataFrame:
+    """Pairs (a, b) that share a bucket, lie in different components and may still reach the threshold.
+
+    Three exact bounds leave out what cannot: the sets' sizes; the numbers of their shingles that occur in any other text
+    here; and the triangle inequality of the Jaccard distance with the bucket's leader, to which all distances are known. A pair
+    is given once, in the first bucket that it shares.
+    """
+    comps = comps.withColumnRenamed("id", "rep")
+    at = shared.join(comps, "rep", "left").withColumn("comp", F.coalesce("comp", "rep"))
+    mixed = at.groupBy("bucket").agg(F.min("comp").alias("least"), F.max("comp").alias("most")).where("least <> most").select("bucket")
+    at = keep(at.join(mixed, "bucket", "left_semi"), "mixed")
+    reps = at.select(F.col("rep").alias("doc_id")).distinct()
+    common = _shared_counts(texts.join(reps.hint("merge"), "doc_id", "left_semi"), shingle)
+    far = star.select(F.col("a").alias("lead"), F.col("b").alias("rep"), (1 - F.col("both") / (F.col("size_a") + F.col("size_b") - F.col("both"))).alias("far")).groupBy("lead", "rep").agg(F.min("far").alias("far"))
+    sets = classes.join(common, "rep").groupBy("rep").agg(F.max("n_shingles").alias("n"), F.max("common").alias("common"), F.first("bands").alias("bands"))
+    # A text whose shared shingles are too few for any link leaves here; so do the leaders, tested with all of their bucket.
+    sets = sets.where(f"100 * common >= {percent} * n")
+    at = keep(at.where("rep <> lead").join(far, ["lead", "rep"]).join(sets, "rep").select("bucket", "rep", "comp", "far", "n", "common", "bands"), "open")
+    x, y = at.alias("x"), at.alias("y")
+    least = F.least("x.common", "y.common")
+    before = lambda s: F.slice(f"{s}.bands", F.lit(1), F.array_position(f"{s}.bands", F.col(f"{s}.bucket")).cast("int") - 1)
+    fits = (
+        (F.col("x.bucket") == F.col("y.bucket"))
+        & (F.col("x.rep") < F.col("y.rep"))
+        & (F.col("x.comp") != F.col("y.comp"))
+        & (100 * F.least("x.n", "y.n") >= percent * F.greatest("x.n", "y.n"))
+        & (100 * least >= percent * (F.col("x.n") + F.col("y.n") - least))
+        & (F.abs(F.col("x.far") - F.col("y.far")) <= 1 - percent / 100 + 1e-9)
+        & ~F.arrays_overlap(before("x"), before("y"))
+    )
+    return x.join(y, fits).select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b")).distinct()
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, percent: int = 85) -> DataFrame:
     """One row per row of docs: doc_id, n_shingles, component_id, kept.
 
@@ -168,29 +224,21 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     named = sigs.where("doc_id is not null and n_shingles > 0")
     classes = keep(named.groupBy("f1", "f2", "n_shingles").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands")), "classes")
 
-    buckets = classes.select("rep", "n_shingles", F.explode("bands").alias("bucket"))
+    buckets = classes.select("rep", F.explode("bands").alias("bucket"))
     lead = buckets.groupBy("bucket").agg(F.min("rep").alias("lead"), F.count("*").alias("n")).where("n > 1").select("bucket", "lead")
     shared = keep(buckets.join(lead, "bucket"), "buckets")
-    star = keep(shared.where("rep <> lead").select(F.col("lead").alias("a"), F.col("rep").alias("b")).distinct(), "stars")
-    ids = star.select(F.col("a").alias("doc_id")).union(star.select("b")).distinct()
-    texts = keep(docs.join(ids, "doc_id", "left_semi"), "texts")
+    star = shared.where("rep <> lead").select(F.col("lead").alias("a"), F.col("rep").alias("b")).distinct()
+    ids = shared.select(F.col("rep").alias("doc_id")).distinct()
+    texts = keep(docs.join(ids.hint("merge"), "doc_id", "left_semi"), "texts")
 
     twice = named.join(classes.drop("bands"), ["f1", "f2", "n_shingles"]).select("doc_id", "rep")
     split = twice.groupBy("doc_id").agg(F.min("rep").alias("a"), F.max("rep").alias("z")).where("a <> z").select("doc_id", "a")
     same_id = twice.join(split, "doc_id").where("rep <> a").select("a", F.col("rep").alias("b"))
 
-    edges = keep(_links(star, texts, shingle, percent).union(same_id), "links")
+    star = keep(_tested(star, texts, shingle), "stars")
+    edges = keep(_linked(star, percent).union(same_id), "links")
     comps = connected(edges)
-
-    # Pairs of a bucket that are not joined yet, apart from those tested above.
-    where = shared.join(comps.withColumnRenamed("id", "rep"), "rep", "left").select("bucket", "rep", "n_shingles", F.coalesce("comp", "rep").alias("comp"))
-    mixed = where.groupBy("bucket").agg(F.min("comp").alias("least"), F.max("comp").alias("most")).where("least <> most").select("bucket")
-    where = where.join(mixed, "bucket", "left_semi")
-    x, y = where.alias("x"), where.alias("y")
-    fits = (100 * F.col("y.n_shingles") >= percent * F.col("x.n_shingles")) & (100 * F.col("x.n_shingles") >= percent * F.col("y.n_shingles"))
-    open_pairs = x.join(y, (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.rep") < F.col("y.rep")) & (F.col("x.comp") != F.col("y.comp")) & fits)
-    open_pairs = open_pairs.select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b")).distinct().join(star, ["a", "b"], "left_anti")
-    more = keep(_links(open_pairs, texts, shingle, percent), "more-links")
+    more = keep(_linked(_tested(_open_pairs(shared, classes, comps, star, texts, shingle, percent), texts, shingle), percent), "more-links")
     if more.limit(1).count():
         comps = connected(edges.union(more))
 
