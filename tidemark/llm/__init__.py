@@ -4,7 +4,7 @@ import importlib
 
 #: Modules with QUERIES and ORACLE_SQL.
 MODULES = (
-    "url_filter", "mixing", "decontaminate", "near_duplicates", "quality_rules",
+    "url_filter", "mixing", "decontaminate", "pii", "near_duplicates", "quality_rules",
 )
 
 
