@@ -4,7 +4,7 @@ import importlib
 
 #: Modules with QUERIES and ORACLE_SQL.
 MODULES = (
-    "url_filter", "mixing", "decontaminate", "pii", "toxicity", "near_duplicates", "quality_rules", "html_extract", "language_id",
+    "url_filter", "mixing", "decontaminate", "pii", "toxicity", "near_duplicates", "quality_rules", "licenses", "html_extract", "language_id",
 )
 
 
