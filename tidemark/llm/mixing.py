@@ -37,9 +37,9 @@ def targets(sources: DataFrame, weights=WEIGHTS, share: float = SHARE, cap: floa
     s = s.withColumns({"most": cap * F.col("source_size"), "full_at": cap * F.col("source_size") / F.col("w")})
     every, up_to = Window.partitionBy(), Window.orderBy("full_at", F.col("source").asc_nulls_last()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     s = s.withColumns({"total": share * F.sum("source_size").over(every), "w_all": F.sum("w").over(every), "most_here": F.sum("most").over(up_to), "w_here": F.sum("w").over(up_to)})
-    # The level if exactly the sources before this one are full; the right one is the first at which this one is not.
+    # The level if exactly the sources before this one are full; the right one is the first at which this one is not, the greatest of those.
     s = s.withColumn("level", (F.col("total") - (F.col("most_here") - F.col("most"))) / (F.col("w_all") - (F.col("w_here") - F.col("w"))))
-    level = F.min(F.when(F.col("level") <= F.col("full_at"), F.col("level"))).over(every)
+    level = F.max(F.when(F.col("level") <= F.col("full_at"), F.col("level"))).over(every)
     return s.withColumn("target", F.round(F.least(F.coalesce(F.col("w") * level, F.col("most")), F.col("most")), 6)).select("source", "source_size", "target")
 
 
@@ -114,7 +114,7 @@ w AS (SELECT *, [5.0, 2.0, 1.0][((row_number() OVER (ORDER BY source NULLS LAST)
 v AS (SELECT *, most / w AS full_at, 1.5::DOUBLE * sum(source_size) OVER () AS total, sum(w) OVER () AS w_all,
   sum(most) OVER o AS most_here, sum(w) OVER o AS w_here FROM w WINDOW o AS (ORDER BY most / w, source NULLS LAST ROWS UNBOUNDED PRECEDING)),
 y AS (SELECT *, (total - (most_here - most)) / (w_all - (w_here - w)) AS level FROM v),
-t AS (SELECT source, source_size, round(least(coalesce(w * min(CASE WHEN level <= full_at THEN level END) OVER (), most), most), 6) AS target FROM y),
+t AS (SELECT source, source_size, round(least(coalesce(w * max(CASE WHEN level <= full_at THEN level END) OVER (), most), most), 6) AS target FROM y),
 k AS (SELECT *, CASE WHEN target > 0 THEN round(least(target / source_size, 2.0), 9) ELSE 0 END AS rate FROM t),
 c AS (SELECT z.*, source_size, target, floor(rate) AS copies, round((rate - floor(rate)) * source_size, 3) AS more,
   sum(size) OVER (PARTITION BY z.source ORDER BY h, size) AS upto FROM z JOIN k ON k.source IS NOT DISTINCT FROM z.source)
