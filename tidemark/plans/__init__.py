@@ -2,7 +2,7 @@
 
 import importlib
 
-MODULES = ("scans", "filters")
+MODULES = ("scans", "filters", "joins")
 
 
 def registered(attribute: str) -> dict:
