@@ -14,7 +14,7 @@ from collections import Counter
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import crc_mod, keep, table
+from tidemark.llm.common import crc_mod, keep, sized, table
 
 #: A small fixed lexicon, known before any label is seen.
 SEED_WORDS = ("clown", "disgusting", "idiot", "loser", "moron", "pathetic", "scum", "stupid", "trash", "worthless")
@@ -59,14 +59,17 @@ def _counted(batches):
         yield out(p, q)
 
 
-def mine(labelled: DataFrame) -> tuple[list[str], list[str]]:
-    """labelled: doc_id, text, toxic (0 or 1). The voters, and what the classifier uses (voters first). Both lists are bounded."""
-    n = {r["toxic"]: r["count"] for r in labelled.groupBy("toxic").count().collect()}
+def mine(docs: DataFrame, train: DataFrame) -> tuple[list[str], list[str]]:
+    """docs: doc_id, text; train: doc_id, toxic (0 or 1). The voters, and what the classifier uses (voters first), both bounded.
+
+    The drawn labels are few enough to be sent to the texts, so no text is shuffled.
+    """
+    n = {r["toxic"]: r["count"] for r in train.groupBy("toxic").count().collect()}
     seeds = [f"w:{w}" for w in SEED_WORDS]
     if not n.get(1) or not n.get(0):
         return seeds, seeds
     drawn = F.pmod(F.xxhash64(F.lit("mine"), "doc_id"), F.lit(1_000_000)) < F.when(F.col("toxic") == 1, int(1e6 * min(1, MINED_TOXIC / n[1]))).otherwise(int(1e6 * min(1, MINED_CLEAN / n[0])))
-    part = labelled.where(drawn)
+    part = docs.join(sized(train.where(drawn)), "doc_id")
     per = part.select("toxic", "text").mapInArrow(_counted, "f string, p long, q long").groupBy("f").agg(F.sum("p").alias("p"), F.sum("q").alias("q"))
     pos, neg = min(n[1], MINED_TOXIC), min(n[0], MINED_CLEAN)
     per = per.withColumn("lift", (F.col("p") / pos) / ((F.col("q") + 0.5) / neg)).withColumn("nats", F.col("p") * F.log("lift"))
@@ -110,7 +113,7 @@ def _used(names: list[str], voters: int):
 def density(used: DataFrame, train: DataFrame) -> float:
     """The density that parts toxic from clean labelled texts best: the difference of the shares above it is greatest."""
     tells = [F.coalesce(F.avg(F.when(F.col("toxic") == t, (F.col("dense") >= x).cast("int"))), F.lit(0.0)).alias(f"{t}|{i}") for i, x in enumerate(DENSITIES) for t in (0, 1)]
-    got = used.join(train, "doc_id").agg(*tells).first()
+    got = used.select("doc_id", "dense").join(train, "doc_id").agg(*tells).first()
     gap = [got[f"1|{i}"] - got[f"0|{i}"] for i in range(len(DENSITIES))]
     best = max(gap)
     alike = [x for x, g in zip(DENSITIES, gap, strict=True) if g >= best - 0.005]
@@ -216,7 +219,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, folds: int = 5) -> DataFr
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     labels = labels.where("doc_id is not null and toxic in (0, 1)").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     train = labels.where(crc_mod(F.col("doc_id"), folds) != 0)
-    voters, names = mine(docs.join(train, "doc_id"))
+    voters, names = mine(docs, train)
     used = keep(docs.mapInArrow(_used(names, len(voters)), "doc_id long, f array<int>, x array<double>, dense double").withColumn("held_out", crc_mod(F.col("doc_id"), folds) == 0), "features")
     least = density(used, train)
     share = train.agg(F.avg("toxic").alias("t")).first()["t"]
@@ -225,7 +228,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, folds: int = 5) -> DataFr
     # The posterior of the generative model, on labelled texts outside the held-out fold: a bounded sample fits the classifier.
     known = train.count()
     drawn = F.pmod(F.xxhash64(F.lit("fit"), "doc_id"), F.lit(1_000_000)) < int(1e6 * min(1, FITTED_ROWS / max(1, known)))
-    sample = used.join(train.select("doc_id").where(drawn), "doc_id", "left_semi").select("f", "x", "dense").collect()
+    sample = used.join(sized(train.select("doc_id").where(drawn)), "doc_id", "left_semi").select("f", "x", "dense").collect()
 
     def posterior(f: list[int]) -> float:
         import math
