@@ -2,7 +2,7 @@
 
 import importlib
 
-MODULES = ("scans", "filters", "joins")
+MODULES = ("scans", "filters", "joins", "sequences", "aggregates")
 
 
 def registered(attribute: str) -> dict:
