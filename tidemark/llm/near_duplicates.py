@@ -176,9 +176,9 @@ def connected(edges: DataFrame, name: str = "components") -> DataFrame:
 def _open_pairs(shared: DataFrame, classes: DataFrame, comps: DataFrame, star: DataFrame, texts: DataFrame, shingle: int, percent: int) -> DataFrame:
     """Pairs (a, b) that share a bucket, lie in different components and may still reach the threshold.
 
-    Three exact bounds leave out what cannot: the sets' sizes; the numbers of their shingles that occur in any other text
-    here; and the triangle inequality of the Jaccard distance with the bucket's leader, to which all distances are known. A pair
-    is given once, in the first bucket that it shares.
+    Three exact bounds leave out what cannot: the sets' sizes; the triangle inequality of the Jaccard distance with the bucket's
+    leader, to which all distances are known; and the numbers of shingles inside and outside the leader that occur in any other
+    text here, of which a pair shares at most the smaller ones. A pair is given once, in the first bucket that it shares.
     """
     comps = comps.withColumnRenamed("id", "rep")
     at = shared.join(comps, "rep", "left").withColumn("comp", F.coalesce("comp", "rep"))
@@ -186,13 +186,14 @@ def _open_pairs(shared: DataFrame, classes: DataFrame, comps: DataFrame, star: D
     at = keep(at.join(mixed, "bucket", "left_semi"), "mixed")
     reps = at.select(F.col("rep").alias("doc_id")).distinct()
     common = _shared_counts(texts.join(reps.hint("merge"), "doc_id", "left_semi"), shingle)
-    far = star.select(F.col("a").alias("lead"), F.col("b").alias("rep"), (1 - F.col("both") / (F.col("size_a") + F.col("size_b") - F.col("both"))).alias("far")).groupBy("lead", "rep").agg(F.min("far").alias("far"))
+    far = star.select(F.col("a").alias("lead"), F.col("b").alias("rep"), (1 - F.col("both") / (F.col("size_a") + F.col("size_b") - F.col("both"))).alias("far"), "both").groupBy("lead", "rep").agg(F.min("far").alias("far"), F.max("both").alias("inner"))
     sets = classes.join(common, "rep").groupBy("rep").agg(F.max("n_shingles").alias("n"), F.max("common").alias("common"), F.first("bands").alias("bands"))
     # A text whose shared shingles are too few for any link leaves here; so do the leaders, tested with all of their bucket.
     sets = sets.where(f"100 * common >= {percent} * n")
-    at = keep(at.where("rep <> lead").join(far, ["lead", "rep"]).join(sets, "rep").select("bucket", "rep", "comp", "far", "n", "common", "bands"), "open")
+    at = keep(at.where("rep <> lead").join(far, ["lead", "rep"]).join(sets, "rep").select("bucket", "rep", "comp", "far", "inner", "n", "common", "bands"), "open")
     x, y = at.alias("x"), at.alias("y")
-    least = F.least("x.common", "y.common")
+    # What two texts share lies inside the leader, at most the smaller part there, or outside it, at most what others share.
+    least = F.least("x.inner", "y.inner") + F.least(F.col("x.common") - F.col("x.inner"), F.col("y.common") - F.col("y.inner"))
     before = lambda s: F.slice(f"{s}.bands", F.lit(1), F.array_position(f"{s}.bands", F.col(f"{s}.bucket")).cast("int") - 1)
     fits = (
         (F.col("x.bucket") == F.col("y.bucket"))
