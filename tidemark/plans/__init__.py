@@ -2,7 +2,7 @@
 
 import importlib
 
-MODULES = ("scans", "filters", "joins", "sequences", "aggregates")
+MODULES = ("scans", "filters", "joins", "sequences", "aggregates", "accounting")
 
 
 def registered(attribute: str) -> dict:
