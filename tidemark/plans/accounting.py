@@ -25,7 +25,8 @@ def _panel(t):
         return F.sum(F.when(F.col("o_orderpriority").like(of[0]) & F.col("o_orderstatus").like(of[1]), F.col("o_totalprice")))
 
     g = t.orders.groupBy(F.col("o_custkey").alias("k"), F.year("o_orderdate").cast("long").alias("y"))
-    return facts.with_prior(g.agg(*[F.round(amount(of), 2).alias(c) for c, of in CONCEPTS.items()]), "k", "y", list(CONCEPTS))
+    wide = g.agg(*[F.round(amount(of), 2).alias(c) for c, of in CONCEPTS.items()]).withColumn("capital", A.capital())
+    return facts.with_prior(wide, "k", "y", [*CONCEPTS, "capital"])
 
 
 def _case(of):
