@@ -2,7 +2,7 @@
 
 import importlib
 
-MODULES = ("scans", "filters", "joins", "sequences", "aggregates", "accounting")
+MODULES = ("scans", "filters", "joins", "sequences", "aggregates", "accounting", "ranking")
 
 
 def registered(attribute: str) -> dict:
