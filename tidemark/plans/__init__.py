@@ -2,7 +2,7 @@
 
 import importlib
 
-MODULES = ("scans", "filters", "joins", "sequences", "aggregates", "accounting", "ranking")
+MODULES = ("scans", "filters", "joins", "sequences", "aggregates", "accounting", "ranking", "learning")
 
 
 def registered(attribute: str) -> dict:
