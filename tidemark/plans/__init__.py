@@ -2,7 +2,7 @@
 
 import importlib
 
-MODULES = ("scans", "filters", "joins", "sequences", "aggregates", "accounting", "ranking", "learning")
+MODULES = ("scans", "filters", "joins", "sequences", "aggregates", "accounting", "ranking", "learning", "text", "streams", "portfolios")
 
 
 def registered(attribute: str) -> dict:
