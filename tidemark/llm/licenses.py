@@ -96,7 +96,7 @@ def _normal(sentence: str) -> str:
 def sentences(text: Column) -> Column:
     """Pieces of a text that end with a mark before white space, or with an empty line. A single line feed is white space if the
     next line goes on in small letters; a mark inside a number or version ends nothing."""
-    joined = F.regexp_replace(text, r"[ \t]*\n[ \t#*/;-]*(?=[\p{Ll}(\"])", " ")
+    joined = F.regexp_replace(F.regexp_replace(text, r"Identifier:[ \t]*", "Identifier "), r"[ \t]*\n[ \t#*/;-]*(?=[\p{Ll}(\"])", " ")
     return F.split(joined, r"(?<=[.!?;:])[!*#%&$]*\s+|\n+")
 
 
@@ -157,7 +157,7 @@ ORACLE_SQL = {
     "op8_licence_sentences": rf"""
 WITH known(norm, id) AS (VALUES {_sql_list((_normal(s), k) for k, s in SENTENCES.items())}),
 rules(lic, pat, i) AS (VALUES {_sql_list((n, rule_pattern(s).replace(chr(92) + '-', '-'), k) for k, (n, s) in enumerate(RULES))}),
-t AS (SELECT row_number() OVER () AS r, doc_id, regexp_replace(coalesce(text, ''), '[ \t]*\n[ \t#*/;-]*([\p{{Ll}}("])', ' \1', 'g') AS text FROM documents),
+t AS (SELECT row_number() OVER () AS r, doc_id, regexp_replace(regexp_replace(coalesce(text, ''), 'Identifier:[ \t]*', 'Identifier ', 'g'), '[ \t]*\n[ \t#*/;-]*([\p{{Ll}}("])', ' \1', 'g') AS text FROM documents),
 s AS (SELECT r, unnest(l) AS s, generate_subscripts(l, 1) AS p FROM (
   SELECT r, regexp_split_to_array(regexp_replace(text, '([.!?;:])[!*#%&$]*\s+', '\1' || chr(10), 'g'), '\n+') AS l FROM t)),
 k AS (SELECT r, p, id FROM s JOIN known ON norm = trim(regexp_replace(lower(s), '[^\p{{L}}\p{{N}}]+', ' ', 'g'))),
