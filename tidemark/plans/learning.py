@@ -103,13 +103,13 @@ def sample_weights(t):
 
 
 @R.query("ols_residual", f"""WITH o AS (SELECT *, age * age AS age2 FROM ({_O})), f AS (SELECT avg(total) AS my, avg(age) AS m1, avg(age2) AS m2, covar_pop(total, age) AS y1, covar_pop(total, age2) AS y2, var_pop(age) AS v1, var_pop(age2) AS v2, covar_pop(age, age2) AS c FROM o WHERE total IS NOT NULL AND {_TRAIN}),
-    b AS (SELECT *, (y1 * v2 - y2 * c) / (v1 * v2 - c * c) AS b1, (y2 * v1 - y1 * c) / (v1 * v2 - c * c) AS b2 FROM f) SELECT o_orderkey, round(total - (my + b1 * (age - m1) + b2 * (age2 - m2)), 4) AS res FROM o, b WHERE total IS NOT NULL""")
+    b AS (SELECT *, (y1 * v2 - y2 * c) / (v1 * v2 - c * c) AS b1, (y2 * v1 - y1 * c) / (v1 * v2 - c * c) AS b2 FROM f) SELECT o_orderkey, round(total - (my + b1 * (age - m1) + b2 * (age2 - m2)), 2) + 0 AS res FROM o, b WHERE total IS NOT NULL""")
 def ols_residual(t):
     """What a parabola fitted on the training rows leaves."""
     o = _orders(t).withColumn("age2", F.col("age") * F.col("age"))
     names, beta, _ = models.ols(o.where(_train()), "total", ["age", "age2"])
     fit = F.lit(float(beta[0])) + F.col("age") * float(beta[1]) + F.col("age2") * float(beta[2])
-    return o.where("total is not null").select("o_orderkey", F.round(F.col("total") - fit, 4).alias("res"))
+    return o.where("total is not null").select("o_orderkey", (F.round(F.col("total") - fit, 2) + F.lit(0.0)).alias("res"))
 
 
 _M = "SELECT date_trunc('month', o_orderdate)::DATE AS m, avg(o_totalprice) / 1000 AS y, count(*)::DOUBLE AS x FROM orders GROUP BY 1"
