@@ -17,17 +17,18 @@ def _years(t):
     return t.orders.groupBy(F.col("o_custkey").alias("k"), n(F.year("o_orderdate")).alias("y")).agg(F.round(F.sum("o_totalprice"), 2).alias("v"))
 
 
-_W = Window.partitionBy("k").orderBy("y")
+def _w():
+    return Window.partitionBy("k").orderBy("y")
 
 
 @R.query("lag_consecutive", f"SELECT k, y, CASE WHEN y - lag(y) OVER w = 1 THEN round(v - lag(v) OVER w, 2) END AS change FROM ({_Y}) WINDOW w AS (PARTITION BY k ORDER BY y)")
 def lag_consecutive(t):
-    return _years(t).select("k", "y", F.when(F.col("y") - F.lag("y").over(_W) == 1, F.round(F.col("v") - F.lag("v").over(_W), 2)).alias("change"))
+    return _years(t).select("k", "y", F.when(F.col("y") - F.lag("y").over(_w()) == 1, F.round(F.col("v") - F.lag("v").over(_w()), 2)).alias("change"))
 
 
 @R.query("cumcount", f"SELECT k, y, row_number() OVER (PARTITION BY k ORDER BY y) - 1 AS i FROM ({_Y})")
 def cumcount(t):
-    return _years(t).select("k", "y", n(F.row_number().over(_W) - 1).alias("i"))
+    return _years(t).select("k", "y", n(F.row_number().over(_w()) - 1).alias("i"))
 
 
 @R.query("rank_pct_avg", f"SELECT k, y, round((rank() OVER (PARTITION BY y ORDER BY floor(v / 1000)) + (count(*) OVER (PARTITION BY y, floor(v / 1000)) - 1) / 2) / count(*) OVER (PARTITION BY y), 6) AS pct FROM ({_Y})")

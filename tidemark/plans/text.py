@@ -168,12 +168,12 @@ def map_ops(t):
     return m.select("user_id", F.coalesce(F.try_element_at("m", F.lit("click")), F.lit(0)).cast("long").alias("clicks"), n(F.size("m")).alias("kinds"))
 
 
-@R.query("array_ops", "SELECT vec_id, round(list_sum(e), 3) AS total, round(list_max(e), 5) AS top, (list_position(e, list_max(e)))::BIGINT AS argmax, round(list_dot_product(e[1:4], e[5:8]), 4) AS dot FROM (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings)")
+@R.query("array_ops", "SELECT vec_id, round(list_sum(e), 3) + 0 AS total, round(list_max(e), 5) AS top, (list_position(e, list_max(e)))::BIGINT AS argmax, round(list_dot_product(e[1:4], e[5:8]), 4) + 0 AS dot FROM (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings)")
 def array_ops(t):
     e = F.col("embedding").cast("array<double>")
     total = F.aggregate(e, F.lit(0.0), lambda a, x: a + x)
     dot = F.aggregate(F.zip_with(F.slice(e, 1, 4), F.slice(e, 5, 4), lambda a, b: a * b), F.lit(0.0), lambda a, x: a + x)
-    return t.embeddings.select("vec_id", F.round(total, 3).alias("total"), F.round(F.array_max(e).cast("double"), 5).alias("top"), n(F.array_position(e, F.array_max(e))).alias("argmax"), F.round(dot, 4).alias("dot"))
+    return t.embeddings.select("vec_id", (F.round(total, 3) + F.lit(0.0)).alias("total"), F.round(F.array_max(e).cast("double"), 5).alias("top"), n(F.array_position(e, F.array_max(e))).alias("argmax"), (F.round(dot, 4) + F.lit(0.0)).alias("dot"))
 
 
 @R.query("json_roundtrip", "SELECT event_id, event_type AS t, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events")
