@@ -98,3 +98,16 @@ def previous(df: DataFrame, key: str, order: list[str], values: list[str], day:
 def latest_per_key(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
     """One row per key, the first by the order."""
     return df.withColumn("_n", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where("_n = 1").drop("_n")
+
+
+def past_sums(panel: DataFrame, events: DataFrame, entity: str, t: str, event_day: str, sums: dict[str, tuple[int, int, Column]]) -> DataFrame:
+    """panel with a sum per name: (low, high, value) sums the value over the entity's events from t - high to t - low days; 0 without any.
+
+    Laid out like past_counts. Values are added as decimals of four places, so the order of a frame's rows does not show.
+    """
+    value = {k: F.coalesce(v.cast("decimal(28,4)"), F.lit(0).cast("decimal(28,4)")) for k, (_, _, v) in sums.items()}
+    ev = events.select(F.col(entity).alias("_e"), _days(F.col(event_day)).alias("_d"), F.lit(0).alias("_p"), *[v.alias(f"_w_{k}") for k, v in value.items()])
+    both = panel.select(F.col(entity).alias("_e"), _days(F.col(t)).alias("_d"), F.lit(1).alias("_p"), F.struct(*[F.col(c) for c in panel.columns]).alias("_r")).unionByName(ev, allowMissingColumns=True)
+    w = Window.partitionBy("_e").orderBy("_d")
+    out = both.withColumns({k: F.coalesce(F.sum(f"_w_{k}").over(w.rangeBetween(-high, -low)).cast("double"), F.lit(0.0)) for k, (low, high, _) in sums.items()})
+    return out.where("_p = 1").select("_r.*", *sums)

@@ -59,12 +59,12 @@ _LIN = "+".join([f"({A.COEF['const']})"] + [f"({v}) * {k}" for k, v in A.COEF.it
 
 @R.query("fscore_vars", f"{_FS} SELECT k, y, {', '.join(f'round({c}, 6) + 0 AS {c}' for c in A.COEF if c != 'const')} FROM w")
 def fscore_vars(t):
-    return A.with_fscore(_panel(t)).where("p is not null").select("k", "y", *[r6(c).alias(c) for c in A.COEF if c != "const"])
+    return A.with_fscore(_panel(t)).where("issue is not null").select("k", "y", *[r6(c).alias(c) for c in A.COEF if c != "const"])
 
 
 @R.query("logistic_score", f"{_FS} SELECT k, y, round(1 / (1 + exp(-({_LIN}))) / 0.0037, 6) AS fscore FROM w")
 def logistic_score(t):
-    return A.with_fscore(_panel(t)).where("p is not null").select("k", "y", r6("fscore").alias("fscore"))
+    return A.with_fscore(_panel(t)).where("issue is not null").select("k", "y", r6("fscore").alias("fscore"))
 
 
 def _sr(a, b):
