@@ -116,6 +116,26 @@ def test_site_tree_drops_what_repeats(spark):
     assert got[99] == "Welcome all\ntext"
 
 
+def test_site_tree_judges_pages_with_an_article(spark):
+    """An article that is only a teaser does not hide the main text beside it, and a box that all articles repeat goes."""
+    r = random.Random(10)
+    own = lambda n: " ".join(r.choice(["lin", "mor", "ther"]) + str(r.randrange(999)) for _ in range(n))
+    main, rows = {}, []
+    for i in range(20):
+        main[i] = own(12)
+        rows.append((i, f"http://beside.org/{i}", page(f"<article class='tile'><h2>Read this next</h2></article><div class='body'><p>{main[i]}</p></div>")))
+        main[100 + i] = own(12)
+        rows.append((100 + i, f"http://box.org/{i}", page(f"<div class='top'>Welcome</div><article><p>{main[100 + i]}</p><div class='box'>Call us today</div></article>")))
+        main[200 + i] = "one story\nunder many addresses"
+        rows.append((200 + i, f"http://copies.org/{i}", page("<article><h1>one story</h1><p>under many addresses</p></article>")))
+    main[300] = "Teaser\n" + own(12)
+    rows.append((300, "http://few.org/1", page(f"<article><p>Teaser</p></article><div>{main[300][7:]}</div>")))
+    main[301] = own(12)
+    rows.append((301, "http://few.org/2", page(f"<div class='x'>Welcome</div><article><p>{main[301]}</p></article>")))
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    assert {x.page_id: x.text for x in html_extract.extract(df).collect()} == main
+
+
 def test_pipeline_stages(spark, tmp_path):
     import corpus_pipeline
     from tests.llm.test_near_duplicates import by_hand

@@ -3,9 +3,9 @@
 The pages of a host are merged into one tree of styles: a node stands for all blocks that are reached by the same path of tags and
 classes. Two entropies make its importance: of its presentation, how much the way in which it is filled varies from page to page,
 and of its content, how much its texts differ. Menus, notices and footers that a template repeats have low values, an article
-has high ones. On each page the branches of low importance are removed, and those that the markup itself names as no part of
-the article (navigation, forms, comments and the like); what stands in an article or main element is kept otherwise, since
-an article may quote a passage that all pages of a site share.
+has high ones. On each page the branches of low importance are removed, inside an article or main element as outside of it, and
+those that the markup itself names as no part of the article (navigation, forms, comments and the like). Nodes and not texts are
+removed, so an article keeps a passage that all pages of a site share. Where too few pages have a node, the markup is the prior.
 """
 
 import re
@@ -146,38 +146,44 @@ def host_name(url: Column) -> Column:
     return F.lower(F.regexp_extract(F.coalesce(url, F.lit("")), r"^[^:]*://([^/?#]*)", 1))
 
 
-def low_nodes(pages: DataFrame) -> DataFrame:
-    """host, nodes: the nodes of each host's style tree that are to be removed.
+def judged_nodes(pages: DataFrame) -> DataFrame:
+    """host, low, high: the nodes of each host's style tree that are to be removed, and those that are to be kept.
 
     pages: host, blocks. Per node with M pages: the content entropy is that of its texts over the pages, base M; the
-    presentation entropy is that of how often it is filled on a page, base M. The importance is the greater of the two. Counts
+    presentation entropy is that of how often it is filled on a page, base M. The importance is the greater of the two. Copies of
+    a page count once, as they tell nothing about a template; nodes with fewer than MIN_PAGES pages are in neither list. Counts
     are merged before they are dealt out, so a host with a third of all pages sends one row per text and task.
     """
-    each = pages.select("host", F.monotonically_increasing_id().alias("page"), F.explode("blocks").alias("b")).where("not b.inside")
+    filled = pages.select("host", F.transform("blocks", lambda b: F.struct(b["node"].alias("node"), b["h"].alias("h"))).alias("blocks"))
+    once = filled.withColumn("page", F.xxhash64("blocks")).groupBy("host", "page").agg(F.first("blocks").alias("blocks"))
+    each = once.select("host", "page", F.explode("blocks").alias("b"))
     times = each.groupBy("host", "page", "b.node").agg(F.count("*").alias("k"))
     shape = times.groupBy("host", "node", "k").agg(F.count("*").alias("n"))
     # Entropy of counts n with sum M: log M - sum(n log n) / M.
     ent = lambda n, total: F.when(total > 1, (F.log(total) - F.sum(n * F.log(n)) / total) / F.log(total)).otherwise(1.0)
     shape = shape.groupBy("host", "node").agg(F.sum("n").alias("pages"), ent(F.col("n"), F.sum("n")).alias("e_shape"))
     content = each.groupBy("host", "b.node", "b.h").agg(F.count("*").alias("n")).groupBy("host", "node").agg(ent(F.col("n"), F.sum("n")).alias("e_text"))
-    low = shape.join(content, ["host", "node"]).where((F.col("pages") >= MIN_PAGES) & (F.greatest("e_shape", "e_text") < MIN_IMPORTANCE))
-    return low.groupBy("host").agg(F.collect_list("node").alias("nodes"))
+    low = F.greatest("e_shape", "e_text") < MIN_IMPORTANCE
+    judged = shape.join(content, ["host", "node"]).where(F.col("pages") >= MIN_PAGES)
+    return judged.groupBy("host").agg(F.collect_list(F.when(low, F.col("node"))).alias("low"), F.collect_list(F.when(~low, F.col("node"))).alias("high"))
 
 
 def extract(pages: DataFrame) -> DataFrame:
     """A row per row of pages (page_id, url, html): page_id, url, text, n_chars.
 
-    A null or empty html has an empty text. Pages with an article or main element give what it holds; other pages all
-    blocks that their host's style tree does not remove. Blocks are joined by a line feed in page order. A null url has an
-    empty host; its pages are merged like those of any host. Repeated rows are treated alike. Further columns are not read.
+    A null or empty html has an empty text. Pages give all blocks that their host's style tree does not remove. Blocks that it
+    cannot judge are kept, but for those outside of the article or main elements of a page if these hold half of its text or
+    more. Blocks are joined by a line feed in page order. A null url has an empty host; its pages are merged like those of any
+    host. Repeated rows are treated alike. Further columns are not read.
     """
     slim = pages.select("page_id", "url", host_name(F.col("url")).alias("host"), F.col("html").cast("string").alias("html"))
     kind = f"page_id {pages.schema['page_id'].dataType.simpleString()}, url string, host string, blocks array<struct<node:bigint,inside:boolean,text:string,h:bigint>>"
     parsed = keep(slim.mapInArrow(_parsed, kind), "parsed-pages")
-    low = sized(keep(low_nodes(parsed), "low-nodes"), 20_000)
-    df = parsed.join(low, "host", "left")
-    in_article = F.exists("blocks", lambda b: b["inside"])
-    wanted = lambda b: F.when(in_article, b["inside"]).otherwise(~F.coalesce(F.array_contains("nodes", b["node"]), F.lit(False)))
+    judged = sized(keep(judged_nodes(parsed), "judged-nodes"), 20_000)
+    chars = F.aggregate("blocks", F.lit(0).cast("long"), lambda n, b: n + F.when(b["inside"], 1).otherwise(-1) * F.length(b["text"]))
+    df = parsed.withColumn("marked", chars >= 0).join(judged, "host", "left")
+    among = lambda nodes, b: F.coalesce(F.array_contains(nodes, b["node"]), F.lit(False))
+    wanted = lambda b: ~among("low", b) & (among("high", b) | b["inside"] | ~F.col("marked"))
     text = F.array_join(F.transform(F.filter("blocks", wanted), lambda b: b["text"]), "\n")
     return df.select("page_id", "url", text.alias("text")).withColumn("n_chars", F.length("text").cast("long"))
 
