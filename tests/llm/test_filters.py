@@ -123,6 +123,38 @@ def test_decontamination_tolerates_substitutions(spark):
     assert decontaminate.contaminated(df, bench.limit(0)).count() == 0 and decontaminate.contaminated(df.limit(0), bench).count() == 0
 
 
+def test_decontamination_finds_parts_and_gaps(spark):
+    """Passages from the inside of an item, items with words put in or left out, short items, and changed words; chance overlaps stay."""
+    r = random.Random(5)
+    vocab = [f"v{i}" for i in range(5000)]
+    words = lambda n: [r.choice(vocab) for _ in range(n)]
+    long, short = words(60), words(8)
+    some = {n: words(n) for n in (15, 20, 30, 59)}
+    items = [(0, long), (1, short), *((n, w) for n, w in some.items())]
+    passages = [(0, long[18 : 18 + n]) for n in (11, 13, 16, 18, 20, 22, 24)] + [(1, short)]
+    for n, w in some.items():
+        passages.append((n, w[: n // 2] + words(1) + w[n // 2 :]))
+        passages.append((n, [x for i in range(0, n, 10) for x in [*w[i : i + 10], *words(1)]]))
+    for n in (20, 30, 59):
+        passages.append((n, some[n][: n // 2] + some[n][n // 2 + 1 :]))
+    chance = [long[20:29], short[:7], long[10:16] + words(6) + long[22:28]]
+    docs = [(i, " ".join(words(30) + p + words(30))) for i, (_, p) in enumerate(passages)] + [(100 + i, " ".join(words(30) + p + words(30))) for i, p in enumerate(chance)]
+    changed = {}
+    for i in range(60):
+        w = list(some[(15, 20, 30)[i % 3]])
+        for j in r.sample(range(len(w)), len(w) // 5):
+            w[j] = "other"
+        changed[200 + i] = (15, 20, 30)[i % 3]
+        docs.append((200 + i, " ".join(words(30) + w + words(30))))
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    bench = spark.createDataFrame([(i, " ".join(w)) for i, w in items], "item_id long, text string")
+    rows = decontaminate.contaminated(df, bench).collect()
+    got = {(x.doc_id, x.item_id) for x in rows}
+    assert {p for p in got if p[0] < 200} == {(i, item) for i, (item, _) in enumerate(passages)}
+    assert {p for p in got if p[0] >= 200} <= set(changed.items()) and len([p for p in got if p[0] >= 200]) >= 54
+    assert all(x.matched >= 0.8 * x.compared for x in rows)
+
+
 def test_licences(spark):
     mit = ". ".join(licenses.SENTENCES[k] for k in ("mit-title", "mit-grant", "mit-notice", "mit-asis"))
     texts = {

@@ -2,19 +2,25 @@
 
 A mask picks some positions of a window of words and ignores the others; windows of a benchmark item and of a document that agree
 on the picked words meet in a join of their hashes even where ignored words were changed. Around each hit the two texts are then
-aligned and compared word by word, and the overlap counts if enough of the aligned words agree.
+aligned and compared word by word, and the overlap counts if enough of the aligned words agree: those of a window of fixed flanks,
+or of any window around the hit, which may have words put in or left out on either side. Short masks find the hits between changes.
 """
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import keep, small, table
+from tidemark.llm.common import keep, let, small, table
 
 #: Picked positions are 1. All masks have the same span.
 MASKS = ("11011001101", "10110111011")
 SPAN = len(MASKS[0])
+#: Masks for passages that words put in, left out or changed cut into pieces; with one span as well.
+SHORT_MASKS = ("1101101", "1011011")
+SHORT_SPAN = len(SHORT_MASKS[0])
 #: Words compared on either side of a hit, the share of them that must agree, and how many must.
 FLANK, SHARE, MATCHED = 10, 0.8, 10
+#: Most words put in or left out at one place.
+GAP = 2
 #: Benchmark windows up to this many are sent to every executor.
 BROADCAST_WINDOWS = 1_000_000
 
@@ -25,15 +31,17 @@ def tokens(text: Column) -> Column:
 
 
 def _windows(df: DataFrame, *cols: str) -> DataFrame:
-    """df has words; a row with pos and hash for each window of SPAN words and each mask.
+    """df has words; a row with pos, span and hash for each window of words and each mask.
 
     Positions are exploded first, so the hashes are computed in generated code and not inside a lambda.
     """
-    starts = F.when(F.size("words") >= SPAN, F.sequence(F.lit(0), F.size("words") - SPAN))
+    starts = F.when(F.size("words") >= SHORT_SPAN, F.sequence(F.lit(0), F.size("words") - SHORT_SPAN))
     at = df.select(*{*cols, "words"}, F.explode(starts).alias("pos"))
-    picked = [[i for i, c in enumerate(m) if c == "1"] for m in MASKS]
-    hashes = [F.xxhash64(F.lit(k), *[F.get("words", F.col("pos") + j) for j in js]) for k, js in enumerate(picked)]
-    return at.select(*cols, "pos", F.explode(F.array(*hashes)).alias("hash"))
+    seeds = []
+    for k, mask in enumerate(MASKS + SHORT_MASKS):
+        seed = F.xxhash64(F.lit(k), *[F.get("words", F.col("pos") + j) for j, c in enumerate(mask) if c == "1"])
+        seeds.append(F.struct(F.lit(len(mask)).alias("span"), F.when(F.col("pos") + len(mask) <= F.size("words"), seed).alias("hash")))
+    return at.select(*cols, "pos", F.explode(F.array(*seeds)).alias("s")).select(*cols, "pos", "s.span", "s.hash").where("hash is not null")
 
 
 def overlap(doc: Column, item: Column, at: Column, start: Column) -> Column:
@@ -45,33 +53,104 @@ def overlap(doc: Column, item: Column, at: Column, start: Column) -> Column:
     return F.struct(length.alias("compared"), same.alias("matched"))
 
 
+def _same(x: Column, y: Column) -> Column:
+    return F.zip_with(x, y, lambda a, b: F.when(a == b, 1).otherwise(0))
+
+
+def _sum(x: Column) -> Column:
+    return F.aggregate(x, F.lit(0), lambda a, b: a + b)
+
+
+def _outward(doc: Column, item: Column) -> Column:
+    """The most words that agree within the first 0, 1, 2, ... aligned ones; null past the end. Both texts start at a hit and lead away from it.
+
+    Up to GAP words may be put in or left out where the texts first differ; each counts as compared.
+    """
+    def ways(v: Column) -> Column:
+        x, y = v["x"], v["y"]
+        n = F.least(F.size(x), F.size(y))
+        same = _same(F.slice(x, F.lit(1), n), F.slice(y, F.lit(1), n))
+
+        def with_gaps(a: Column) -> Column:
+            run = F.coalesce(F.nullif(F.array_position(a, F.lit(0)).cast("int"), F.lit(0)) - 1, F.size(a))
+
+            def gap(e: int) -> Column:
+                i, j = run + max(e, 0), run + max(-e, 0)
+                m = F.greatest(F.lit(0), F.least(F.size(x) - i, F.size(y) - j))
+                return F.concat(F.array_repeat(F.lit(1), run), F.array_repeat(F.lit(0), abs(e)), _same(F.slice(x, i + 1, m), F.slice(y, j + 1, m)))
+
+            return F.array(a, *[gap(e) for e in range(-GAP, GAP + 1) if e])
+
+        return let(same, with_gaps)
+
+    most = lambda w: F.transform(F.sequence(F.lit(0), F.lit(FLANK + GAP)), lambda k: F.array_max(F.transform(w, lambda a: F.when(F.size(a) >= k, _sum(F.slice(a, F.lit(1), k))))))
+    return let(let(F.struct(doc.alias("x"), item.alias("y")), ways), most)
+
+
+def best_window(doc: Column, item: Column, at: Column, start: Column, span: Column) -> Column:
+    """Struct (matched, minus) of the best window around a hit that counts, minus being the negative number of words compared; else null.
+
+    All words of an item with fewer than MATCHED must agree.
+    """
+    back = lambda text, to: F.reverse(F.slice(text, F.greatest(F.lit(0), to - FLANK) + 1, F.least(F.lit(FLANK), to)))
+    ahead = lambda text, to: F.slice(text, to + span + 1, F.lit(FLANK))
+    hit = _sum(_same(F.slice(doc, at + 1, span), F.slice(item, start + 1, span)))
+    sides = F.struct(_outward(back(doc, at), back(item, start)).alias("l"), _outward(ahead(doc, at), ahead(item, start)).alias("r"), hit.alias("h"))
+    least = F.least(F.lit(MATCHED), F.size(item))
+
+    def pick(v: Column) -> Column:
+        def pair(a: Column, i: Column, b: Column, k: Column) -> Column:
+            m, n = v["h"] + a + b, span + i + k
+            return F.when((m >= least) & (m >= SHARE * n), F.struct(m.alias("matched"), (-n).alias("minus")))
+
+        return F.array_max(F.transform(v["l"], lambda a, i: F.array_max(F.transform(v["r"], lambda b, k: pair(a, i, b, k)))))
+
+    return let(sides, pick)
+
+
+def verified(doc: Column, item: Column, at: Column, start: Column, span: Column) -> Column:
+    """Struct (fixed, matched, minus) of a hit that counts, else null: by the window of fixed flanks, or failing that by the best one.
+
+    fixed: 1 for the window of fixed flanks around a hit of the long masks.
+    """
+    def judged(o: Column) -> Column:
+        good = (o["matched"] >= MATCHED) & (o["matched"] >= SHARE * o["compared"])
+        fixed = F.when(span == SPAN, 1).otherwise(0)
+        other = let(best_window(doc, item, at, start, span), lambda b: F.when(b.isNotNull(), F.struct(F.lit(0).alias("fixed"), b["matched"].alias("matched"), b["minus"].alias("minus"))))
+        return F.when(good, F.struct(fixed.alias("fixed"), o["matched"].alias("matched"), (-o["compared"]).alias("minus"))).otherwise(other)
+
+    return let(overlap(doc, item, at, start), judged)
+
+
 def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """(doc_id, item_id, matched, compared): the best overlap of each document and benchmark item that counts.
 
-    docs: doc_id, text; benchmark: item_id, text. Items and documents with fewer than SPAN words, null or empty texts, and rows
+    docs: doc_id, text; benchmark: item_id, text. A passage counts with at least MATCHED agreeing words and that SHARE of the words compared,
+    wherever in the item it comes from; where a window of fixed flanks counts, its figures are given. Of items with fewer words all
+    must agree. Items and documents with fewer than SHORT_SPAN words, null or empty texts, and rows
     with null ids have no windows and never count. Repeated rows give one pair. Items with equal words are compared once and
     reported all. A benchmark of up to BROADCAST_WINDOWS windows is sent to the executors, and overlaps are verified where the hits
     arise, so no text is shuffled; for a larger one hits are joined by a shuffle of hashes and the texts of hit documents follow.
     """
-    items = benchmark.where("item_id is not null").select("item_id", tokens(F.col("text").cast("string")).alias("item")).where(F.size("item") >= SPAN)
+    items = benchmark.where("item_id is not null").select("item_id", tokens(F.col("text").cast("string")).alias("item")).where(F.size("item") >= SHORT_SPAN)
     items = keep(items.distinct(), "items")
     texts = items.groupBy("item").agg(F.min("item_id").alias("rep"))
     texts = keep(texts, "item-texts")
     seeds = _windows(texts.withColumnRenamed("item", "words"), "rep").withColumnRenamed("pos", "start")
     # A hash once, with all places it has in the benchmark: a common passage multiplies no rows before the hit is known.
-    seeds = keep(seeds.groupBy("hash").agg(F.collect_list(F.struct("rep", "start")).alias("places")), "seeds")
+    seeds = keep(seeds.groupBy("hash").agg(F.collect_list(F.struct("rep", "start", "span")).alias("places")), "seeds")
 
     docs = docs.where("doc_id is not null").select("doc_id", tokens(F.col("text").cast("string")).alias("words"))
-    found = overlap(F.col("words"), F.col("item"), F.col("pos"), F.col("start"))
+    found = verified(F.col("words"), F.col("item"), F.col("pos"), F.col("start"), F.col("span"))
     if small(seeds, BROADCAST_WINDOWS):
-        hits = _windows(docs, "doc_id", "words").join(F.broadcast(seeds), "hash").select("doc_id", "words", "pos", F.explode("places").alias("at"))
-        hits = hits.select("doc_id", "words", "pos", "at.rep", "at.start").join(F.broadcast(texts), "rep").withColumn("o", found)
+        hits = _windows(docs, "doc_id", "words").drop("span").join(F.broadcast(seeds), "hash").select("doc_id", "words", "pos", F.explode("places").alias("at"))
+        hits = hits.select("doc_id", "words", "pos", "at.rep", "at.start", "at.span").join(F.broadcast(texts), "rep").withColumn("o", found)
     else:
-        hits = _windows(docs, "doc_id").join(seeds, "hash").select("doc_id", "pos", F.explode("places").alias("at"))
-        hits = hits.select("doc_id", "pos", "at.rep", "at.start").distinct()
+        hits = _windows(docs, "doc_id").drop("span").join(seeds, "hash").select("doc_id", "pos", F.explode("places").alias("at"))
+        hits = hits.select("doc_id", "pos", "at.rep", "at.start", "at.span").distinct()
         hits = hits.join(docs, "doc_id").join(texts, "rep").withColumn("o", found)
-    good = hits.where((F.col("o.matched") >= MATCHED) & (F.col("o.matched") >= SHARE * F.col("o.compared")))
-    best = good.groupBy("doc_id", "rep").agg(F.max(F.struct("o.matched", (-F.col("o.compared")).alias("minus"))).alias("b"))
+    # Judged once, in the aggregate: a filter before it would compute the windows a second time.
+    best = hits.groupBy("doc_id", "rep").agg(F.max("o").alias("b")).where("b is not null")
     names = items.join(texts, "item").select("rep", "item_id")
     return best.join(names, "rep").select("doc_id", "item_id", F.col("b.matched").cast("long").alias("matched"), (-F.col("b.minus")).cast("long").alias("compared"))
 
