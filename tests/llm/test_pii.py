@@ -56,6 +56,30 @@ def test_checksums_and_calendar_stay(spark):
     assert len({date.fromisoformat(x) for x in out}) == 4
 
 
+def test_day_first_and_one_digit_dates_and_other_groupings(spark):
+    values = [f"{d}/12/1999" for d in range(13, 32)] + ["31/1/2020", "13/9/1800", "29/02/2000", "1/5/2020", "1/31/2020", "12/5/2020", "1/05/2020", "31/12/2199", "5.1.2020", "31.1.2020", "5.12.2020", "9.9.2199"]
+    values += ["3782 822463 10005", "3782-822463-10005", "555 123 4567"]
+    kinds, out = mapped(spark, values)
+    assert kinds == ["date"] * (len(values) - 3) + ["card"] * 2 + ["phone"]
+    assert [re.sub(r"\d", "9", a) for a in values] == [re.sub(r"\d", "9", b) for b in out] and len(set(out)) == len(values)
+    assert all(int(b.split("/")[0]) > 12 for a, b in zip(values, out) if re.match(r"(1[3-9]|2|3)\d?/", a))
+    assert luhn(out[-3]) and luhn(out[-2])
+    assert mapped(spark, out, back=True) == (kinds, values)
+    assert mapped(spark, ["31/2/2020", "32/1/2020", "13/13/2020", "0/5/2020", "31/12/1799"])[0] == [None] * 5
+    text = f"on {values[0]}, {values[22]} and {values[28]}: {values[-3]}, call {values[-1]}."
+    got = pii.pseudonymise(spark.createDataFrame([(1, text)], "doc_id long, text string"), KEY).first()
+    assert got.n_pii == 5 and not any(v in got.text for v in (values[0], values[22], values[28], values[-3], values[-1]))
+
+
+@pytest.mark.parametrize("months, least, most", [(9, 13, 31), (12, 13, 31), (9, 1, 9), (9, 1, 31), (12, 1, 9)])
+def test_dates_are_permuted_among_their_like(spark, months, least, most):
+    days = spark.range(146097).select(F.date_add(F.lit("1800-01-01").cast("date"), F.col("id").cast("int")).alias("d"))
+    days = days.where((F.month("d") <= months) & F.dayofmonth("d").between(least, most))
+    out = days.select("d", pii._among(F.col("d"), months, least, most, KEY, False).alias("e")).select("d", "e", pii._among(F.col("e"), months, least, most, KEY, True).alias("f"))
+    n, kinds, back, good = out.agg(F.count("*"), F.countDistinct("e"), F.count_if(F.col("d") == F.col("f")), F.count_if((F.month("e") <= months) & F.dayofmonth("e").between(least, most))).first()
+    assert n == kinds == back == good
+
+
 def test_invalid_values_stay(spark):
     values = ["256.1.1.1", "2023-02-29", "000-12-3456", "666-12-3456", "1700-01-01"]
     assert mapped(spark, values) == ([None] * 5, values)

@@ -21,11 +21,11 @@ PATTERNS = {
     "secret": r"\b[0-9a-f]{32,64}\b|\b[0-9A-F]{32,64}\b",
     "ip": r"\b\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}\b",
     "date_iso": r"\b\d{4}-\d{2}-\d{2}\b",
-    "date_eu": r"\b\d{2}\.\d{2}\.\d{4}\b",
-    "date_us": r"\b\d{2}/\d{2}/\d{4}\b",
+    "date_eu": r"\b\d{1,2}\.\d{1,2}\.\d{4}\b",
+    "date_us": r"\b\d{1,2}/\d{1,2}/\d{4}\b",
     "ssn": r"\b\d{3}-\d{2}-\d{4}\b",
-    "phone": r"(?:\+\d{1,3}[ .-]?)?\(\d{2,4}\)[ .-]?\d{3,4}[ .-]?\d{3,4}\b|\+\d{1,3}(?:[ .-]?\d{2,4}){2,5}\b|\b\d{3}[.-]\d{3}[.-]\d{4}\b",
-    "card": r"\b\d{4}([ -])\d{4}\1\d{4}\1\d{4}\b",
+    "phone": r"(?:\+\d{1,3}[ .-]?)?\(\d{2,4}\)[ .-]?\d{3,4}[ .-]?\d{3,4}\b|\+\d{1,3}(?:[ .-]?\d{2,4}){2,5}\b|\b\d{3}[ .-]\d{3}[ .-]\d{4}\b",
+    "card": r"\b\d{4}([ -])(?:\d{4}\1\d{4}\1\d{4}|\d{6}\1\d{5})\b",
     "number": r"\b\d{13,19}\b",
 }
 #: As one expression; the card's back-reference counts from the expression's start, its group being the only one.
@@ -105,11 +105,69 @@ def _number(text: Column, key: str, back: bool) -> Column:
     return _filled(text, let(_digits(text), mapped))
 
 
-def _date(text: Column, fmt: str, kind: str, key: str, back: bool) -> Column:
+def _mixed(rank: Column, n: int, kind: str, key: str, back: bool) -> Column:
+    """A keyed permutation of 0 .. n-1 for an n without useful factors: of all but the last values, then of all but the first."""
+    a = int(n**0.5)
+    size = a * (n // a)
+    first = lambda r: F.when(r < size, feistel(r, a, n // a, F.lit(f"{kind}-1"), key, back)).otherwise(r)
+    last = lambda r: F.when(r >= n - size, n - size + feistel(r - (n - size), a, n // a, F.lit(f"{kind}-2"), key, back)).otherwise(r)
+    return let(last(rank), first) if back else let(first(rank), last)
+
+
+def _among(day: Column, months: int, least: int, most: int, key: str, back: bool) -> Column:
+    """Permutes the dates of the 400 years whose month is at most `months` (9 or 12) and whose day is from `least` to `most`.
+
+    most is 31 or, with least 1, 9: as many days as a month must have, or as every month has.
+    """
+    first, year = int(FIRST_DAY[:4]), lambda d: F.year(d) - int(FIRST_DAY[:4])
+    kind, skip, start = f"date-{months}-{least}-{most}", least - 1, F.to_date(F.lit(FIRST_DAY))
+    if most < 31:
+        rank = (year(day) * months + F.month(day) - 1) * most + F.dayofmonth(day) - 1
+        made = lambda r: F.make_date(F.call_function("div", r, F.lit(months * most)).cast("int") + first, (F.call_function("div", r, F.lit(most)) % months + 1).cast("int"), (r % most + 1).cast("int"))
+        return let(_mixed(rank, 400 * months * most, kind, key, back), made)
+    # From January to September a year has 92 days less; every month up to the date's own lacks its first days.
+    less = 92 if months == 9 else 0
+    n = DAYS_A * DAYS_B - 400 * (less + skip * months)
+    rank = F.datediff(day, start) - less * year(day) - skip * (months * year(day) + F.month(day))
+    before = lambda y: F.datediff(F.make_date(y + first, F.lit(1), F.lit(1)), start) - (less + skip * months) * y
+
+    def in_year(v: Column) -> Column:
+        past = lambda m: F.datediff(F.make_date(v["y"] + first, m, F.lit(1)), F.make_date(v["y"] + first, F.lit(1), F.lit(1))) - skip * (m - 1)
+        rest = v["r"] - before(v["y"])
+        month = F.array_max(F.filter(F.sequence(F.lit(1), F.lit(months)), lambda m: past(m) <= rest))
+        return let(month, lambda m: F.date_add(F.make_date(v["y"] + first, m, F.lit(1)), (rest - past(m) + skip).cast("int")))
+
+    def made(r: Column) -> Column:
+        guess = F.call_function("div", r * 400, F.lit(n)).cast("int")
+        near = F.filter(F.sequence(F.greatest(guess - 1, F.lit(0)), F.least(guess + 1, F.lit(399))), lambda y: before(y) <= r)
+        return let(F.struct(r.alias("r"), F.array_max(near).alias("y")), in_year)
+
+    return let(_mixed(rank, n, kind, key, back), made)
+
+
+def _date(text: Column, order: str, sign: str, key: str, back: bool) -> Column:
+    """order: the parts y, m and d as they stand. Parts keep their widths, so a one-digit month or day is mapped among those.
+
+    Where dates with the day before the month are read only if they make none with the month before the day (order Dmy), they are
+    mapped among those, whose day is 13 or more.
+    """
+    parts = F.split(text, f"[{sign}]")
+    at = {c: parts[i] for i, c in enumerate(order.lower())}
     first = F.to_date(F.lit(FIRST_DAY))
-    day = F.datediff(F.try_to_date(text, fmt), first)
-    new = F.date_add(first, feistel(day, DAYS_A, DAYS_B, F.lit("date"), key, back).cast("int"))
-    return F.when((day >= 0) & (day < DAYS_A * DAYS_B), F.date_format(new, fmt))
+    read = F.try_to_date(F.concat_ws("-", at["y"], F.lpad(at["m"], 2, "0"), F.lpad(at["d"], 2, "0")), "yyyy-MM-dd")
+    m1, d1 = F.length(at["m"]) == 1, F.length(at["d"]) == 1
+
+    def mapped(day: Column) -> Column:
+        gap = F.datediff(day, first)
+        if order == "Dmy":
+            new = F.when(F.dayofmonth(day) < 13, None).when(m1, _among(day, 9, 13, 31, key, back)).otherwise(_among(day, 12, 13, 31, key, back))
+        else:
+            new = F.date_add(first, feistel(gap, DAYS_A, DAYS_B, F.lit("date"), key, back).cast("int"))
+            new = F.when(m1 & d1, _among(day, 9, 1, 9, key, back)).when(m1, _among(day, 9, 1, 31, key, back)).when(d1, _among(day, 12, 1, 9, key, back)).otherwise(new)
+        return F.when((gap >= 0) & (gap < DAYS_A * DAYS_B), new)
+
+    told = {"y": lambda d: _pad(F.year(d), 4), "m": lambda d: _pad(F.month(d), F.length(at["m"])), "d": lambda d: _pad(F.dayofmonth(d), F.length(at["d"]))}
+    return let(let(read, mapped), lambda d: F.when(d.isNotNull(), F.concat_ws(sign, *[told[c](d) for c in order.lower()])))
 
 
 def _ip(text: Column, key: str, back: bool) -> Column:
@@ -167,9 +225,9 @@ def pseudonym(value: Column, key: str, back: bool = False) -> Column:
         "email": lambda: _email(value, key, back),
         "secret": lambda: _chunks(value, "[0-9a-f]{1,8}", 16, "secret", key, back),
         "ip": lambda: _ip(value, key, back),
-        "date_iso": lambda: _date(value, "yyyy-MM-dd", "date", key, back),
-        "date_eu": lambda: _date(value, "dd.MM.yyyy", "date", key, back),
-        "date_us": lambda: _date(value, "MM/dd/yyyy", "date", key, back),
+        "date_iso": lambda: _date(value, "ymd", "-", key, back),
+        "date_eu": lambda: _date(value, "dmy", ".", key, back),
+        "date_us": lambda: F.coalesce(_date(value, "mdy", "/", key, back), _date(value, "Dmy", "/", key, back)),
         "ssn": lambda: _ssn(value, key, back),
         "phone": lambda: _phone(value, key, back),
         "card": lambda: _number(value, key, back),
