@@ -25,7 +25,7 @@ def standardise(df: DataFrame, features: list[str], train: Column) -> DataFrame:
 def balanced_weight(df: DataFrame, y: str, name: str = "weight") -> DataFrame:
     """Each class has half of the weight."""
     c = df.agg(F.sum(y).alias("_p"), F.count("*").alias("_n"))
-    return df.crossJoin(F.broadcast(c)).withColumn(name, F.when(F.col(y) == 1, F.col("_n") / (2 * F.col("_p"))).otherwise(F.col("_n") / (2 * (F.col("_n") - F.col("_p"))))).drop("_p", "_n")
+    return df.crossJoin(F.broadcast(c)).withColumn(name, F.try_divide("_n", 2 * F.when(F.col(y) == 1, F.col("_p")).otherwise(F.col("_n") - F.col("_p")))).drop("_p", "_n")
 
 
 def _assembled(df: DataFrame, features: list[str]) -> DataFrame:

@@ -9,14 +9,15 @@ from tidemark.operators.sequence import quantile_cut
 def panel(prices: DataFrame, entity: str, period: Column, value: str, order: list[str], most: float, low: float, high: float, dark: int, loss: float, next_period: int = 1) -> DataFrame:
     """entity, p, close, ret, nxt: the last price of each period, the return since the row before and that of the next row.
 
-    Entities with any return above `most` or a price outside low .. high are left out whole. If an entity's prices end more than
-    `dark` periods before the panel does, its last return is worsened by `loss`, as its holders could not sell.
+    Entities with any return above `most` or a price outside low .. high are left out whole; a price after one of zero is a return
+    without bound, and leaves its entity out as well. If an entity's prices end more than `dark` periods before the panel does, its
+    last return is worsened by `loss`, as its holders could not sell.
     """
     p = prices.groupBy(entity, period.alias("p")).agg(F.max_by(value, F.struct(*order)).alias("close"))
     w = Window.partitionBy(entity).orderBy("p")
-    p = p.withColumn("ret", F.col("close") / F.lag("close").over(w) - 1)
+    p = p.withColumn("_was", F.lag("close").over(w)).withColumn("ret", F.try_divide("close", "_was") - 1)
     own = Window.partitionBy(entity)
-    bad = F.coalesce(F.max("ret").over(own) > most, F.lit(False)) | (F.max("close").over(own) > high) | (F.min("close").over(own) < low)
+    bad = F.coalesce(F.max("ret").over(own) > most, F.lit(False)) | F.coalesce(F.bool_or(F.col("_was") == 0).over(own), F.lit(False)) | (F.max("close").over(own) > high) | (F.min("close").over(own) < low)
     p = p.withColumns({"_bad": bad, "_last": F.max("p").over(own)}).where("not _bad")
     end = F.broadcast(prices.agg(F.max(period).alias("_end")))
     p = p.crossJoin(end)

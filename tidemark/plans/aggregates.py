@@ -195,11 +195,11 @@ def cube_counts(t):
     return t.orders.select(F.col("o_orderstatus").alias("s"), F.col("o_orderpriority").alias("p")).cube("s", "p").agg(n(F.count("*")).alias("n"))
 
 
-@R.query("perf_summary", "WITH m AS (SELECT o_orderpriority AS p, date_trunc('month', o_orderdate) AS m, avg(o_totalprice) / 250000 - 1 AS r FROM orders GROUP BY 1, 2) SELECT p, round(avg(r) * 12, 6) AS mean, round(stddev_samp(r) * sqrt(12), 6) AS vol, round(avg(r) * 12 / (stddev_samp(r) * sqrt(12)), 6) AS sharpe, round(avg((r > 0)::INT), 6) AS hit, round(min(r), 6) AS worst FROM m GROUP BY 1")
+@R.query("perf_summary", "WITH m AS (SELECT o_orderpriority AS p, date_trunc('month', o_orderdate) AS m, avg(o_totalprice) / 250000 - 1 AS r FROM orders GROUP BY 1, 2) SELECT p, round(avg(r) * 12, 6) AS mean, round(stddev_samp(r) * sqrt(12), 6) AS vol, round(avg(r) * 12 / nullif(stddev_samp(r) * sqrt(12), 0), 6) AS sharpe, round(avg((r > 0)::INT), 6) AS hit, round(min(r), 6) AS worst FROM m GROUP BY 1")
 def perf_summary(t):
     m = t.orders.groupBy(F.col("o_orderpriority").alias("p"), F.trunc("o_orderdate", "MM").alias("m")).agg((F.avg("o_totalprice") / 250000 - 1).alias("r"))
     mean, vol = F.avg("r") * 12, F.stddev_samp("r") * F.sqrt(F.lit(12.0))
-    return m.groupBy("p").agg(r6(mean).alias("mean"), r6(vol).alias("vol"), r6(mean / vol).alias("sharpe"), r6(F.avg((F.col("r") > 0).cast("int"))).alias("hit"), r6(F.min("r")).alias("worst"))
+    return m.groupBy("p").agg(r6(mean).alias("mean"), r6(vol).alias("vol"), r6(F.try_divide(mean, vol)).alias("sharpe"), r6(F.avg((F.col("r") > 0).cast("int"))).alias("hit"), r6(F.min("r")).alias("worst"))
 
 
 @R.query("topk_global", "SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 100")

@@ -157,7 +157,7 @@ def asof_join_forward(t):
     "forward_return",
     f"""WITH a AS ({_ASK}), l AS ({_LI}), e AS (SELECT o_orderkey, a.k, ld AS d0, v AS p0 FROM a ASOF LEFT JOIN l ON a.k = l.k AND (a.d + 1) <= l.ld),
     x AS (SELECT e.*, ld AS d1, v AS p1 FROM e ASOF LEFT JOIN l ON e.k = l.k AND (e.d0 + 182) >= l.ld)
-    SELECT o_orderkey, round(p1 / p0 - 1, 6) AS ret, (d1 < d0 + 175)::BIGINT AS dark FROM x WHERE d0 IS NOT NULL""",
+    SELECT o_orderkey, round(p1 / nullif(p0, 0) - 1, 6) AS ret, (d1 < d0 + 175)::BIGINT AS dark FROM x WHERE d0 IS NOT NULL""",
 )
 def forward_return(t):
     """First price from t + 1 on, last price up to 182 days after it, and whether prices stop a week before."""
@@ -166,7 +166,7 @@ def forward_return(t):
     e = T.asof_forward(a, ships, "k", "t1", "ld", ["v"], 100_000).where("_day is not null").select("o_orderkey", "k", F.col("_day").alias("d0"), F.col("v").alias("p0"))
     e = e.withColumn("t2", F.date_add("d0", 182))
     x = T.asof_backward(e, ships, "k", "t2", "ld", ["v"], strict=False)
-    return x.select("o_orderkey", r6(F.col("v") / F.col("p0") - 1).alias("ret"), n(F.col("_day") < F.date_add("d0", 175)).alias("dark"))
+    return x.select("o_orderkey", r6(F.try_divide("v", "p0") - 1).alias("ret"), n(F.col("_day") < F.date_add("d0", 175)).alias("dark"))
 
 
 @R.query(

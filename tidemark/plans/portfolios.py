@@ -64,13 +64,13 @@ def holdings_clone(t):
 
 
 @R.query("select_then_test", """WITH m AS (SELECT o_orderpriority AS s, date_trunc('month', o_orderdate)::DATE AS m, avg(o_totalprice) / 250000 - 1 AS r FROM orders GROUP BY 1, 2),
-    f AS (SELECT s, avg(r) FILTER (m < DATE '1998-01-01') / stddev_samp(r) FILTER (m < DATE '1998-01-01') * sqrt(12) AS chosen_by, avg(r) FILTER (m >= DATE '1998-01-01') * 12 AS mean, avg(r) FILTER (m >= DATE '1998-01-01') / stddev_samp(r) FILTER (m >= DATE '1998-01-01') * sqrt(12) AS sharpe FROM m GROUP BY 1)
+    f AS (SELECT s, avg(r) FILTER (m < DATE '1998-01-01') / nullif(stddev_samp(r) FILTER (m < DATE '1998-01-01'), 0) * sqrt(12) AS chosen_by, avg(r) FILTER (m >= DATE '1998-01-01') * 12 AS mean, avg(r) FILTER (m >= DATE '1998-01-01') / nullif(stddev_samp(r) FILTER (m >= DATE '1998-01-01'), 0) * sqrt(12) AS sharpe FROM m GROUP BY 1)
     SELECT s AS signal, round(chosen_by, 6) AS chosen_by, round(mean, 6) AS mean, round(sharpe, 6) AS sharpe FROM f ORDER BY f.chosen_by DESC, s LIMIT 1""")
 def select_then_test(t):
     """The signal that did best before a date, by what it did after."""
     m = t.orders.groupBy(F.col("o_orderpriority").alias("s"), F.trunc("o_orderdate", "MM").alias("m")).agg((F.avg("o_totalprice") / 250000 - 1).alias("r"))
     early = F.col("m") < F.lit("1998-01-01").cast("date")
-    ratio = lambda c: F.avg(F.when(c, F.col("r"))) / F.stddev_samp(F.when(c, F.col("r"))) * F.sqrt(F.lit(12.0))
+    ratio = lambda c: F.try_divide(F.avg(F.when(c, F.col("r"))), F.stddev_samp(F.when(c, F.col("r")))) * F.sqrt(F.lit(12.0))
     f = m.groupBy("s").agg(ratio(early).alias("by"), (F.avg(F.when(~early, F.col("r"))) * 12).alias("mean"), ratio(~early).alias("sharpe"))
     return f.orderBy(F.desc("by"), "s").limit(1).select(F.col("s").alias("signal"), r6("by").alias("chosen_by"), r6("mean").alias("mean"), r6("sharpe").alias("sharpe"))
 

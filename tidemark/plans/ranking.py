@@ -41,7 +41,7 @@ def auc_per_feature(t):
     return M.auc_per_feature(_scores(t), ["a", "b", "c"], "y").select("feature", r6("coverage").alias("coverage"), r6("auc").alias("auc"))
 
 
-@R.query("precision_at_k", f"WITH s AS ({_S}), k AS (SELECT y FROM s ORDER BY a DESC, doc_id LIMIT 100) SELECT count(*)::BIGINT AS k, sum(y)::BIGINT AS hits, round(avg(y), 6) AS precision, round(avg(y) / (SELECT avg(y) FROM s), 6) AS lift FROM k")
+@R.query("precision_at_k", f"WITH s AS ({_S}), k AS (SELECT y FROM s ORDER BY a DESC, doc_id LIMIT 100) SELECT count(*)::BIGINT AS k, sum(y)::BIGINT AS hits, round(avg(y), 6) AS precision, round(avg(y) / nullif((SELECT avg(y) FROM s), 0), 6) AS lift FROM k")
 def precision_at_k(t):
     return M.precision_at(_scores(t), "a", "y", "doc_id", 100).select("k", "hits", r6("precision").alias("precision"), r6("lift").alias("lift"))
 
@@ -114,13 +114,13 @@ def cascade_rank(t):
     return u.select("doc_id", r6(F.when(F.col("top"), 0.7 + 0.3 * Q.rank_unit(["lang", "top"], "c", "doc_id")).otherwise(F.col("u"))).alias("s"))
 
 
-@R.query("select_by_validation", f"""WITH s AS (SELECT *, doc_id % 4 AS fold FROM ({_S})), l AS (UNPIVOT s ON a, b, c INTO NAME model VALUE v), m AS (SELECT fold, model, avg(v) FILTER (y = 1) / avg(v) FILTER (y = 0) AS m FROM l GROUP BY 1, 2)
+@R.query("select_by_validation", f"""WITH s AS (SELECT *, doc_id % 4 AS fold FROM ({_S})), l AS (UNPIVOT s ON a, b, c INTO NAME model VALUE v), m AS (SELECT fold, model, avg(v) FILTER (y = 1) / nullif(avg(v) FILTER (y = 0), 0) AS m FROM l GROUP BY 1, 2)
     SELECT model, count(*) FILTER (win)::BIGINT AS wins, (count(*) FILTER (win) >= 3)::BIGINT AS chosen FROM (SELECT *, m = max(m) OVER (PARTITION BY fold) AS win FROM m) GROUP BY 1""")
 def select_by_validation(t):
     """A model is chosen if it wins in three of four folds."""
     l = _scores(t).withColumn("fold", F.col("doc_id") % 4).unpivot(["fold", "y"], ["a", "b", "c"], "model", "v")
     of = lambda y: F.avg(F.when(F.col("y") == y, F.col("v")))
-    m = l.groupBy("fold", "model").agg((of(1) / of(0)).alias("m"))
+    m = l.groupBy("fold", "model").agg(F.try_divide(of(1), of(0)).alias("m"))
     m = m.withColumn("win", F.col("m") == F.max("m").over(Window.partitionBy("fold")))
     return m.groupBy("model").agg(n(F.count_if("win")).alias("wins"), n(F.count_if("win") >= 3).alias("chosen"))
 

@@ -59,15 +59,17 @@ def expanding_count(t):
     return t.orders.select("o_orderkey", n(F.count("*").over(w)).alias("orders"), n(F.count(F.when(F.col("o_orderstatus") == "P", 1)).over(w)).alias("late"))
 
 
-@R.query("max_drawdown", "SELECT user_id, round(min(value / m - 1), 6) AS worst FROM (SELECT *, max(value) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS m FROM events) GROUP BY 1")
+@R.query("max_drawdown", "SELECT user_id, round(min(value / nullif(m, 0) - 1), 6) AS worst FROM (SELECT *, max(value) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS m FROM events) GROUP BY 1")
 def max_drawdown(t):
     w = Window.partitionBy("user_id").orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, 0)
-    return t.events.withColumn("m", F.max("value").over(w)).groupBy("user_id").agg(r6(F.min(F.col("value") / F.col("m") - 1)).alias("worst"))
+    return t.events.withColumn("m", F.max("value").over(w)).groupBy("user_id").agg(r6(F.min(F.try_divide("value", "m") - 1)).alias("worst"))
 
 
-@R.query("period_return", "SELECT event_id, round(value / lag(value) OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1, 6) AS ret FROM events")
+@R.query("period_return", "SELECT event_id, round(value / nullif(lag(value) OVER (PARTITION BY user_id ORDER BY ts, event_id), 0) - 1, 6) AS ret FROM events")
 def period_return(t):
-    return t.events.select("event_id", r6(F.col("value") / F.lag("value").over(Window.partitionBy("user_id").orderBy("ts", "event_id")) - 1).alias("ret"))
+    """There is no return on a price of zero."""
+    was = F.lag("value").over(Window.partitionBy("user_id").orderBy("ts", "event_id"))
+    return t.events.select("event_id", r6(F.try_divide("value", was) - 1).alias("ret"))
 
 
 @R.query("month_end_last", "SELECT o_custkey AS k, strftime(date_trunc('month', o_orderdate), '%Y-%m-%d') AS month, arg_max(o_totalprice, (o_orderdate, o_orderkey)) AS last FROM orders GROUP BY 1, 2")
