@@ -1,11 +1,15 @@
 """Main text of web pages by site style trees.
 
-The pages of a host are merged into one tree of styles: a node stands for all blocks that are reached by the same path of tags and
-classes. Two entropies make its importance: of its presentation, how much the way in which it is filled varies from page to page,
-and of its content, how much its texts differ. Menus, notices and footers that a template repeats have low values, an article
-has high ones. On each page the branches of low importance are removed, inside an article or main element as outside of it, and
-those that the markup itself names as no part of the article (navigation, forms, comments and the like). Nodes and not texts are
-removed, so an article keeps a passage that all pages of a site share. Where too few pages have a node, the markup is the prior.
+The pages of a host are merged into one tree of styles. A node stands for all elements that are reached by the same path of tags
+and class names; on a page it has a presentation, the sequence of its children, and a content, the texts directly in it. Over
+the pages that have the node, its presentation entropy tells how much the presentation varies; the content importance of its texts
+is one less their entropy over the pages: 0 for texts that are on all of them, 1 for texts of a single page. The composite importance of
+a node joins its own presentation with the content of the whole branch beneath it. A branch is noise if neither it nor any text in it
+is important: texts of such nodes are removed from each page, and so are elements too rare to be judged that stand in a noisy branch.
+
+Markup is the prior. Elements that are named as navigation, advert, form, comments and the like never get into the tree. Inside an
+article or main element a node has to vary less to be removed, and where the tree cannot judge a node, such an element decides if it
+holds half of the page's text or more.
 """
 
 import re
@@ -14,10 +18,16 @@ from html import unescape
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import keep, sized, table
+from tidemark.llm.common import keep, small, table
 
-#: A node is judged from this many pages of a host on, and is dropped below this importance (0: always the same, 1: never).
-MIN_PAGES, MIN_IMPORTANCE = 5, 0.3
+#: A node is judged from this many pages of a host on; below these importances a text outside and inside an article goes.
+MIN_PAGES, OUTSIDE, INSIDE = 5, 0.3, 0.1
+#: What a style takes from the weight of the content beneath a node, for each style that the node has.
+STYLE_DECAY = 0.9
+#: Elements deeper than this share the node of the one at this depth.
+DEPTH = 48
+#: Verdicts up to this many are sent to every executor; more are joined by a shuffle.
+BROADCAST_NODES = 200_000
 
 # Names of the HTML standard and common names of page parts.
 DROPPED = frozenset("script style noscript template iframe object embed svg math canvas audio video nav footer aside form button select textarea input dialog menu head title".split())
@@ -27,86 +37,116 @@ BLOCKS = frozenset(
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title noscript iframe xmp noembed noframes".split())
 ROLES = frozenset("navigation banner contentinfo complementary search dialog alert menu menubar toolbar form".split())
-PARTS = re.compile(
-    r"(?:^|[\s_-])(?:ad|ads|advert|adverts|advertisement|banner|breadcrumb|breadcrumbs|comment|comments|consent|cookie|cookies|disqus|footer|gdpr|login|masthead|menu|modal|nav|navbar|navigation|newsletter|notice|notices|overlay|pager|pagination|popup|promo|related|search|share|sharing|sidebar|signup|skip|social|sponsor|sponsored|subscribe|toolbar|widget)(?:$|[\s_-])"
+#: Names that make a part of the page wherever they stand in a class or id, and those that do as its last word, as in cookie-banner.
+PARTS = frozenset("ad ads advert adverts advertisement advertising breadcrumb breadcrumbs disqus footer gdpr masthead nav navbar navigation newsletter pagination popup sidebar sponsored".split())
+LAST = frozenset("banner comment comments consent cookie cookies login menu modal notice notices overlay pager promo related replies search share sharing signup skip social sponsor subscribe toolbar widget widgets".split())
+#: Words that say how a part is laid out; the word before them names it.
+LAYOUT = frozenset(
+    "area articles bar block body bottom box btn button buttons col column container content entry feed first form global group header holder icon icons inner item items last layer layout left link links list main media mobile outer panel posts primary right row secondary section site slot stories strip tab text thread title to top unit view wrap wrapper".split()
 )
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|$)|<![^>]*>|<\?[^>]*>|</?([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
-_ATTR = re.compile(r"([a-zA-Z-]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))")
+_TOKEN = re.compile(r"<!--(?:-?>|.*?(?:--!?>|\Z))|<![^>]*>|<\?[^>]*>|</(?![a-zA-Z])[^>]*>|</?([a-zA-Z][^\s/>]*)((?>[^>=]+|=\s*(?:\"[^\"]*\"|'[^']*')?)*+)>", re.S)
+_ATTR = re.compile(r"([^\s\"'<>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>][^\s>]*)))?")
+_WORDS = re.compile(r"[^\W\d_]+")
+_CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 #: What the start of one element ends in another that is still open.
 _ENDS = {"p": BLOCKS, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr"}, "td": {"td", "th", "tr"}, "th": {"td", "th", "tr"}, "option": {"option", "optgroup"}}
 _SCOPE = frozenset("article main section div ul ol dl table td th blockquote body nav aside form footer header".split())
 
 
-def _named(attrs: str) -> tuple[str, bool]:
-    """The classes and id of a start tag, and whether they or its role name a part that is no article."""
-    if "=" not in attrs:
-        return "", bool(re.search(r"(?i)\bhidden\b", attrs))
-    a = {m[1].lower(): (m[2] or m[3] or m[4] or "").lower() for m in _ATTR.finditer(attrs)}
-    name = f"{a.get('class', '')} {a.get('id', '')}".strip()
-    return name, bool(PARTS.search(name)) or a.get("role", "") in ROLES or a.get("aria-hidden") == "true"
+def names_a_part(name: str) -> bool:
+    """Whether a class or id names a part of the page that is no article: ad-slot, site-footer, cookie-notice, but not share-price."""
+    words = [w.lower() for w in _WORDS.findall(_CAMEL.sub("-", name.split("--")[0]))]
+    if any(w in PARTS for w in words):
+        return True
+    while words and words[-1] in LAYOUT:
+        words.pop()
+    return bool(words) and words[-1] in LAST
+
+
+def _attributes(attrs: str) -> tuple[str, bool, frozenset]:
+    """Of a start tag: its class names and id without digits, as one text; whether they, its role or a hidden attribute name a part; the classes."""
+    if not attrs.strip(" \t\n\r\f/"):
+        return "", False, frozenset()
+    a = {m[1].lower(): m[2] or m[3] or m[4] or "" for m in _ATTR.finditer(attrs)}
+    names = [*a.get("class", "").split(), *a.get("id", "").split()]
+    part = any(map(names_a_part, names)) or a.get("role", "").lower() in ROLES or a.get("aria-hidden", "").lower() == "true" or "hidden" in a
+    return " ".join(re.sub(r"\d+", "", n.lower()) for n in names), part, frozenset(n.lower() for n in a.get("class", "").split())
 
 
-def blocks(html: str | None) -> list[tuple[str, bool, str]]:
-    """The text blocks of a page in order: path of tags and classes, whether in an article or main element, text.
+class Page:
+    """The text blocks of a page in order, and the nodes of the style tree that it has.
 
-    Blocks inside dropped elements or parts named as such are left out. Character references are decoded, white space is one blank.
+    blocks: (node, whether inside an article or main element, text); tree: node to (its ancestors from the top, whether inside, the
+    presentation on this page). Nodes are 64-bit hashes of the host and the path. Parts named as such are in neither. Character
+    references are decoded and white space is one blank. Markup of any kind gives some result, and no text is lost to broken quotes.
     """
-    if not html:
-        return []
-    out: list[tuple[str, bool, str]] = []
-    stack: list[tuple[str, str, bool, bool]] = [("", "", False, False)]  # tag, path, dropped, in the article
-    text: list[str] = []
-
-    def flush() -> None:
-        if text:
-            if line := " ".join(unescape("".join(text)).split()):
-                out.append((stack[-1][1], stack[-1][3], line))
-            text.clear()
-
-    def close(to: int) -> None:
-        flush()
-        del stack[to:]
-
-    at, end = 0, len(html)
-    while at < end:
-        m = _TOKEN.search(html, at)
-        if m is None:
-            if not stack[-1][2]:
-                text.append(html[at:])
-            break
-        if m.start() > at and not stack[-1][2]:
-            text.append(html[at : m.start()])
-        at = m.end()
-        if not m[1]:
-            continue
-        tag = m[1].lower()
-        if html[m.start() + 1] == "/":
-            if tag in BLOCKS:
-                for i in range(len(stack) - 1, 0, -1):
-                    if stack[i][0] == tag:
-                        close(i)
-                        break
-                    if stack[i][0] in ("article", "main", "body") and tag not in ("article", "main", "body", "html"):
-                        break
-                else:
-                    flush()
-            elif tag in DROPPED:
-                for i in range(len(stack) - 1, 0, -1):
-                    if stack[i][0] == tag:
-                        close(i)
-                        break
-            continue
-        if tag == "br":
-            if not stack[-1][2]:
-                text.append(" ")
-            continue
-        if tag in RAW or tag in DROPPED and tag in VOID:
+
+    def __init__(self, host: str, html: str | None):
+        from xxhash import xxh64_intdigest
+
+        self.blocks: list[tuple[int, bool, str]] = []
+        self.tree: dict[int, tuple[tuple, bool, int]] = {}
+        if not html:
+            return
+        digest = lambda *x: xxh64_intdigest("\x00".join(map(str, x)))
+        # An open element: tag, node, ancestors, dropped, inside, hash of its children so far.
+        stack: list[list] = [["", digest(host), (), False, False, 0]]
+        opened: dict[str, int] = {}
+        text: list[str] = []
+
+        def flush() -> None:
+            if text:
+                if line := " ".join(unescape("".join(text)).split()):
+                    at = stack[-1]
+                    self.blocks.append((at[1], at[4], line))
+                    at[5] = digest(at[5], "text")
+                text.clear()
+
+        def close(to: int) -> None:
+            flush()
+            while len(stack) > to:
+                tag, node, above, dropped, inside, style = stack.pop()
+                opened[tag] -= 1
+                if not dropped:
+                    seen = self.tree.get(node)
+                    self.tree[node] = (above, inside, style if seen is None else digest(seen[2], style))
+
+        at, end = 0, len(html)
+        while at < end:
+            m = _TOKEN.search(html, at)
+            if m is None:
+                if not stack[-1][3]:
+                    text.append(html[at:])
+                break
+            if m.start() > at and not stack[-1][3]:
+                text.append(html[at : m.start()])
+            at = m.end()
+            if not m[1]:
+                continue
+            tag = m[1].lower()
+            if html[m.start() + 1] == "/":
+                if not opened.get(tag):
+                    if tag in BLOCKS:
+                        flush()
+                elif tag in BLOCKS or tag in DROPPED:
+                    for i in range(len(stack) - 1, 0, -1):
+                        if stack[i][0] == tag:
+                            close(i)
+                            break
+                        if tag in BLOCKS and stack[i][0] in ("article", "main", "body") and tag not in ("article", "main", "body", "html"):
+                            break
+                continue
+            if tag == "br":
+                if not stack[-1][3]:
+                    text.append(" ")
+                continue
             if tag in RAW:
-                stop = re.compile(rf"</{tag}\s*>", re.I).search(html, at)
+                stop = re.compile(rf"</{tag}(?=[\s/>])[^>]*>", re.I).search(html, at)
                 at = stop.end() if stop else end
-            continue
-        if tag in BLOCKS or tag in DROPPED:
+                continue
+            if tag not in BLOCKS and tag not in DROPPED:
+                continue
             flush()
             for i in range(len(stack) - 1, 0, -1):
                 if stack[i][0] in _ENDS and tag in _ENDS[stack[i][0]]:
@@ -116,56 +156,89 @@ def blocks(html: str | None) -> list[tuple[str, bool, str]]:
                     break
             if tag in VOID:
                 continue
-            name, part = _named(m[2])
-            above = stack[-1]
+            name, part, classes = _attributes(m[2])
+            up = stack[-1]
             if tag in ("html", "body", "main") or tag == "article" and "comment" not in name:
                 part = False
-            inside = above[3] or tag in ("article", "main")
-            drop = above[2] or tag in DROPPED or part or (not inside and (tag == "header" or "header" in name.split()))
-            stack.append((tag, f"{above[1]}/{tag}{'.' + name if name else ''}", drop, inside))
-    flush()
-    return out
+            inside = up[4] or tag in ("article", "main")
+            drop = up[3] or tag in DROPPED or part or (not inside and (tag == "header" or "header" in classes))
+            if not drop:
+                up[5] = digest(up[5], tag, name)
+            deep = len(up[2]) >= DEPTH
+            stack.append([tag, up[1] if deep else digest(up[1], tag, name), up[2] if deep else (*up[2], up[1]), drop, inside, 0])
+            opened[tag] = opened.get(tag, 0) + 1
+        close(1)
+        flush()
+        _, node, above, _, inside, style = stack[0]
+        self.tree[node] = (above, inside, style)
+
+
+_SIGNED = lambda x: x - (1 << 64) if x >= 1 << 63 else x
 
 
 def _parsed(batches):
-    """page_id, url, host, html to the same without html and with the blocks: node, inside, text, and the text's hash."""
+    """page_id, url, host, html to the same without html, with key, blocks and tree. key: the hash of the longest text."""
     import pyarrow as pa
     from xxhash import xxh64_intdigest
 
-    kind = pa.list_(pa.struct([("node", pa.int64()), ("inside", pa.bool_()), ("text", pa.string()), ("h", pa.int64())]))
-    signed = lambda x: x - (1 << 64) if x >= 1 << 63 else x
+    block = pa.list_(pa.struct([("node", pa.int64()), ("inside", pa.bool_()), ("text", pa.string()), ("h", pa.int64())]))
+    node = pa.list_(pa.struct([("node", pa.int64()), ("above", pa.list_(pa.int64())), ("inside", pa.bool_()), ("style", pa.int64())]))
     for batch in batches:
-        rows = []
+        keys, rows, trees = [], [], []
         for host, html in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
+            page = Page(host, html)
             # The host's own name says nothing about a page.
-            rows.append([{"node": signed(xxh64_intdigest(p)), "inside": i, "text": t, "h": signed(xxh64_intdigest(t.replace(host, "") if host else t))} for p, i, t in blocks(html)])
-        yield pa.RecordBatch.from_arrays([*[batch.column(k) for k in range(3)], pa.array(rows, kind)], names=["page_id", "url", "host", "blocks"])
+            found = [(n, i, t, _SIGNED(xxh64_intdigest(t.replace(host, "") if host else t))) for n, i, t in page.blocks]
+            keys.append(max(found, key=lambda b: (len(b[2]), b[3]))[3] if found else 0)
+            rows.append([{"node": _SIGNED(n), "inside": i, "text": t, "h": h} for n, i, t, h in found])
+            trees.append([{"node": _SIGNED(n), "above": list(map(_SIGNED, above)), "inside": i, "style": _SIGNED(s)} for n, (above, i, s) in page.tree.items()] if found else [])
+        yield pa.RecordBatch.from_arrays([*[batch.column(k) for k in range(3)], pa.array(keys, pa.int64()), pa.array(rows, block), pa.array(trees, node)], names=["page_id", "url", "host", "key", "blocks", "tree"])
 
 
 def host_name(url: Column) -> Column:
     return F.lower(F.regexp_extract(F.coalesce(url, F.lit("")), r"^[^:]*://([^/?#]*)", 1))
 
 
+def style_tree(pages: DataFrame) -> DataFrame:
+    """node, host, above, inside, pages, presentation, styles, content, weight, branch, top, composite: the merged trees of all hosts.
+
+    pages: host, key, blocks, tree. Pages with the same longest text are copies or near copies; they tell about one text and nothing
+    about the template, so they count as one page, their key. content: the importance of the node's own texts (null without any),
+    weight: how often they occur; branch and top: the weighted mean and the greatest of content in the whole branch, of nodes with
+    MIN_PAGES pages or more (null without such). Counts are merged before they are dealt out, so a host with a third of all pages sends a row per text and task.
+    """
+    part = pages.select("host", "key", F.explode("tree").alias("t")).select("host", "key", "t.*")
+    nodes = part.select("node", "host", "above", "inside").dropDuplicates(["node"])
+    xlogx = lambda n: n * F.log(n)
+    shape = part.select("node", "style", "key").distinct().groupBy("node", "style").agg(F.count("*").alias("n"))
+    shape = shape.groupBy("node").agg(F.sum("n").alias("pages"), F.count("*").alias("styles"), F.sum(xlogx(F.col("n"))).alias("s"))
+    vary = F.when(F.col("pages") > 1, 1 - F.col("s") / xlogx(F.col("pages"))).otherwise(1.0)
+    shape = shape.select("node", "pages", "styles", vary.alias("presentation"))
+    texts = pages.select("key", F.explode("blocks").alias("b")).select("b.node", "b.h", "key").distinct().groupBy("node", "h").agg(F.count("*").alias("n"))
+    texts = texts.groupBy("node").agg(F.sum("n").alias("weight"), F.sum(xlogx(F.col("n"))).alias("s"))
+    alone = F.when(F.col("pages") > 1, 1 - F.col("s") / (F.col("weight") * F.log("pages"))).when(F.col("weight").isNotNull(), 1.0)
+    all_ = nodes.join(shape, "node").join(texts, "node", "left").withColumn("content", alone).drop("s")
+    all_ = keep(all_, "style-nodes")
+    beneath = all_.where(F.col("content").isNotNull() & (F.col("pages") >= MIN_PAGES)).select(F.explode(F.array_append("above", F.col("node"))).alias("node"), "content", "weight")
+    beneath = beneath.groupBy("node").agg((F.sum(F.col("content") * F.col("weight")) / F.sum("weight")).alias("branch"), F.max("content").alias("top"))
+    own = F.pow(F.lit(STYLE_DECAY), "styles")
+    return all_.join(beneath, "node", "left").withColumn("composite", (1 - own) * F.col("presentation") + own * F.col("branch"))
+
+
 def judged_nodes(pages: DataFrame) -> DataFrame:
-    """host, low, high: the nodes of each host's style tree that are to be removed, and those that are to be kept.
+    """host, node, low: nodes with texts that are to be removed (low) or, if the tree can judge them, kept (not low).
 
-    pages: host, blocks. Per node with M pages: the content entropy is that of its texts over the pages, base M; the
-    presentation entropy is that of how often it is filled on a page, base M. The importance is the greater of the two. Copies of
-    a page count once, as they tell nothing about a template; nodes with fewer than MIN_PAGES pages are in neither list. Counts
-    are merged before they are dealt out, so a host with a third of all pages sends one row per text and task.
+    A node with MIN_PAGES pages or more is judged by the importance of its own texts; a rarer one goes with the nearest branch
+    above it that is judged, if that is noise through and through.
     """
-    filled = pages.select("host", F.transform("blocks", lambda b: F.struct(b["node"].alias("node"), b["h"].alias("h"))).alias("blocks"))
-    once = filled.withColumn("page", F.xxhash64("blocks")).groupBy("host", "page").agg(F.first("blocks").alias("blocks"))
-    each = once.select("host", "page", F.explode("blocks").alias("b"))
-    times = each.groupBy("host", "page", "b.node").agg(F.count("*").alias("k"))
-    shape = times.groupBy("host", "node", "k").agg(F.count("*").alias("n"))
-    # Entropy of counts n with sum M: log M - sum(n log n) / M.
-    ent = lambda n, total: F.when(total > 1, (F.log(total) - F.sum(n * F.log(n)) / total) / F.log(total)).otherwise(1.0)
-    shape = shape.groupBy("host", "node").agg(F.sum("n").alias("pages"), ent(F.col("n"), F.sum("n")).alias("e_shape"))
-    content = each.groupBy("host", "b.node", "b.h").agg(F.count("*").alias("n")).groupBy("host", "node").agg(ent(F.col("n"), F.sum("n")).alias("e_text"))
-    low = F.greatest("e_shape", "e_text") < MIN_IMPORTANCE
-    judged = shape.join(content, ["host", "node"]).where(F.col("pages") >= MIN_PAGES)
-    return judged.groupBy("host").agg(F.collect_list(F.when(low, F.col("node"))).alias("low"), F.collect_list(F.when(~low, F.col("node"))).alias("high"))
+    tree = keep(style_tree(pages), "style-tree")
+    least = F.when(F.col("inside"), INSIDE).otherwise(OUTSIDE)
+    known = F.col("pages") >= MIN_PAGES
+    own = tree.where(known & F.col("content").isNotNull()).select("host", "node", (F.col("content") < least).alias("low"))
+    noise = tree.where(known & F.col("composite").isNotNull()).select(F.col("node").alias("up"), ((F.col("composite") < least) & (F.col("top") < least)).alias("noise"))
+    rare = tree.where(~known & F.col("content").isNotNull()).select("host", "node", F.posexplode("above").alias("depth", "up"))
+    rare = rare.join(noise, "up").groupBy("host", "node").agg(F.max_by("noise", "depth").alias("low")).where("low")
+    return own.unionByName(rare)
 
 
 def extract(pages: DataFrame) -> DataFrame:
@@ -173,17 +246,33 @@ def extract(pages: DataFrame) -> DataFrame:
 
     A null or empty html has an empty text. Pages give all blocks that their host's style tree does not remove. Blocks that it
     cannot judge are kept, but for those outside of the article or main elements of a page if these hold half of its text or
-    more. Blocks are joined by a line feed in page order. A null url has an empty host; its pages are merged like those of any
-    host. Repeated rows are treated alike. Further columns are not read.
+    more. A box is never most of an article: where the nodes that are to go hold half of the text inside, the article is one of many
+    near copies, and stays if it is most of the page. Blocks are joined by a line feed in page order. A null url has an empty host; its pages are merged like
+    those of any host. Repeated rows are treated alike. Further columns are not read.
     """
     slim = pages.select("page_id", "url", host_name(F.col("url")).alias("host"), F.col("html").cast("string").alias("html"))
-    kind = f"page_id {pages.schema['page_id'].dataType.simpleString()}, url string, host string, blocks array<struct<node:bigint,inside:boolean,text:string,h:bigint>>"
-    parsed = keep(slim.mapInArrow(_parsed, kind), "parsed-pages")
-    judged = sized(keep(judged_nodes(parsed), "judged-nodes"), 20_000)
-    chars = F.aggregate("blocks", F.lit(0).cast("long"), lambda n, b: n + F.when(b["inside"], 1).otherwise(-1) * F.length(b["text"]))
-    df = parsed.withColumn("marked", chars >= 0).join(judged, "host", "left")
+    kind = (
+        f"page_id {pages.schema['page_id'].dataType.simpleString()}, url string, host string, key bigint, blocks array<struct<node:bigint,inside:boolean,text:string,h:bigint>>, "
+        "tree array<struct<node:bigint,above:array<bigint>,inside:boolean,style:bigint>>"
+    )
+    parsed = keep(slim.mapInArrow(_parsed, kind).withColumn("row", F.monotonically_increasing_id()), "parsed-pages")
+    judged = keep(judged_nodes(parsed), "judged-nodes")
+    lists = [F.collect_list(F.when(c, F.col("node"))).alias(k) for k, c in (("low", F.col("low")), ("high", ~F.col("low")))]
+    df = parsed.select("row", "page_id", "url", "host", F.transform("blocks", lambda b: F.struct(b["node"].alias("node"), b["inside"].alias("inside"), b["text"].alias("text"))).alias("blocks"))
+    if small(judged, BROADCAST_NODES):
+        df = df.join(F.broadcast(judged.groupBy("host").agg(*lists)), "host", "left")
+    else:
+        at = parsed.select("row", F.explode(F.array_distinct("blocks.node")).alias("node")).join(judged.select("node", "low"), "node")
+        df = df.join(at.groupBy("row").agg(*lists), "row", "left")
     among = lambda nodes, b: F.coalesce(F.array_contains(nodes, b["node"]), F.lit(False))
-    wanted = lambda b: ~among("low", b) & (among("high", b) | b["inside"] | ~F.col("marked"))
+    chars = lambda of: F.aggregate("blocks", F.lit(0).cast("long"), lambda n, b: n + of(b) * F.length(b["text"]))
+    df = df.withColumns(
+        {
+            "marked": chars(lambda b: F.when(b["inside"], 1).otherwise(-1)) >= 0,
+            "copied": chars(lambda b: F.when(~b["inside"], 0).when(among("low", b), 1).otherwise(-1)) >= 0,
+        }
+    )
+    wanted = lambda b: F.when(b["inside"], ~among("low", b) | (F.col("copied") & F.col("marked"))).otherwise(among("high", b) | (~among("low", b) & ~F.col("marked")))
     text = F.array_join(F.transform(F.filter("blocks", wanted), lambda b: b["text"]), "\n")
     return df.select("page_id", "url", text.alias("text")).withColumn("n_chars", F.length("text").cast("long"))
 
