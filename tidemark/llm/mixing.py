@@ -1,102 +1,161 @@
 """Mixing sources to target weights by entropy balancing.
 
-Every document gets a rate r = q * exp(lambda of its source), the distribution nearest to the base rates q (in relative
-entropy, weighted by size) whose expected tokens meet each source's target; the lambdas solve the convex dual. Rates are
-bounded by a cap. Newton steps run on all sources at once over cells (source, base rate), the sums that the dual needs, and
-every step is a window sum over the same partitioning by source, so all steps share one shuffle. The rates are then rounded into
-whole copies: the integer part for all, one more for a source's documents in the order of a hash until the remaining tokens are met.
+Every document gets a rate r = min(cap, q * exp(lambda of its source)): the distribution nearest to the base rates q, in relative
+entropy weighted by size, whose words meet each source's target while no rate exceeds the cap. The lambdas solve the convex dual.
+Its gradient, the words taken less the target, needs sums over cells (source, base rate) only, which all documents are counted
+into first; Newton's iterations then run for all sources at once, each on its cells. The tilted rates are rounded into copies: the
+integer part for all, and one more for the documents with the least u / fraction (u: a hash of the id in 0 .. 1), so that each
+document gets its extra copy with a chance in proportion to its fraction, until the source's words are spent.
 """
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import WORD, keep, sized, table
+from tidemark.llm.common import WORD, keep, let, sized, table
 
 #: Weights by the sources' order, repeating.
 WEIGHTS = (5, 2, 1)
-#: Tokens of the mix as a share of all tokens, and the most copies of a document.
-SHARE, CAP = 1.5, 2.0
-NEWTON_STEPS = 12
-#: A source is dealt into this many parts by hash; only one of them is put in order.
-PARTS = 4096
+#: Words of the mix as a share of all words, and the most copies of a document.
+SHARE, CAP = 1.5, 2
+#: Texts of this many words have half of the base rate of long ones.
+HALF = 20
+#: Base rates are rounded on a grid of this many steps per factor e, from e**-LEVELS to e**LEVELS; a source has no more cells than that.
+GRID, LEVELS = 20, 15
+#: Most Newton steps, and the relative gap to the target at which they end; a larger one at the end raises.
+NEWTON_STEPS, TOLERANCE = 200, 1e-9
+#: Rates are whole billionths; a hash of the id has U bits.
+UNIT, U_BITS = 1_000_000_000, 52
+#: Ranges of u / fraction; only one of them is put in order.
+RANGES, RANGES_PER_ONE = 1 << 16, 1 << 14
+#: Documents that may fill what a source's last one leaves.
+FILLS = 3
 
 
 def size_of(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
+def ordered(sources: DataFrame, col: str = "source") -> DataFrame:
+    """Adds i: the place of each row (a row per source) in code point order from 0, null last. Ranges of sources are ordered by themselves."""
+    cut = keep(sources.repartitionByRange(F.col(col).asc_nulls_last()).withColumn("_p", F.spark_partition_id()), "sources")
+    start = cut.groupBy("_p").agg(F.count("*").alias("_n"))
+    start = start.select("_p", (F.sum("_n").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("_n")).alias("_0"))  # a row per range
+    here = Window.partitionBy("_p").orderBy(F.col(col).asc_nulls_last())
+    return cut.join(F.broadcast(start), "_p").withColumn("i", F.col("_0") + F.row_number().over(here) - 1).drop("_p", "_0")
+
+
 def targets(sources: DataFrame, weights=WEIGHTS, share: float = SHARE, cap: float = CAP) -> DataFrame:
     """sources: source, source_size (a row per source). Adds target.
 
-    The sources in code point order, null last, have the weights repeating. The shares are levelled like water: sorted by the
-    level w at which a source is full (cap * size / weight), the common level is fixed by what the full ones leave. This runs
-    on one row per source; the order of all sources is what the weights are defined by.
+    The sources in code point order, null last, have the weights repeating. All words times share are dealt out by weight; what
+    exceeds a source's cap * size is dealt out again among the others until none is above. A round is one sum over the sources.
     """
-    by_name = Window.orderBy(F.col("source").asc_nulls_last())
-    s = sources.withColumn("w", F.element_at(F.array(*map(F.lit, weights)), (F.pmod(F.row_number().over(by_name) - 1, F.lit(len(weights))) + 1)).cast("double"))
-    s = s.withColumns({"most": cap * F.col("source_size"), "full_at": cap * F.col("source_size") / F.col("w")})
-    every, up_to = Window.partitionBy(), Window.orderBy("full_at", F.col("source").asc_nulls_last()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    s = s.withColumns({"total": share * F.sum("source_size").over(every), "w_all": F.sum("w").over(every), "most_here": F.sum("most").over(up_to), "w_here": F.sum("w").over(up_to)})
-    # The level if exactly the sources before this one are full; the right one is the first at which this one is not, the greatest of those.
-    s = s.withColumn("level", (F.col("total") - (F.col("most_here") - F.col("most"))) / (F.col("w_all") - (F.col("w_here") - F.col("w"))))
-    level = F.max(F.when(F.col("level") <= F.col("full_at"), F.col("level"))).over(every)
-    return s.withColumn("target", F.round(F.least(F.coalesce(F.col("w") * level, F.col("most")), F.col("most")), 6)).select("source", "source_size", "target")
-
-
-def balanced_rates(cells: DataFrame, cap: float = CAP, steps: int = NEWTON_STEPS) -> DataFrame:
-    """cells: source, base, tokens, target. Adds rate = min(cap, base * exp(lambda)) with sum(tokens * rate) = target per source.
-
-    The dual of a source is convex in lambda with gradient sum(tokens * rate) - target and curvature sum(tokens * rate) over the
-    cells below the cap. The start is the cap for all: from above, Newton's steps on a convex function go down monotonically.
-    A source without tokens, or with a target that the cap cannot meet, keeps its start.
+    nth = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (F.col("i") % len(weights) + 1).cast("int"))
+    s = keep(ordered(sources).select("source", "source_size", nth.alias("w"), (F.lit(float(cap)) * F.col("source_size")).alias("most")), "weights")
+    total = s.agg(F.sum("source_size").alias("n"), F.sum("w").alias("w")).first()
+    level, full = (share * (total["n"] or 0) / total["w"], -1) if total["w"] else (0.0, 0)
+    while True:
+        over = F.col("w") * level > F.col("most")
+        got = s.agg(F.count_if(over).alias("full"), F.sum(F.when(over, F.col("most"))).alias("most"), F.sum(F.when(~over, F.col("w"))).alias("w")).first()
+        if got["full"] == full or not got["w"]:
+            break
+        full, level = got["full"], (share * total["n"] - (got["most"] or 0.0)) / got["w"]
+    return s.select("source", "source_size", F.round(F.least(F.col("w") * level, F.col("most")), 6).alias("target"))
+
+
+def _solved(v: Column, cap: float) -> Column:
+    """Struct (m, gap) for a struct (cells: array of (base, tokens), target): m = exp(lambda), and what the target is missed by.
+
+    sum(tokens * min(base * m, cap)) is concave and piecewise linear in m. Newton's steps start below the solution, where no cell
+    is capped, go up monotonically and end on its piece.
     """
-    own = Window.partitionBy("source")
-    start = F.max(F.log(F.lit(cap) / F.col("base"))).over(own)
-    df = cells.withColumn("lam", start)
-    for _ in range(steps):
-        tilted = F.col("base") * F.exp("lam")
-        df = df.withColumns({"r": F.col("tokens") * F.least(tilted, F.lit(cap)), "c": F.when(tilted <= cap * (1 + 1e-12), F.col("tokens") * tilted).otherwise(0.0)})
-        df = df.withColumns({"r": F.sum("r").over(own), "c": F.sum("c").over(own)})
-        step = F.when((F.col("c") > 0) & (F.col("target") > 0), F.greatest(F.try_divide(F.col("r") - F.col("target"), F.col("c")), F.lit(0.0)) * F.lit(-1.0))
-        # Relative gap: log(target / tokens) is the exact step where no cell is capped, and Newton's step otherwise.
-        exact = F.when(F.abs(F.col("r") - F.col("c")) <= 1e-9 * F.col("r"), F.log(F.try_divide(F.col("target"), F.col("r"))))
-        df = df.withColumn("lam", F.col("lam") + F.coalesce(exact, step, F.lit(0.0)))
-    rate = F.when(F.col("target") > 0, F.least(F.col("base") * F.exp("lam"), F.lit(cap))).otherwise(0.0)
-    return df.withColumn("rate", F.round(rate, 9)).drop("lam", "r", "c")
-
-
-def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, cap: float = CAP, base_col: str | None = None) -> DataFrame:
+    total = lambda m, of: F.aggregate(v["cells"], F.lit(0.0), lambda a, c: a + of(c, m))
+    taken = lambda m: total(m, lambda c, m: c["tokens"] * F.least(c["base"] * m, F.lit(float(cap))))
+    slope = lambda m: total(m, lambda c, m: F.when(c["base"] * m < cap, c["tokens"] * c["base"]).otherwise(0.0))
+
+    def step(s: Column, _: Column) -> Column:
+        gap = v["target"] - s["taken"]
+        moved = s["m"] + F.coalesce(F.try_divide(gap, slope(s["m"])), F.lit(0.0))
+        return F.when(gap <= TOLERANCE * 1e-3 * v["target"], s).otherwise(let(moved, lambda m: F.struct(m.alias("m"), taken(m).alias("taken"))))
+
+    first = F.coalesce(F.try_divide(v["target"], total(F.lit(1.0), lambda c, _: c["tokens"] * c["base"])), F.lit(0.0))
+    start = let(first, lambda m: F.struct(m.alias("m"), taken(m).alias("taken")))
+    return F.aggregate(F.sequence(F.lit(1), F.lit(NEWTON_STEPS)), start, step, lambda s: F.struct(s["m"].alias("m"), (v["target"] - s["taken"]).alias("gap")))
+
+
+def balanced_rates(cells: DataFrame, cap: float = CAP) -> DataFrame:
+    """cells: source, base (positive), tokens, target (the source's). Adds rate = min(cap, base * exp(lambda)).
+
+    Per source sum(tokens * rate) is the target, within TOLERANCE of it; a target that no rates can meet, above cap * tokens or
+    without any tokens, raises. A target of zero or null has rates of zero. A source's cells meet in one row: a caller bounds their number.
+    """
+    per = cells.groupBy("source").agg(F.max(F.coalesce(F.col("target").cast("double"), F.lit(0.0))).alias("target"), F.collect_list(F.struct(F.col("base").cast("double").alias("base"), F.col("tokens").cast("double").alias("tokens"))).alias("cells"))
+    per = per.withColumn("s", _solved(F.struct("cells", "target"), cap))
+    unmet = F.raise_error(F.format_string("no rates meet the target %s of source %s", "target", "source")).cast("double")
+    m = F.when(F.abs("s.gap") <= TOLERANCE * F.greatest(F.col("target"), F.lit(1.0)), F.col("s.m")).otherwise(unmet)
+    out = per.select("source", "target", m.alias("m"), F.explode("cells").alias("c"))
+    return out.select("source", "c.base", "c.tokens", "target", F.least(F.col("c.base") * F.col("m"), F.lit(float(cap))).alias("rate"))
+
+
+def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, cap: int = CAP, base: Column | None = None) -> DataFrame:
     """A row per row of docs (doc_id, text, source): doc_id, size, source_size, target, taken.
 
-    size counts words (null text: 0). taken is copies * size. base_col: a positive base rate per document (default 1). The order
-    within a source is md5 of the id and then the size, so reruns agree; rows that tie in both are taken together or not at
-    all. A null id hashes like an empty one; a null source is a source of its own, the last. Empty tables give no rows.
+    size counts words (null text: 0), taken is copies * size and at most cap * size; cap is a whole number. base: a positive base rate
+    from columns of docs, by default size / (size + HALF), so that snippets are taken less often than long texts; it is rounded on
+    a grid of LEVELS. The copies hang on the id's hash, so reruns agree; rows with equal ids and sizes are taken together or not at
+    all. A source's taken words end below its target by less than its smallest documents where FILLS of them fit. A null id
+    hashes like an empty one; a null source is a source of its own, the last. Empty tables give no rows.
     """
-    base = F.col(base_col).cast("double") if base_col else F.lit(1.0)
-    slim = keep(
-        docs.select("doc_id", F.col("source").cast("string").alias("source"), size_of(F.col("text")).alias("size"), F.coalesce(base, F.lit(1.0)).alias("base"), F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")).alias("h"))
-        .withColumn("part", F.conv(F.substring("h", 1, 3), 16, 10).cast("int")),
-        "sizes",
-    )
-    parts = keep(slim.groupBy("source", "base", "part").agg(F.sum("size").alias("tokens")), "parts")
-    cells = parts.groupBy("source", "base").agg(F.sum("tokens").alias("tokens"))
+    if cap != int(cap) or cap < 1:
+        raise ValueError("cap counts whole copies")
+    size = F.col("size").cast("double")
+    slim = docs.select("doc_id", F.col("source").cast("string").alias("source"), size_of(F.col("text")).alias("size"), (base if base is not None else F.lit(None)).cast("double").alias("given"), F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")).alias("h"))
+    level = F.round(GRID * F.log(F.coalesce(F.when(F.col("given") > 0, F.col("given")), F.greatest(size, F.lit(1.0)) / (size + HALF)))).cast("int")
+    level = F.least(F.greatest(level, F.lit(-GRID * LEVELS)), F.lit(GRID * LEVELS))
+    slim = keep(slim.select("doc_id", "source", "size", level.alias("level"), F.conv(F.substring("h", 1, U_BITS // 4), 16, 10).cast("long").alias("u")), "sizes")
+    cells = keep(slim.groupBy("source", "level").agg(F.sum("size").alias("tokens")), "cells")
     goal = targets(cells.groupBy("source").agg(F.sum("tokens").alias("source_size")), weights, share, cap)
-    of = cells.join(goal.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s"))).drop("s")
-    rates = balanced_rates(of, cap).withColumns({"copies": F.floor("rate"), "more": F.round((F.col("rate") - F.floor("rate")) * F.col("tokens"), 3)})
-    rates = keep(rates, "rates")
-
-    same = lambda a, b: F.col(f"{a}.source").eqNullSafe(F.col(f"{b}.source")) & (F.col(f"{a}.base") == F.col(f"{b}.base"))
-    run = Window.partitionBy("source", "base").orderBy("part").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    edge = parts.withColumn("upto", F.sum("tokens").over(run)).alias("p").join(rates.alias("r"), same("p", "r"))
-    # The part in which the extra copies end, and the tokens that it may still give.
-    edge = edge.where("p.upto > r.more and p.upto - p.tokens <= r.more").select("p.source", "p.base", F.col("part").alias("last"), (F.col("more") - F.col("upto") + F.col("p.tokens")).alias("left"))
-    plan = rates.alias("r").join(edge.alias("e"), same("r", "e"), "left").select("r.source", "r.base", "source_size", "target", "copies", F.coalesce("last", F.lit(PARTS)).alias("last"), F.coalesce("left", F.lit(0.0)).alias("left"))
-    doc = slim.alias("d").join(sized(keep(plan, "plan")).alias("t"), same("d", "t")).select("doc_id", "d.source", "d.base", "size", "h", "part", "source_size", "target", "copies", "last", "left")
-    within = Window.partitionBy("source", "base", "part").orderBy("h", "size")
-    # Only the last part of each source is ordered; what lies before it is taken, what lies after is not.
-    ends = doc.where("part = last").withColumn("extra", (F.sum("size").over(within) <= F.col("left") + 1e-3).cast("long"))
-    rest = doc.where("part <> last").withColumn("extra", (F.col("part") < F.col("last")).cast("long"))
-    return ends.unionByName(rest).select("doc_id", "size", "source_size", "target", ((F.col("copies") + F.col("extra")) * F.col("size")).cast("long").alias("taken"))
+    of = cells.join(goal.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s"))).select("source", F.exp(F.col("level") / GRID).alias("base"), "tokens", "source_size", "target")
+    rates = balanced_rates(of, cap).select("source", F.round(GRID * F.log("base")).cast("int").alias("level"), "tokens", "target", F.round(F.col("rate") * UNIT).cast("long").alias("rate"))
+    rates = rates.withColumns({"copies": F.call_function("div", F.col("rate"), F.lit(UNIT)), "part": F.col("rate") % UNIT})
+    own = Window.partitionBy("source")
+    rates = rates.withColumns({"source_size": F.sum("tokens").over(own), "budget": F.greatest(F.floor(F.col("target") + 1e-6) - F.sum(F.col("copies") * F.col("tokens")).over(own), F.lit(0))})
+    rates = sized(keep(rates.select("source", "level", "source_size", "target", "copies", "part", "budget"), "rates")).alias("r")
+    same = lambda a, b, *cs: [F.col(f"{a}.{c}").eqNullSafe(F.col(f"{b}.{c}")) for c in cs]
+    docs = slim.alias("d").join(rates, [*same("d", "r", "source"), F.col("d.level") == F.col("r.level")], "left")
+    docs = docs.select("doc_id", "d.source", "size", "u", F.col("source_size"), "target", "copies", "part", "budget", F.when(F.col("part") > 0, F.col("u").cast("double") / F.col("part")).alias("p"))
+    one = float((1 << U_BITS) / UNIT)
+    docs = keep(docs.withColumn("range", F.least(F.floor(F.col("p") / one * RANGES_PER_ONE), F.lit(RANGES - 1)).cast("int")), "rated")
+
+    # The range in which the extra copies end, and the words that it may still give.
+    sums = docs.where("range is not null").groupBy("source", "range").agg(F.sum("size").alias("n"), F.max("budget").alias("budget"))
+    upto = F.sum("n").over(Window.partitionBy("source").orderBy("range").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    edge = sums.withColumn("upto", upto).where("upto > budget and upto - n <= budget").select("source", F.col("range").alias("last"), (F.col("budget") - F.col("upto") + F.col("n")).alias("left"))
+    edge = sized(keep(edge, "edges")).alias("e")
+    at = docs.alias("d").join(edge, same("d", "e", "source"), "left").select("d.*", F.coalesce("last", F.lit(RANGES)).alias("last"), F.coalesce("left", F.lit(0)).alias("left"))
+    within = Window.partitionBy("source", "range").orderBy("p", "size")
+    ends = at.where(F.col("range") == F.col("last")).withColumn("upto", F.sum("size").over(within)).withColumn("extra", F.col("upto") <= F.col("left"))
+    rest = at.where(F.coalesce(F.col("range") != F.col("last"), F.lit(True))).withColumns({"upto": F.lit(0).cast("long"), "extra": F.coalesce(F.col("range") < F.col("last"), F.lit(False))})
+    dealt = keep(ends.unionByName(rest), "dealt")
+
+    # What the last document leaves is filled with the largest ones that fit, of equal ones the next in order.
+    left = dealt.where(F.col("range") == F.col("last")).groupBy("source").agg((F.max("left") - F.coalesce(F.max(F.when(F.col("extra"), F.col("upto"))), F.lit(0))).alias("gap"))
+    left = sized(keep(left, "gaps"))
+    fit = dealt.where("not extra and range is not null and size > 0").alias("d").join(left.alias("g"), [*same("d", "g", "source"), F.col("size") <= F.col("gap")])
+    fit = keep(fit.groupBy("d.source", "size").agg(F.min(F.struct("p", "u")).alias("next"), F.max("gap").alias("gap")).select("source", "size", "next.u", "gap"), "fits")
+    fill = None
+    for _ in range(FILLS):
+        best = keep(fit.groupBy("source").agg(F.max(F.struct("size", "u")).alias("b"), F.max("gap").alias("gap")).select("source", "b.size", "b.u", (F.col("gap") - F.col("b.size")).alias("gap")), "fill")
+        fill = best if fill is None else fill.unionByName(best)
+        less = best.select("source", F.col("size").alias("was"), F.col("gap").alias("gap2")).alias("b")
+        fit = fit.alias("f").join(less, [*same("f", "b", "source"), F.col("size") < F.col("was"), F.col("size") <= F.col("gap2")]).select("f.source", "size", "u", F.col("gap2").alias("gap"))
+    chosen = sized(keep(fill.select("source", "size", "u"), "fills")).alias("c")
+    hit = [*same("d", "c", "source"), F.col("d.size") == F.col("c.size"), F.col("d.u") == F.col("c.u")]
+    # A document that several rows hold would be filled in more than once: it stays out.
+    alone = dealt.alias("d").join(chosen, hit).groupBy("d.source", "d.size", "d.u").agg(F.count("*").alias("n")).where("n = 1").select("source", "size", "u", F.lit(True).alias("filled"))
+    out = dealt.alias("d").join(sized(keep(alone, "filled")).alias("c"), hit, "left")
+    copies = F.col("copies") + F.when(F.col("extra") | F.col("filled").isNotNull(), 1).otherwise(0)
+    return out.select("doc_id", "d.size", "source_size", "target", (copies * F.col("d.size")).cast("long").alias("taken"))
 
 
 def op2_entropy_mixing(spark, sf_dir):
@@ -105,20 +164,41 @@ def op2_entropy_mixing(spark, sf_dir):
 
 QUERIES = {"op2_entropy_mixing": op2_entropy_mixing}
 
-#: The dual has a closed form where all base rates are one: the rate is target / size. MIX_SQL mixes the table {docs}.
-MIX_SQL = r"""
-z AS (SELECT doc_id, source, coalesce(len(list_filter(regexp_split_to_array(text, '[\x20\x09-\x0D]+'), lambda x: x <> '')), 0)::BIGINT AS size,
-  md5(coalesce(doc_id::VARCHAR, '')) AS h FROM {docs}),
+#: The dual in closed form: with the cells of a source from the greatest base rate down, the first k are at the cap for the one k that
+#: leaves the next one below it. Targets by the water level at which sources are full. MIX_SQL mixes the table {docs}.
+MIX_SQL = rf"""
+z AS (SELECT doc_id, source, size, ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '')), 1, 13))::BIGINT AS u,
+  greatest(round({GRID} * ln(greatest(size, 1) / (size + {HALF}))), -{GRID * LEVELS})::INT AS level FROM (
+  SELECT doc_id, source, coalesce(len(list_filter(regexp_split_to_array(text, '[\x20\x09-\x0D]+'), lambda x: x <> '')), 0)::BIGINT AS size FROM {{docs}})),
 g AS (SELECT source, sum(size)::BIGINT AS source_size FROM z GROUP BY 1),
 w AS (SELECT *, [5.0, 2.0, 1.0][((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1)::INT]::DOUBLE AS w, 2.0::DOUBLE * source_size AS most FROM g),
 v AS (SELECT *, most / w AS full_at, 1.5::DOUBLE * sum(source_size) OVER () AS total, sum(w) OVER () AS w_all,
   sum(most) OVER o AS most_here, sum(w) OVER o AS w_here FROM w WINDOW o AS (ORDER BY most / w, source NULLS LAST ROWS UNBOUNDED PRECEDING)),
 y AS (SELECT *, (total - (most_here - most)) / (w_all - (w_here - w)) AS level FROM v),
 t AS (SELECT source, source_size, round(least(coalesce(w * max(CASE WHEN level <= full_at THEN level END) OVER (), most), most), 6) AS target FROM y),
-k AS (SELECT *, CASE WHEN target > 0 THEN round(least(target / source_size, 2.0), 9) ELSE 0 END AS rate FROM t),
-c AS (SELECT z.*, source_size, target, floor(rate) AS copies, round((rate - floor(rate)) * source_size, 3) AS more,
-  sum(size) OVER (PARTITION BY z.source ORDER BY h, size) AS upto FROM z JOIN k ON k.source IS NOT DISTINCT FROM z.source)
-SELECT doc_id, size, source_size, target, ((copies + CASE WHEN upto <= more + 1e-3 THEN 1 ELSE 0 END) * size)::BIGINT AS taken FROM c
+ce AS (SELECT source, level, exp(level / {GRID}.0) AS base, sum(size)::DOUBLE AS tokens FROM z GROUP BY ALL),
+cs AS (SELECT ce.*, source_size, target, coalesce(sum(tokens) OVER (b ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS capped,
+  sum(tokens * base) OVER (b ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS free
+  FROM ce JOIN t ON t.source IS NOT DISTINCT FROM ce.source WINDOW b AS (PARTITION BY ce.source ORDER BY base DESC)),
+cm AS (SELECT *, CASE WHEN free > 0 THEN (target - 2 * capped) / free END AS m FROM cs),
+cr AS (SELECT * EXCLUDE (m), round(least(base * coalesce(max(CASE WHEN base * m <= 2 * (1 + 1e-12) THEN m END) OVER (PARTITION BY source), 0), 2) * 1e9)::BIGINT AS rate FROM cm),
+r AS (SELECT source, level, source_size, target, rate // 1000000000 AS copies, rate % 1000000000 AS part,
+  greatest(floor(target + 1e-6) - sum((rate // 1000000000) * tokens) OVER (PARTITION BY source), 0)::BIGINT AS budget FROM cr),
+d AS (SELECT doc_id, z.source, size, u, source_size, target, copies, part, budget, CASE WHEN part > 0 THEN u::DOUBLE / part END AS p
+  FROM z JOIN r ON r.source IS NOT DISTINCT FROM z.source AND r.level = z.level),
+x AS (SELECT *, row_number() OVER () AS n, CASE WHEN p IS NOT NULL THEN sum(size) OVER (PARTITION BY source, p IS NULL ORDER BY p, size) END AS upto FROM d),
+e AS (SELECT *, coalesce(upto <= budget, false) AS extra FROM x),
+q AS (SELECT source, max(budget) - coalesce(max(upto) FILTER (extra), 0) AS gap FROM e WHERE p IS NOT NULL GROUP BY 1),
+f0 AS (SELECT e.source, size, arg_min(u, (p, u)) AS u, max(gap) AS gap FROM e JOIN q ON q.source IS NOT DISTINCT FROM e.source WHERE NOT extra AND p IS NOT NULL AND size > 0 AND size <= gap GROUP BY 1, 2),
+b1 AS (SELECT source, max(size) AS size, arg_max(u, size) AS u, max(gap) - max(size) AS gap FROM f0 GROUP BY 1),
+f1 AS (SELECT f.source, f.size, f.u, b.gap FROM f0 f JOIN b1 b ON b.source IS NOT DISTINCT FROM f.source WHERE f.size < b.size AND f.size <= b.gap),
+b2 AS (SELECT source, max(size) AS size, arg_max(u, size) AS u, max(gap) - max(size) AS gap FROM f1 GROUP BY 1),
+f2 AS (SELECT f.source, f.size, f.u, b.gap FROM f1 f JOIN b2 b ON b.source IS NOT DISTINCT FROM f.source WHERE f.size < b.size AND f.size <= b.gap),
+b3 AS (SELECT source, max(size) AS size, arg_max(u, size) AS u, max(gap) - max(size) AS gap FROM f2 GROUP BY 1),
+k AS (SELECT n, count(*) OVER (PARTITION BY e.source, e.size, e.u) AS c FROM e JOIN (FROM b1 UNION ALL FROM b2 UNION ALL FROM b3) b
+  ON b.source IS NOT DISTINCT FROM e.source AND b.size = e.size AND b.u = e.u)
+SELECT doc_id, size, source_size, target, ((copies + CASE WHEN extra OR k.n IS NOT NULL THEN 1 ELSE 0 END) * size)::BIGINT AS taken
+FROM e LEFT JOIN k ON k.n = e.n AND k.c = 1
 """
 
 ORACLE_SQL = {"op2_entropy_mixing": "WITH " + MIX_SQL.format(docs="documents")}
