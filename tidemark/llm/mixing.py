@@ -145,7 +145,7 @@ def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, cap: int = CAP,
     fit = keep(fit.groupBy("d.source", "size").agg(F.min(F.struct("p", "u")).alias("next"), F.max("gap").alias("gap")).select("source", "size", "next.u", "gap"), "fits")
     fill = None
     for _ in range(FILLS):
-        best = keep(fit.groupBy("source").agg(F.max(F.struct("size", "u")).alias("b"), F.max("gap").alias("gap")).select("source", "b.size", "b.u", (F.col("gap") - F.col("b.size")).alias("gap")), "fill")
+        best = fit.groupBy("source").agg(F.max(F.struct("size", "u")).alias("b"), F.max("gap").alias("gap")).select("source", "b.size", "b.u", (F.col("gap") - F.col("b.size")).alias("gap"))
         fill = best if fill is None else fill.unionByName(best)
         less = best.select("source", F.col("size").alias("was"), F.col("gap").alias("gap2")).alias("b")
         fit = fit.alias("f").join(less, [*same("f", "b", "source"), F.col("size") < F.col("was"), F.col("size") <= F.col("gap2")]).select("f.source", "size", "u", F.col("gap2").alias("gap"))
