@@ -119,16 +119,72 @@ def test_binomial_cdf_is_exact(spark):
     assert 0 < big < 0.001
 
 
-def test_cutoffs_keep_the_promised_share(spark):
-    """Good documents with few symbols; the strictest cutoff that the exact test allows rejects far fewer than alpha."""
+def exact_rungs(rows, alpha, delta):
+    """The strictest rung by the definition, with exact sums: stratum to (n, rung, rejected)."""
+    by = {}
+    for stratum, *values in rows:
+        by.setdefault(stratum, []).append(values)
+    strata = {s: v for s, v in by.items() if (1 - alpha) ** len(v) <= delta}
+    cuts, out = list(quality_rules.LADDER.values()), {}
+    for s, v in strata.items():
+        for i in range(quality_rules.RUNGS):
+            n, k = len(v), sum(any(x > c[i] for x, c in zip(row, cuts)) for row in v)
+            if k > n * alpha or sum(comb(n, j) * alpha**j * (1 - alpha) ** (n - j) for j in range(k + 1)) > delta / len(strata):
+                break
+            out[s] = (n, i, k)
+    return out
+
+
+def test_rungs_by_hand(spark):
     r = random.Random(2)
-    rows = [("s", *(round(r.betavariate(1, 60), 6) if m == "symbol_rate" else 0.0 for m in quality_rules.GRID)) for _ in range(4000)] + [("few", *(0.0 for _ in quality_rules.GRID))] * 3
-    df = spark.createDataFrame(rows, "stratum string, " + ", ".join(f"{m} double" for m in quality_rules.GRID))
-    cut = {(x.stratum, x.rule): x.cutoff for x in quality_rules.controlled_cutoffs(df).collect()}
-    assert not [k for k in cut if k[0] == "few"]
-    c = cut["s", "symbol_rate"]
-    assert 0.03 <= c < 1 and sum(x[1] > c for x in rows) / 4000 <= quality_rules.ALPHA / len(quality_rules.GRID)
-    assert cut["s", "word_length"] == 8.0
+    rows = []
+    for stratum, n, spread in (("a", 1500, 0.05), ("b", 700, 0.3), ("c", 150, 0.02), (None, 400, 0.01), ("few", 80, 0.0), ("one", 1, 0.0)):
+        rows += [(stratum, round(r.expovariate(1) * spread / 4, 6), round(r.expovariate(1) * spread / 9, 6), round(r.expovariate(1) * spread, 6), round(5 + 2 * r.random(), 6)) for _ in range(n)]
+    df = spark.createDataFrame(rows, "stratum string, " + ", ".join(f"{m} double" for m in quality_rules.LADDER)).repartition(5)
+    for alpha, delta in ((0.03, 0.05), (0.1, 0.01)):
+        got = {x.stratum: (x.n, x.rung, x.rejected) for x in quality_rules.controlled_rungs(df, alpha, delta).collect()}
+        assert got == exact_rungs(rows, alpha, delta) and len(got) >= 3 and "one" not in got
+    assert {x.stratum: x.rung for x in quality_rules.controlled_rungs(df).collect()}["a"] > 5
+
+
+def test_no_more_good_documents_are_lost_than_promised(spark):
+    """Fresh holdouts of 60 strata, 20 times over: in at most DELTA of the runs a rung may reject more than ALPHA of a stratum's population."""
+    r = random.Random(3)
+    share = [quality_rules.ALPHA * (0.6 + 0.1 * i) for i in range(8)]  # of good documents with many symbols, around the limit
+    rows = [(f"{run}", f"{run}-{i}", 0.2 if r.random() < q else 0.0) for run in range(20) for i, q in enumerate(share) for _ in range(400)]
+    broken = 0
+    for run in range(20):
+        mine = [(s, v, 0.0, 0.0, 5.0) for g, s, v in rows if g == str(run)]
+        got = exact_rungs(mine, quality_rules.ALPHA, quality_rules.DELTA)
+        # From the rung with a cutoff below 0.2 on, the share is rejected.
+        strict = next(i for i, c in enumerate(quality_rules.LADDER["symbol_rate"]) if c < 0.2)
+        broken += any(rung >= strict and share[int(s.split("-")[1])] > quality_rules.ALPHA for s, (_, rung, _) in got.items())
+    assert broken <= 3
+
+
+def test_learned_rules_act_and_agree_with_sql(spark, tmp_path):
+    import duckdb
+
+    r = random.Random(4)
+    docs, labels = [], []
+    for i in range(900):
+        junk = i % 9 == 0
+        words = [f"w{r.randrange(400)}" + ("%%" if junk and r.random() < 0.5 else "") for _ in range(r.randint(55, 90))]
+        docs.append((i, " ".join(words), ("x", None, "y")[i % 3] if i % 50 else "rare"))
+        labels.append((i, int(not junk), 0))
+    docs += [(1, docs[1][1], "x"), (None, docs[2][1], "y"), (2000, None, "x"), (2001, "w " * 2_000, "y"), (2002, " ".join(f"a{i}" for i in range(2_000)), "y")]
+    labels += [(None, 1, 0), (1, 1, 1), (5, None, None)]
+    spark.createDataFrame(docs, "doc_id long, text string, lang string").selectExpr("*", "1 as n_words", "2 as rung", "'s' as stratum").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    for name in ("documents", "labels"):
+        duckdb.sql(f"CREATE OR REPLACE VIEW {name} AS SELECT * FROM '{tmp_path}/{name}.parquet/*.parquet'")
+    df = quality_rules.op7_quality_rules(spark, str(tmp_path))
+    got = df.collect()
+    want = duckdb.sql(f"SELECT {', '.join(df.columns)} FROM ({quality_rules.ORACLE_SQL['op7_quality_rules']})").fetchall()
+    assert sorted(map(tuple, got), key=str) == sorted(want, key=str) and len(got) == len(docs)
+    caught = [x for x in got if x.doc_id is not None and x.doc_id < 900 and x.doc_id % 9 == 0 and x.stratum != "rare"]
+    assert sum(not x.kept for x in caught) > 0.9 * len(caught)
+    assert all(x.kept for x in got if x.stratum == "rare") and all(x.kept for x in got if x.doc_id is not None and x.doc_id < 900 and x.doc_id % 9)
 
 
 def test_rules_on_odd_tables(spark):

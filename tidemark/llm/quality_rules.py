@@ -1,9 +1,9 @@
 """Quality rules with risk-controlled thresholds.
 
-Fixed base rules reject texts that are too short or repeat themselves too much. The cutoffs of further rules are learned: on a
-labelled holdout, a rule may use a cutoff only if an exact binomial test shows, at a level corrected for all rules and
-strata, that it rejects at most a small share of the stratum's good documents. Cutoffs are tried from lenient to strict and the
-first one that fails its test ends the sequence (fixed-sequence testing), so trying many costs no further correction.
+Fixed base rules reject texts that are too short or repeat themselves too much. The cutoffs of further rules are learned per stratum:
+they tighten together along a fixed ladder from lenient to strict, and on a labelled holdout a rung may be used only if an exact
+binomial test shows, at a level corrected for all strata, that all rules together reject at most a small share of the stratum's good
+documents. The first rung that fails its test ends the ladder (fixed-sequence testing), so trying many costs no further correction.
 """
 
 from pyspark.sql import Column, DataFrame, Window
@@ -13,15 +13,16 @@ from tidemark.llm.common import SPACE, keep, let, sized, table, words
 
 #: A text with fewer words, or with more than this percentage of its words in repeated 3-word windows, fails the base rules.
 MIN_WORDS, MAX_REPEATED = 50, 50
-#: Share of good documents that all learned rules together may reject in a stratum, and the chance that this is exceeded anywhere.
-ALPHA, DELTA = 0.01, 0.05
-#: Learned rules: a text is rejected if the metric exceeds the stratum's cutoff. Cutoffs from lenient to strict.
-GRID = {
+#: Share of good documents that the learned rules together may reject in a stratum, and the chance that this is exceeded in any of them.
+ALPHA, DELTA = 0.03, 0.05
+#: Learned rules: a text is rejected if a metric exceeds the cutoff of its stratum's rung. Cutoffs by rung, from lenient to strict.
+LADDER = {
     "symbol_rate": [1.0, 0.8, 0.6, 0.5, 0.4, 0.3, 0.2, 0.15, 0.1, 0.08, 0.06, 0.05, 0.04, 0.03, 0.02, 0.01],
-    "dup_line_rate": [0.95, 0.9, 0.8, 0.7, 0.6, 0.5, 0.4, 0.3, 0.25, 0.2, 0.15, 0.1, 0.05],
-    "repeat_rate": [0.5, 0.45, 0.4, 0.35, 0.3, 0.25, 0.2, 0.15, 0.1, 0.05],
-    "word_length": [50.0, 40.0, 30.0, 25.0, 20.0, 18.0, 16.0, 14.0, 12.0, 11.0, 10.0, 9.0, 8.0],
+    "dup_line_rate": [0.95, 0.9, 0.85, 0.8, 0.7, 0.6, 0.5, 0.45, 0.4, 0.35, 0.3, 0.25, 0.2, 0.15, 0.1, 0.05],
+    "repeat_rate": [0.5, 0.48, 0.46, 0.44, 0.42, 0.4, 0.38, 0.36, 0.34, 0.32, 0.3, 0.25, 0.2, 0.15, 0.1, 0.05],
+    "word_length": [50.0, 40.0, 30.0, 25.0, 20.0, 18.0, 16.0, 15.0, 14.0, 13.0, 12.0, 11.0, 10.0, 9.0, 8.0, 7.0],
 }
+RUNGS = len(LADDER["symbol_rate"])
 
 
 def repeated_words(w: Column, width: int = 3) -> Column:
@@ -81,24 +82,32 @@ def binomial_cdf(k: Column, n: Column, p: float) -> Column:
     return F.least(F.aggregate(upto, start, step, lambda a: F.exp(a["top"]) * a["s"]), F.lit(1.0))
 
 
-def controlled_cutoffs(holdout: DataFrame, alpha: float = ALPHA, delta: float = DELTA, grid: dict[str, list[float]] = GRID) -> DataFrame:
-    """holdout: stratum and the metrics, one row per good labelled document. Gives stratum, rule, cutoff: the strictest allowed.
+def strictness(ladder: dict[str, list[float]]) -> Column:
+    """The first rung (from 0) at which a row with the metrics is rejected; null if none rejects it."""
+    first = [F.array_position(F.transform(F.array(*map(F.lit, cuts)), lambda c: (F.col(m) > c).cast("int")), F.lit(1)) for m, cuts in ladder.items()]  # noqa: B023
+    return F.least(*[F.when(p > 0, p - 1) for p in first])
 
-    Each rule may reject alpha / rules of a stratum's good documents; each of the strata * rules sequences is tested at
-    delta / (strata * rules): cutoff c passes if P(Bin(n, alpha / rules) <= rejected) <= that level. A stratum without an
-    allowed cutoff has no row.
+
+def controlled_rungs(holdout: DataFrame, alpha: float = ALPHA, delta: float = DELTA, ladder: dict[str, list[float]] = LADDER) -> DataFrame:
+    """holdout: stratum and the metrics, one row per good labelled document. Gives stratum, n, rung, rejected: the strictest allowed.
+
+    Rung i passes if P(Bin(n, alpha) <= rejected at i) is at most delta / strata; strata so small that not even a clean holdout could pass
+    at delta alone are not counted. Then with a chance of 1 - delta no stratum has a rung that rejects more than alpha of its good
+    documents. A stratum without an allowed rung has no row.
     """
-    rule_alpha = alpha / len(grid)
-    counts = [F.sum(F.when(F.col(m) > c, 1).otherwise(0)).alias(f"{m}|{i}") for m, cs in grid.items() for i, c in enumerate(cs)]
-    per = holdout.groupBy("stratum").agg(F.count("*").alias("n"), *counts)
-    tests = F.array(*[F.struct(F.lit(m).alias("rule"), F.lit(i).alias("i"), F.lit(c).alias("cutoff"), F.col(f"`{m}|{i}`").alias("k")) for m, cs in grid.items() for i, c in enumerate(cs)])
-    rows = per.select("stratum", "n", F.count("*").over(Window.partitionBy()).alias("strata"), F.explode(tests).alias("t")).select("stratum", "n", "strata", "t.*")
+    rungs = len(next(iter(ladder.values())))
+    broken = keep(holdout.groupBy("stratum", strictness(ladder).alias("at")).agg(F.count("*").alias("c")), "broken-rungs")
+    upto = [F.coalesce(F.sum(F.when(F.col("at") <= i, F.col("c"))), F.lit(0)).alias(f"k{i}") for i in range(rungs)]
+    per = broken.groupBy("stratum").agg(F.sum("c").alias("n"), *upto).where(F.pow(F.lit(1 - alpha), "n") <= delta)
+    tests = F.array(*[F.struct(F.lit(i).alias("rung"), F.col(f"k{i}").alias("rejected")) for i in range(rungs)])
+    # A table of its own: in one step the strata would be counted after the rungs are exploded.
+    per = per.crossJoin(F.broadcast(per.agg(F.count("*").alias("strata"))))
+    rows = per.select("stratum", "n", "strata", F.explode(tests).alias("t")).select("stratum", "n", "strata", "t.*")
     # Beyond n * alpha rejections the test cannot pass, so the sum is never long.
-    level = F.lit(delta) / (F.col("strata") * len(grid))
-    ok = F.when(F.col("k") <= F.col("n") * rule_alpha, binomial_cdf(F.col("k").cast("long"), F.col("n").cast("long"), rule_alpha) <= level).otherwise(False)
-    up_to = Window.partitionBy("stratum", "rule").orderBy("i").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    held = rows.withColumn("held", F.min(ok).over(up_to)).where("held")
-    return held.groupBy("stratum", "rule").agg(F.min("cutoff").alias("cutoff"))
+    passed = F.when(F.col("rejected") <= F.col("n") * alpha, binomial_cdf(F.col("rejected"), F.col("n"), alpha) <= delta / F.col("strata")).otherwise(False)
+    up_to = Window.partitionBy("stratum").orderBy("rung").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    held = rows.withColumn("held", F.min(passed).over(up_to)).where("held")
+    return held.groupBy("stratum").agg(F.max("n").alias("n"), F.max("rung").alias("rung"), F.max_by("rejected", "rung").alias("rejected"))
 
 
 def apply_rules(docs: DataFrame, labels: DataFrame, stratum: str = "lang", alpha: float = ALPHA, delta: float = DELTA) -> DataFrame:
@@ -110,10 +119,10 @@ def apply_rules(docs: DataFrame, labels: DataFrame, stratum: str = "lang", alpha
     """
     slim = keep(text_stats(docs.select("doc_id", "text", F.col(stratum).cast("string").alias("stratum"))).drop("text").withColumns(metrics()), "stats")
     good = labels.where("quality = 1 and doc_id is not null").select("doc_id").distinct()
-    cut = controlled_cutoffs(slim.where("not base_failed").join(good, "doc_id", "left_semi"), alpha, delta)
-    cut = cut.groupBy(F.col("stratum").alias("of")).agg(F.map_from_entries(F.collect_list(F.struct("rule", "cutoff"))).alias("cut"))
-    df = slim.join(sized(keep(cut, "cutoffs")), F.col("stratum").eqNullSafe(F.col("of")), "left")
-    over = [F.when(F.col(m) > F.element_at("cut", m), F.lit(m)) for m in GRID]
+    rungs = controlled_rungs(slim.where("not base_failed").join(good, "doc_id", "left_semi"), alpha, delta)
+    rungs = sized(keep(rungs.select(F.col("stratum").alias("of"), "rung"), "rungs"))
+    df = slim.join(rungs, F.col("stratum").eqNullSafe(F.col("of")), "left")
+    over = [F.when(F.col(m) > F.get(F.array(*map(F.lit, cuts)), F.col("rung")), F.lit(m)) for m, cuts in LADDER.items()]
     df = df.withColumn("failed_rules", F.array_compact(F.array(*over)))
     stats = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
     return df.select("doc_id", *stats, "base_failed", "stratum", "failed_rules", (~F.col("base_failed") & (F.size("failed_rules") == 0)).alias("kept"))
@@ -142,16 +151,14 @@ m AS (SELECT *, n_words < {MIN_WORDS} OR 100 * n_repeat_words > {MAX_REPEATED} *
   coalesce(round(n_symbols::DOUBLE / nullif(n_words, 0), 9), 0) AS symbol_rate, coalesce(round(n_dup_lines::DOUBLE / nullif(n_words, 0), 9), 0) AS dup_line_rate,
   coalesce(round(n_repeat_words::DOUBLE / nullif(n_words, 0), 9), 0) AS repeat_rate, coalesce(round(word_chars::DOUBLE / nullif(n_words, 0), 9), 0) AS word_length FROM s),
 h AS (SELECT * FROM m WHERE NOT base_failed AND doc_id IN (SELECT doc_id FROM labels WHERE quality = 1)),
-grid(rule, i, cutoff) AS (VALUES {", ".join(f"('{m}', {i}, {c}::DOUBLE)" for m, cs in GRID.items() for i, c in enumerate(cs))}),
-u AS (UNPIVOT h ON symbol_rate, dup_line_rate, repeat_rate, word_length INTO NAME rule VALUE v),
-k AS (SELECT u.stratum, u.rule, i, cutoff, count(*) AS n, count(*) FILTER (v > cutoff) AS k FROM u JOIN grid ON grid.rule = u.rule GROUP BY ALL),
-b AS (SELECT *, CASE WHEN k <= n * {ALPHA / len(GRID)} THEN list_sum(list_transform(range(0, k + 1), lambda j:
-    exp(lgamma(n + 1) - lgamma(j + 1) - lgamma(n - j + 1) + j * ln({ALPHA / len(GRID)}) + (n - j) * ln(1 - {ALPHA / len(GRID)}))))
-    <= {DELTA} / ((SELECT count(DISTINCT coalesce('v' || stratum, 'n')) FROM h) * {len(GRID)}) ELSE false END AS ok FROM k),
-q AS (SELECT stratum, rule, min(cutoff) AS cutoff FROM (
-  SELECT *, min(ok) OVER (PARTITION BY stratum, rule ORDER BY i) AS held FROM b) WHERE held GROUP BY 1, 2),
-f AS (SELECT m.*, {", ".join(f"(SELECT cutoff FROM q WHERE q.rule = '{m}' AND q.stratum IS NOT DISTINCT FROM m.stratum) AS cut_{m}" for m in GRID)} FROM m),
-o AS (SELECT *, array_to_string(list_filter([{", ".join(f"CASE WHEN {m} > cut_{m} THEN '{m}' END" for m in GRID)}], lambda x: x IS NOT NULL), ',') AS failed_rules FROM f)
+ladder(i, {", ".join(f"c_{m}" for m in LADDER)}) AS (VALUES {", ".join(f"({i}, {', '.join(f'{c[i]}::DOUBLE' for c in LADDER.values())})" for i in range(RUNGS))}),
+k AS (SELECT stratum, i, count(*) AS n, count(*) FILTER ({" OR ".join(f"{m} > c_{m}" for m in LADDER)}) AS k FROM h, ladder GROUP BY 1, 2 HAVING pow({1 - ALPHA}, count(*)) <= {DELTA}),
+b AS (SELECT *, CASE WHEN k <= n * {ALPHA} THEN list_sum(list_transform(range(0, k + 1), lambda j:
+    exp(lgamma(n + 1) - lgamma(j + 1) - lgamma(n - j + 1) + j * ln({ALPHA}) + (n - j) * ln({1 - ALPHA}))))
+    <= {DELTA} / (SELECT count(DISTINCT coalesce('v' || stratum, 'n')) FROM k) ELSE false END AS ok FROM k),
+q AS (SELECT stratum, max(i) AS rung FROM (SELECT *, min(ok) OVER (PARTITION BY stratum ORDER BY i) AS held FROM b) WHERE held GROUP BY 1),
+f AS (SELECT m.*, {", ".join(f"c_{m} AS cut_{m}" for m in LADDER)} FROM m LEFT JOIN q ON q.stratum IS NOT DISTINCT FROM m.stratum LEFT JOIN ladder ON ladder.i = q.rung),
+o AS (SELECT *, array_to_string(list_filter([{", ".join(f"CASE WHEN {m} > cut_{m} THEN '{m}' END" for m in LADDER)}], lambda x: x IS NOT NULL), ',') AS failed_rules FROM f)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, stratum, failed_rules, NOT base_failed AND failed_rules = '' AS kept FROM o
 """,
 }
