@@ -69,11 +69,8 @@ def test_code_lengths_by_hand():
         b = v.to_bytes(o + 1, "big")
         for d in range(o + 1):
             cells[b[o - d : o]][b[o]] += c
-    total3 = {k: sum(v.values()) for k, v in cells.items() if len(k) == o}
 
     def p(ctx, s):
-        if len(ctx) == o and total3.get(ctx, 0) < language_id.LEAST_COUNT:
-            return p(ctx[1:], s)
         c = cells.get(ctx)
         below = (lambda: p(ctx[1:], s)) if ctx else (lambda: 1 / 256)
         if not c:
@@ -81,12 +78,66 @@ def test_code_lengths_by_hand():
         t, k = sum(c.values()), len(c)
         return c[s] / (t + k) if c[s] else k / (t + k) * below()
 
-    data = b" " * (o - 1) + b" a crab and abba zzz "
+    data = b" " * (o - 1) + b" a crab and abba zzz \xc3\xa9\xff\x00 "
     want = sum(-math.log2(p(data[i - o : i], data[i])) for i in range(o, len(data)))
     bits, count = trees.lengths(data)
     assert count == len(data) - o and bits[0] == pytest.approx(want, rel=1e-5)
 
 
+def test_code_lengths_of_all_bytes_and_many_trees():
+    """Random trees over all 256 bytes side by side: each has the lengths that it has alone, by the definition."""
+    import math
+    from collections import Counter, defaultdict
+
+    import numpy as np
+
+    r = random.Random(12)
+    texts = {f"l{k}": bytes(r.choice(r.sample(range(256), 256 if k % 2 else 9)) for _ in range(1500)) for k in range(5)}
+    o = language_id.ORDER
+    of = {k: Counter(int.from_bytes(t[i : i + o + 1], "big") for i in range(len(t) - o)) for k, t in texts.items()}
+    trees = language_id.Trees({k: (np.array(list(c)), np.array(list(c.values()))) for k, c in of.items()})
+    data = bytes(r.randrange(256) for _ in range(300)) + texts["l0"][:200] + texts["l1"][:200]
+    bits, _ = trees.lengths(data)
+    for j, k in enumerate(trees.langs):
+        cells = defaultdict(Counter)
+        for v, c in of[k].items():
+            b = v.to_bytes(o + 1, "big")
+            for d in range(o + 1):
+                cells[b[o - d : o]][b[o]] += c
+
+        def p(ctx, s):
+            below = lambda: p(ctx[1:], s) if ctx else 1 / 256  # noqa: B023, E731
+            c = cells.get(ctx)  # noqa: B023
+            if not c:
+                return below()
+            t, kinds = sum(c.values()), len(c)
+            return c[s] / (t + kinds) if c[s] else kinds / (t + kinds) * below()
+
+        assert bits[j] == pytest.approx(sum(-math.log2(p(data[i - o : i], data[i])) for i in range(o, len(data))), rel=1e-5)
+
+
+def test_any_number_of_languages(spark):
+    """Sixty languages, in one block and in many: the same predictions, and scores that add up over all of them."""
+    r = random.Random(13)
+    parts = {f"x{k:02d}": ["".join(r.choice("abcdefghijklmnop") for _ in range(3)) for _ in range(6)] for k in range(60)}
+    rows = []
+    for i in range(360):
+        lang = sorted(parts)[i % 60]
+        rows.append((i, " ".join("".join(r.choice(parts[lang]) for _ in range(2)) for _ in range(15)), lang))
+    rows += [(1000, None, "x00"), (1000, "", None), (None, " ".join(parts["x07"] * 3), None), (1001, "12 34", None), (1002, (parts["x11"][0] + " ") * 60_000, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string").selectExpr("*", "1 as row", "2 as bits", "3 as id")
+    kept = language_id.BLOCK_GRAMS, language_id.BLOCK_LANGUAGES
+    got = {}
+    try:
+        for language_id.BLOCK_GRAMS, language_id.BLOCK_LANGUAGES in ((10**9, 100), kept, (3000, 7)):
+            got[language_id.BLOCK_LANGUAGES] = sorted(((x.doc_id, x.held_out, x.lang_pred, round(x.score, 9)) for x in language_id.identify(df.repartition(3)).collect()), key=str)
+    finally:
+        language_id.BLOCK_GRAMS, language_id.BLOCK_LANGUAGES = kept
+    assert got[100] == got[40] == got[7] and len(got[7]) == len(rows)
+    by = {x[0]: x for x in got[7]}
+    assert all(by[i][2] == sorted(parts)[i % 60] for i in range(360)) and by[None][2] == "x07" and by[1002][2] == "x11" and by[1000][2] == by[1001][2] == "und"
+
+
 def page(body, head=""):
     return f"<!DOCTYPE html><html><head><title>T</title><style>p{{}}</style><script>var a='<p>';</script>{head}</head><body>{body}</body></html>"
 

@@ -4,26 +4,22 @@ Each language has a tree of byte contexts of up to ORDER bytes with the counts o
 a text under a tree, with the counts frozen, is the sum over its bytes of -log2 of their probability: at the longest context
 seen, the byte's share of the count if it followed there; else the probability of an escape, and the context one byte shorter,
 down to a uniform byte. Escapes are counted by method C (as many as there were different bytes), without exclusion. The language
-with the shortest code wins. As the counts are frozen, the length of a byte depends on the last ORDER + 1 bytes only,
-so the lengths are tabulated once and texts are scored by lookups.
+with the shortest code wins. As the counts are frozen, the length of a byte depends on the last ORDER + 1 bytes only, so the lengths
+of all strings that some tree has seen are tabulated once, for all languages side by side, and texts are scored by lookups.
 """
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import crc_mod, table
+from tidemark.llm.common import crc_mod, keep, sized, table
 
 ORDER = 3
-#: Most labelled texts per language that the trees are made from, drawn by a hash of the id; whole texts.
+#: Most labelled texts per language that the trees are made from, about, drawn by a hash of the id; whole texts.
 TEXTS_PER_LANGUAGE = 2500
-#: Contexts of full length followed by fewer bytes in all are not kept; their counts still enter the shorter ones.
-LEAST_COUNT = 2
-#: Bytes are told apart by this many classes: one for each of the most frequent ones, and the last for all others.
-CLASSES = 128
-#: Most languages; the tables of a task take about 8 MB for each.
-LANGUAGES = 40
+#: Languages are scored in blocks whose trees have about so many counts in all, and so many languages; a block is one pass over the texts.
+BLOCK_GRAMS, BLOCK_LANGUAGES = 6_000_000, 40
 #: Bytes scored at once.
-SLICE = 1 << 22
+SLICE = 1 << 20
 
 
 def normal(text: str) -> bytes:
@@ -58,95 +54,85 @@ def _grams(order: int):
 
 
 class Trees:
-    """The frozen context trees of all languages as tables: classes of bytes, contexts, and code lengths by context and byte."""
+    """The frozen context trees of some languages as tables of code lengths, a column per language.
+
+    seen[d]: sorted strings of d + 1 bytes, packed, that some language has seen, and the lengths of their last byte after the d bytes before
+    it. escape[d]: sorted contexts of d bytes that some language has seen, and the lengths of an escape from them (0 for a language without
+    the context). A string that no language has seen costs the escape of its context and what the shorter string costs.
+    """
 
     def __init__(self, counts: dict, order: int = ORDER):
         """counts: language to (grams, counts), the grams packed as by _grams."""
         import numpy as np
 
         self.order, self.langs = order, sorted(counts)
-        total = np.zeros(256, np.int64)
-        for g, n in counts.values():
-            np.add.at(total, g & 255, n)
-        rank = np.argsort(-total, kind="stable")
-        self.cls = np.full(256, CLASSES - 1, np.uint8)
-        seen = [b for b in rank if total[b] > 0][: CLASSES - 1]
-        self.cls[seen] = np.arange(len(seen), dtype=np.uint8)
-        k = CLASSES
-        packed = {}
-        for lang, (g, n) in counts.items():
-            x = np.zeros(len(g), np.int64)
-            for i in range(order, -1, -1):
-                x = x * k + self.cls[(g >> (8 * i)) & 255]
-            packed[lang] = (x, n)
-        # Contexts of full length of any language, by number; all others share the last row, whose lengths depend on shorter contexts.
-        full = {}
-        for lang, (x, n) in packed.items():
-            ctx, at = np.unique(x // k, return_inverse=True)
-            full[lang] = ctx[np.bincount(at, weights=n) >= LEAST_COUNT]
-        self.contexts = np.unique(np.concatenate(list(full.values())))
-        self.index = np.full(k**order, -1, np.int32)
-        self.index[self.contexts] = np.arange(len(self.contexts), dtype=np.int32)
-        self.long = np.empty((len(self.contexts) * k, len(self.langs)), np.float32)
-        self.short = np.empty((k**order, len(self.langs)), np.float32)
-        for j, lang in enumerate(self.langs):
-            x, n = packed[lang]
-            below = np.full(k, 1.0 / 256)
-            for depth in range(order):
-                below = self._level(x % k ** (depth + 1), n, k, depth, below)
-            self.short[:, j] = -np.log2(below).astype(np.float32)
-            ctx = self.contexts
-            keepers = np.isin(x // k, full[lang])
-            at = np.searchsorted(ctx, x[keepers] // k)
-            cell = np.zeros(len(ctx) * k)
-            np.add.at(cell, at * k + x[keepers] % k, n[keepers])
-            cell = cell.reshape(len(ctx), k)
-            tail = below.reshape(-1, k)[ctx % k ** (order - 1)] if order > 1 else np.tile(below, (len(ctx), 1))
-            self.long[:, j] = -np.log2(self._mix(cell, tail)).astype(np.float32).ravel()
+        self.seen, self.escape = [], []
+        below = None  # per language: probabilities of the strings of the level below
+        for d in range(order + 1):
+            mask = (1 << (8 * (d + 1))) - 1
+            own = []
+            for lang in self.langs:
+                g, n = counts[lang]
+                value, at = np.unique(g & mask, return_inverse=True)
+                c = np.bincount(at, weights=n, minlength=len(value))
+                ctx, first, kinds = np.unique(value >> 8, return_index=True, return_counts=True)
+                own.append((value, c, ctx, np.add.reduceat(c, first) if len(c) else c, kinds))
+            strings = np.unique(np.concatenate([o[0] for o in own]))
+            contexts = np.unique(np.concatenate([o[2] for o in own]))
+            p = np.empty((len(strings), len(own)))
+            leave = np.ones((len(contexts), len(own)))
+            shorter = self._row(self.seen[d - 1][0], strings & (mask >> 8)) if d else None
+            for j, (value, c, ctx, total, kinds) in enumerate(own):
+                leave[np.searchsorted(contexts, ctx), j] = kinds / (total + kinds)
+                # What a string costs that the language has not seen: its context's escape, if it has that, and the shorter string.
+                p[:, j] = leave[np.searchsorted(contexts, strings >> 8), j] * (below[shorter, j] if d else 1 / 256)
+                at = np.searchsorted(ctx, value >> 8)
+                p[np.searchsorted(strings, value), j] = c / (total[at] + kinds[at])
+            self.seen.append((strings, -np.log2(p).astype(np.float32)))
+            self.escape.append((contexts, -np.log2(leave).astype(np.float32)))
+            below = p
 
     @staticmethod
-    def _mix(cell, below):
-        """Probabilities of the next byte by row: counts where it followed, else escape times the shorter context's."""
-        import numpy as np
-
-        total, kinds = cell.sum(1, keepdims=True), (cell > 0).sum(1, keepdims=True)
-        with np.errstate(invalid="ignore", divide="ignore"):
-            p = np.where(cell > 0, cell / (total + kinds), kinds / (total + kinds) * below)
-        return np.where(total > 0, p, below)
-
-    def _level(self, x, n, k, depth, below):
-        """Probabilities for all contexts of `depth` bytes, flat by context and byte, from those of the shorter contexts."""
+    def _row(keys, x):
+        """The row of each x, all of which are among the keys."""
         import numpy as np
 
-        cell = np.bincount(x, weights=n, minlength=k ** (depth + 1)).reshape(-1, k)
-        shorter = np.tile(below.reshape(-1, k), (k if depth else 1, 1))
-        return self._mix(cell, shorter).ravel()
+        return np.searchsorted(keys, x)
 
     def lengths(self, data: bytes):
         """Bits of the whole text under each tree, and the number of bytes coded."""
         import numpy as np
 
-        b, k, o, total = np.frombuffer(data, np.uint8), CLASSES, self.order, np.zeros(len(self.langs))
+        b, o, total = np.frombuffer(data, np.uint8), self.order, np.zeros(len(self.langs))
         for start in range(0, max(0, len(b) - o), SLICE):
-            c = self.cls[b[start : start + SLICE + o]].astype(np.int64)
-            n = len(c) - o
-            ctx = np.zeros(n, np.int64)
-            for i in range(o):
-                ctx = ctx * k + c[i : n + i]
-            row, sym = self.index[ctx], c[o:]
-            known = row >= 0
-            total += self.long[row[known] * np.int64(k) + sym[known]].sum(0, dtype=np.float64)
-            if not known.all():
-                rest = ~known
-                total += self.short[(ctx[rest] % k ** (o - 1)) * k + sym[rest]].sum(0, dtype=np.float64)
+            part = b[start : start + SLICE + o].astype(np.int64)
+            n = len(part) - o
+            x = np.zeros(n, np.int64)
+            for i in range(o + 1):
+                x = (x << 8) | part[i : n + i]
+            for d in range(o, -1, -1):
+                keys, rows = self.seen[d]
+                x &= (1 << (8 * (d + 1))) - 1
+                at = np.minimum(np.searchsorted(keys, x), len(keys) - 1)
+                found = keys[at] == x
+                total += rows[at[found]].sum(0, dtype=np.float64)
+                x = x[~found]
+                if not len(x):
+                    break
+                keys, rows = self.escape[d]
+                at = np.minimum(np.searchsorted(keys, x >> 8), len(keys) - 1)
+                total += rows[at[keys[at] == x >> 8]].sum(0, dtype=np.float64)
+            else:
+                total += 8.0 * len(x)
         return total, max(0, len(b) - o)
 
 
 _MADE: dict = {}
 
 
-def _predict(langs, grams, counts, key):
-    """Predicts doc_id, held_out, text; the trees are made once per Python worker from the broadcast counts."""
+def _scored(trees_of, key):
+    """id and text to id, lang, bits and odds: the language with the shortest code, its length, and the sum of 2**(bits - length) over
+    the languages. Texts that are null or have no letter have nulls. Trees are made once per Python worker from the broadcast counts."""
 
     def run(batches):
         import numpy as np
@@ -154,61 +140,82 @@ def _predict(langs, grams, counts, key):
 
         if key not in _MADE:
             _MADE.clear()
-            _MADE[key] = Trees({lang: (g, n) for lang, g, n in zip(langs.value, grams.value, counts.value, strict=True)}) if langs.value else None
+            _MADE[key] = Trees(trees_of.value)
         trees = _MADE[key]
         for batch in batches:
-            best, score = [], []
-            for text in batch.column(2).to_pylist():
-                if trees is None or not text or not any(map(str.isalpha, text)):
-                    best.append("und")
-                    score.append(0.0)
+            lang, bits, odds = [], [], []
+            for text in batch.column(1).to_pylist():
+                if not text or not any(map(str.isalpha, text)):
+                    lang.append(None), bits.append(None), odds.append(None)
                     continue
-                bits, n = trees.lengths(b" " * (trees.order - 1) + normal(text))
-                i = int(np.argmin(bits))
-                # The posterior of equally likely languages, had the text as many independent bits as its square root of bytes.
-                gap = (bits - bits[i]) / max(1.0, np.sqrt(n)) * np.log(2)
-                best.append(trees.langs[i])
-                score.append(float(1.0 / np.exp(-np.minimum(gap, 700)).sum()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(best, pa.string()), pa.array(score, pa.float64())], names=["doc_id", "held_out", "lang_pred", "score"])
+                length, _ = trees.lengths(b" " * (trees.order - 1) + normal(text))
+                i = int(np.argmin(length))
+                lang.append(trees.langs[i]), bits.append(float(length[i])), odds.append(float(np.exp2(np.maximum(length[i] - length, -1000)).sum()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(lang, pa.string()), pa.array(bits, pa.float64()), pa.array(odds, pa.float64())], names=["id", "lang", "bits", "odds"])
 
     return run
 
 
 def count_grams(labelled: DataFrame, limit: int = TEXTS_PER_LANGUAGE) -> DataFrame:
-    """labelled: doc_id, lang, text. Counts of byte strings by language over at most about `limit` whole texts of each language."""
-    n = labelled.groupBy("lang").agg(F.count("*").alias("all"))
-    drawn = labelled.join(F.broadcast(n), "lang").where(F.pmod(F.xxhash64(F.lit("ppm"), "doc_id"), F.lit(1_000_000)) < F.lit(1_000_000) * F.least(F.lit(1.0), limit / F.col("all")))
+    """labelled: doc_id, lang, text. Counts of byte strings by language over about `limit` whole texts of each language at most."""
+    n = sized(labelled.groupBy("lang").agg(F.count("*").alias("all")))
+    drawn = labelled.join(n, "lang").where(F.pmod(F.xxhash64(F.lit("ppm"), "doc_id"), F.lit(1_000_000)) < F.lit(1_000_000) * F.least(F.lit(1.0), limit / F.col("all")))
     return drawn.select("lang", "text").mapInArrow(_grams(ORDER), "lang string, g long, n long").groupBy("lang", "g").agg(F.sum("n").alias("n"))
 
 
+def blocks(sizes: list[tuple[str, int]]) -> list[list[str]]:
+    """Languages with the numbers of their counts, in runs of about BLOCK_GRAMS counts and BLOCK_LANGUAGES languages at most."""
+    out: list[list[str]] = []
+    room = 0
+    for lang, n in sorted(sizes):
+        if not out or n > room or len(out[-1]) == BLOCK_LANGUAGES:
+            out.append([])
+            room = BLOCK_GRAMS
+        out[-1].append(lang)
+        room -= n
+    return out
+
+
 def identify(docs: DataFrame, folds: int = 3) -> DataFrame:
     """A row per row of docs (doc_id, text, lang): doc_id, held_out, lang_pred, score.
 
     Rows whose crc32(doc_id) modulo `folds` is 1 are held out; the trees are learned from the others with a language and a text. A
     null text, one without a letter, or any text if there is nothing to learn from is `und` with score 0. Ties go to the
-    language first in the alphabet. The score is the share of the winner among all languages, from the code lengths; it is not the
-    lang, source or id of the row. Languages are assumed to be few: their number is checked.
+    language first in the alphabet. The score is the winner's posterior among all languages, taken as equally likely before:
+    2**-bits over the sum of that of all languages. Neither lang, source nor id of a row enters it. Any number of languages
+    and all bytes are told apart; a block of languages is a pass over the texts, which are then written once.
     """
+    import uuid
+
     import numpy as np
 
     docs = docs.select(F.col("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
     held = crc_mod(F.col("doc_id"), folds) == 1
-    learn = docs.where(~held & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    names = [r["lang"] for r in learn.select("lang").distinct().limit(LANGUAGES + 1).collect()]
-    if len(names) > LANGUAGES:
-        raise ValueError(f"more than {LANGUAGES} languages")
-    rows = count_grams(learn).toPandas() if names else None
-    langs = sorted(set(rows["lang"])) if rows is not None and len(rows) else []
-    grams, counts = [], []
-    for lang in langs:
-        own = rows[rows["lang"] == lang].sort_values("g")
-        grams.append(own["g"].to_numpy(np.int64))
-        counts.append(own["n"].to_numpy(np.int64))
-    send = docs.sparkSession.sparkContext.broadcast
-    import uuid
-
-    run = _predict(send(langs), send(grams), send(counts), uuid.uuid4().hex)
-    return docs.select("doc_id", held.alias("held_out"), "text").mapInArrow(run, "doc_id long, held_out boolean, lang_pred string, score double")
+    grams = keep(count_grams(docs.where(~held & F.col("lang").isNotNull() & F.col("text").isNotNull())), "grams")
+    runs = blocks([(r["lang"], r["n"]) for r in grams.groupBy("lang").agg(F.count("*").alias("n")).collect()])
+
+    def score(df: DataFrame, run: list[str], id_type: str) -> DataFrame:
+        rows = grams.where(F.col("lang").isin(run)).toPandas()
+        counts = {lang: (own["g"].to_numpy(np.int64), own["n"].to_numpy(np.int64)) for lang, own in rows.groupby("lang")}
+        return df.mapInArrow(_scored(docs.sparkSession.sparkContext.broadcast(counts), uuid.uuid4().hex), f"id {id_type}, lang string, bits double, odds double")
+
+    def told(df: DataFrame, doc_id: Column) -> DataFrame:
+        return df.select(doc_id.alias("doc_id"), (crc_mod(doc_id, folds) == 1).alias("held_out"), F.coalesce("lang", F.lit("und")).alias("lang_pred"), F.coalesce(1 / F.col("odds"), F.lit(0.0)).alias("score"))
+
+    id_type = docs.schema["doc_id"].dataType.simpleString()
+    if not runs:
+        return told(docs.select("doc_id", F.lit(None).cast("string").alias("lang"), F.lit(None).cast("double").alias("odds")), F.col("doc_id"))
+    if len(runs) == 1:
+        return told(score(docs.select("doc_id", "text"), runs[0], id_type), F.col("id"))
+    docs = keep(docs.select("doc_id", "text").withColumn("row", F.monotonically_increasing_id()), "language-texts")
+    each = None
+    for run in runs:
+        part = keep(score(docs.select("row", "text"), run, "long"), "languages")
+        each = part if each is None else each.unionByName(part)
+    best = each.groupBy("id").agg(F.min_by("lang", F.struct("bits", "lang")).alias("lang"), F.min("bits").alias("least"), F.collect_list(F.struct("bits", "odds")).alias("all"))
+    odds = F.aggregate("all", F.lit(0.0), lambda a, x: a + x["odds"] * F.pow(F.lit(2.0), F.greatest(F.col("least") - x["bits"], F.lit(-1000.0))))
+    best = best.select("id", "lang", F.when(F.col("lang").isNotNull(), odds).alias("odds"))
+    return told(docs.drop("text").join(best, F.col("row") == F.col("id")).select("doc_id", "lang", "odds"), F.col("doc_id"))
 
 
 def op10_ppm_language(spark, sf_dir):
