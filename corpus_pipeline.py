@@ -5,6 +5,8 @@ columns of documents. Null texts pass all stages; an empty table gives an empty
 told from others with one, so no stage drops it.
 """
 
+import secrets
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,7 +14,7 @@ from tidemark.llm.common import keep, table
 from tidemark.llm.decontaminate import decontaminate
 from tidemark.llm.mixing import mix
 from tidemark.llm.near_duplicates import near_duplicates
-from tidemark.llm.pii import DEMO_KEY, pseudonymise
+from tidemark.llm.pii import pseudonymise
 from tidemark.llm.toxicity import score_toxicity
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
@@ -49,8 +51,11 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def pseudonymise_texts(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Personal data replaced under the key in spark.tidemark.pii.key; n_chars follows the new text."""
-    key = spark.conf.get("spark.tidemark.pii.key", DEMO_KEY)
+    """Personal data replaced under the key in spark.tidemark.pii.key; n_chars follows the new text.
+
+    Without that setting a key is drawn for the run and forgotten: values stay linked within the run and nobody can undo it.
+    """
+    key = spark.conf.get("spark.tidemark.pii.key", None) or secrets.token_hex(16)
     return pseudonymise(docs.select(*COLUMNS), key).withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
 
 
