@@ -35,6 +35,73 @@ def test_toxicity_on_held_out_rows(spark):
     assert toxicity.score_toxicity(df.limit(0), lab).count() == 0
 
 
+def test_label_model_by_dictionaries(spark):
+    """Families, and expectation maximisation document by document instead of by groups of equal votes."""
+    import math
+
+    r = random.Random(21)
+    voters, prior, docs = 6, 0.1, []
+    for i in range(900):
+        bad = i % 11 == 0
+        votes = {k for k in range(voters) if r.random() < ((0.7, 0.5, 0.3, 0.2, 0.05, 0.4)[k] if bad else (0.01, 0.02, 0.01, 0.05, 0.05, 0.0)[k])}
+        if 0 in votes and r.random() < 0.9:
+            votes.add(5)  # fires along with the first one
+        docs.append(sorted(votes | {voters + r.randrange(3)}))
+    got = toxicity.label_model(spark.createDataFrame([(d,) for d in docs], "f array<int>").repartition(4), voters, prior)
+    fired = [{k for k in d if k < voters} for d in docs]
+    n = len(docs)
+    up = list(range(voters))
+    for a in range(voters):
+        for b in range(a + 1, voters):
+            x, y = sum(a in v for v in fired), sum(b in v for v in fired)
+            both = sum(a in v and b in v for v in fired)
+            if 2 * both >= x + y - both:
+                up = [up[a] if u == up[b] else u for u in up]
+    assert len(set(got[0])) == len(set(up)) < voters and all((got[0][i] == got[0][j]) == (up[i] == up[j]) for i in range(voters) for j in range(voters))
+    states = [{got[0][k] for k in v} for v in fired]
+    hits = {k: sum(k in s for s in states) for k in {k for s in states for k in s}}
+    a = {k: min(0.5, max(1e-3, 0.7 * h / (prior * n))) for k, h in hits.items()}
+    b = {k: max(1e-7, 0.1 * h / n) for k, h in hits.items()}
+    pi, weight, none = prior, {}, 0.0
+    for _ in range(toxicity.EM_STEPS):
+        none = math.log(pi / (1 - pi)) + sum(math.log((1 - a[k]) / (1 - b[k])) for k in hits)
+        weight = {k: math.log(a[k] / b[k]) - math.log((1 - a[k]) / (1 - b[k])) for k in hits}
+        post = [1 / (1 + math.exp(-none - sum(weight[k] for k in s))) for s in states]
+        toxic = sum(post)
+        of = {k: sum(p for p, s in zip(post, states) if k in s) for k in hits}
+        a = {k: min(0.9, max(1e-4, of[k] / (toxic + 1))) for k in hits}
+        b = {k: min(a[k] / 2, max(1e-7, (h - of[k] + 0.1) / (n - toxic + 1))) for k, h in hits.items()}
+        pi = min(0.5, max(1e-4, toxic / n))
+    assert got[2] == pytest.approx(none, rel=1e-6) and got[1] == pytest.approx(weight, rel=1e-6)
+    # The model tells toxic rows from clean ones although it has seen no label.
+    told = [none + sum(weight[k] for k in s) > 0 for s in states]
+    assert sum(t == (i % 11 == 0) for i, t in enumerate(told)) / n > 0.93
+
+
+def test_mined_features_by_dictionaries(spark):
+    import math
+    from collections import Counter
+
+    r = random.Random(22)
+    rows, labels = [], []
+    for i in range(400):
+        w = [r.choice(["lin", "morning", "therapy", "ander"]) for _ in range(12)]
+        if i % 5 == 0:
+            w += [r.choice(["grukkan", "grukkel", "Idiot"]) for _ in range(2)]
+        rows.append((i, " ".join(w)))
+        labels.append((i, int(i % 5 == 0)))
+    voters, used = toxicity.mine(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int"))
+    seen = {0: Counter(), 1: Counter()}
+    for (_, t), (_, y) in zip(rows, labels):
+        seen[y].update({f for w in t.lower().split() for f in toxicity.word_features(w)})
+    lift = {f: (seen[1][f] / 80) / ((seen[0][f] + 0.5) / 320) for f in seen[1]}
+    want = {f for f, p in seen[1].items() if p >= toxicity.USED_SUPPORT and lift[f] >= toxicity.USED_LIFT}
+    seeds = {f"w:{w}" for w in toxicity.SEED_WORDS}
+    assert set(used) == want | seeds
+    strong = {f for f in want if seen[1][f] >= toxicity.SUPPORT and lift[f] >= toxicity.LIFT and seen[1][f] * math.log(lift[f]) >= toxicity.EVIDENCE}
+    assert set(voters) == strong | seeds and strong
+
+
 def test_languages(spark):
     r = random.Random(8)
     parts = {"aa": "lin mor ther ing and", "bb": "ung keit ver ein über", "cc": "ción ñas que los ado"}
