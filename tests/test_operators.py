@@ -186,3 +186,69 @@ def test_streams_agree_with_batch(spark, tmp_path):
     batch = sequence.smoothed(events, ["user_id"], "event_id", "value", 0.5).select("event_id", "smooth")
     pairs = spark.read.parquet(f"{tmp_path}/sm").withColumnRenamed("smooth", "s2").join(batch, "event_id")
     assert pairs.count() == events.count() and pairs.where("abs(smooth - s2) > 1e-6").count() == 0
+
+
+def test_fee_tables(spark):
+    """The best of several tables, prior years, dashes, thousands, years that are no amounts, captions without amounts."""
+    from tidemark.functions import text as X
+
+    texts = [
+        "Audit fees were 2001 policy. Audit Fees $ 1,200 $1,100 Audit-Related Fees — 50,000 Tax Fees 300 400 All Other Fees nil Total Fees $ 51,700",
+        "x (in thousands) audit fees (1) $ (950) 870 tax fees 12 total 1,000 900", None, "", "no fees", "Audit fees 2001 2000", "Audit fees $5 Audit fees $7 Tax fees $8", "audit fees 9,999,999,999", "tax fees $ 7",
+    ]
+    got = {r.i: r.f and tuple(r.f) for r in spark.createDataFrame(list(enumerate(texts)), "i int, t string").select("i", X.fees(F.col("t")).alias("f")).collect()}
+    assert got[0] == (1200.0, 0.0, 300.0, 0.0, 51700.0, 1100.0, 50000.0, 400.0, None, 51500.0)
+    assert got[1] == (950000.0, None, None, None, 1000000.0, 870000.0, None, None, None, 900000.0)
+    assert got[6] == (7.0, None, 8.0, None, 15.0, None, None, None, None, None)
+    assert [got[i] for i in (2, 3, 4, 5, 7, 8)] == [None] * 6
+
+
+def test_text_flags_both_ways(spark):
+    """A sentence that each pattern finds, and near misses that none does."""
+    from tidemark.functions import text as X
+
+    hits = {
+        "not_effective": "disclosure controls and procedures were not effective", "remediation": "we remediated it", "going_concern": "substantial doubt about its going concern", "big4": "audited by KPMG",
+        "adverse": "an adverse opinion on internal control", "class_action": "a putative class action", "investigation": "the SEC began an investigation", "mw_revenue": "a material weakness in revenue",
+        "mw_itgc": "ITGC", "mw_segregation": "segregation of duties", "mw_close": "the period-end financial reporting process", "mw_staff": "lack of accounting personnel", "mw_nonroutine": "complex transactions",
+        "mw_tax": "a material weakness in income tax", "mw_override": "management override", "cam": "a critical audit matter", "emphasis": "emphasis of matter", "out_of_period": "an out-of-period item", "restated": "as restated",
+        "whistleblower": "a whistle-blower", "derivative_suit": "a derivative lawsuit", "reverse_split": "a reverse stock split", "shell": "a shell company", "growth_company": "an emerging growth company", "non_gaap": "adjusted EBITDA",
+    }
+    patterns = {**X.DISCLOSURE, **X.WEAKNESS}
+    assert set(hits) == set(patterns)
+    misses = "controls were effective. A weak opinion, an action of the class, understated doubts, periods and taxes, a split, growth, duties, override"
+    rows = [(k, v) for k, v in hits.items()] + [("none", misses), ("null", None)]
+    for r in spark.createDataFrame(rows, "k string, t string").select("k", *[v.alias(n) for n, v in X.flags(F.col("t"), patterns).items()]).collect():
+        found = {n for n in patterns if r[n]}
+        assert (r.k in found) if r.k in hits else not found, (r.k, found)
+
+
+def test_percentiles_and_ranks_over_ranges(spark):
+    """Against sorted lists, by group and over all, with ties, a group with a third of the rows, single values and nulls."""
+    import random
+
+    from tidemark.operators import metrics as M
+
+    r = random.Random(3)
+    rows = [("hot" if i % 3 == 0 else r.choice(["a", "b", None]), r.choice([r.random(), round(r.random(), 1), 0.5, None]), int(r.random() < 0.3)) for i in range(3000)] + [("one", 7.0, 1), ("empty", None, 0)]
+    df = spark.createDataFrame(rows, "g string, v double, y int").repartition(7)
+    at = [0.0, 0.1, 0.5, 0.975, 1.0]
+
+    def exact(values, q):
+        s = sorted(values)
+        k = q * (len(s) - 1)
+        low = int(k)
+        return s[low] + (s[min(low + 1, len(s) - 1)] - s[low]) * (k - low)
+
+    got = {x.g: tuple(x)[1:] for x in M.percentiles(df, "v", at, ["g"]).collect()}
+    by = {}
+    for g, v, _ in rows:
+        if v is not None:
+            by.setdefault(g, []).append(v)
+    assert got.keys() == by.keys()
+    for g, values in by.items():
+        assert got[g] == pytest.approx([exact(values, q) for q in at])
+    assert tuple(M.percentiles(df, "v", at).first()) == pytest.approx([exact([v for vs in by.values() for v in vs], q) for q in at])
+    for x in M.ranked_counts(df, "v", "y", ["g"]).collect():
+        mine = [(v, y) for g, v, y in rows if g == x.g and v is not None]
+        assert (x.below, x.below_neg) == (sum(v < x.v for v, _ in mine), sum(v < x.v and y == 0 for v, y in mine))

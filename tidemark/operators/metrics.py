@@ -1,7 +1,7 @@
 """Ranking metrics and resampling.
 
-Tied scores are counted before anything is ordered, and a ranking over all rows is made in ranges of the score: each range is
-ordered by itself and starts where the ranges below it end, so no task sees all rows.
+Tied scores are counted before anything is ordered, and a ranking is made in ranges of the score, by group or over all rows: each range
+is ordered by itself and starts where the ranges below it end, so no task sees all rows of a group.
 """
 
 from pyspark.sql import Column, DataFrame, Window
@@ -10,28 +10,54 @@ from pyspark.sql import functions as F
 RANGES = 64
 
 
-def _ranges(df: DataFrame, score: str) -> Column:
-    """The range of a score among about equally filled ones."""
-    cuts = df.approxQuantile(score, [i / RANGES for i in range(1, RANGES)], 0.002)
-    return F.size(F.filter(F.array(*[F.lit(x) for x in sorted(set(cuts))]), lambda c: c < F.col(score))) if cuts else F.lit(0)
+def _range_of(df: DataFrame, score: str, ranges: int = RANGES) -> Column:
+    """The range of a score among about equally filled ones, by cuts over all rows; groups share the cuts."""
+    cuts = sorted(set(df.approxQuantile(score, [i / ranges for i in range(1, ranges)], 0.002)))
+    return F.size(F.filter(F.array(*[F.lit(x) for x in cuts]), lambda c: c < F.col(score))) if cuts else F.lit(0)
+
+
+def _below(g: DataFrame, by: list[str], score: str, sums: dict[str, Column]) -> DataFrame:
+    """g (a row per group, range _b and score) with, for each name, the sum of the column over all smaller scores of the group.
+
+    Sums of whole ranges are few: a row per group and range.
+    """
+    per = g.groupBy(*by, "_b").agg(*[F.sum(c).alias(f"_{k}") for k, c in sums.items()])
+    up = Window.partitionBy(*by).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    start = per.select(*[F.col(c).alias(f"_k{i}") for i, c in enumerate([*by, "_b"])], *[F.coalesce(F.sum(f"_{k}").over(up), F.lit(0.0)).alias(f"_0{k}") for k in sums])
+    on = [F.col(c).eqNullSafe(F.col(f"_k{i}")) for i, c in enumerate([*by, "_b"])]
+    run = Window.partitionBy(*by, "_b").orderBy(score).rowsBetween(Window.unboundedPreceding, -1)
+    g = g.join(start, on)
+    g = g.withColumns({k: F.col(f"_0{k}") + F.coalesce(F.sum(c).over(run), F.lit(0.0)) for k, c in sums.items()})
+    return g.drop(*[f"_0{k}" for k in sums], *[f"_k{i}" for i in range(len(by) + 1)])
 
 
 def ranked_counts(df: DataFrame, score: str, y: str, by: list[str] | None = None, weight: Column | None = None) -> DataFrame:
-    """by, score, pos, neg, below: weights of positives and negatives of each distinct score, and of all rows with smaller scores."""
+    """by, score, pos, neg, below, below_neg: weights of positives and negatives of each distinct score, of all rows and of negatives with smaller scores."""
     by, w = by or [], weight if weight is not None else F.lit(1.0)
     df = df.where(F.col(score).isNotNull() & F.col(y).isNotNull())
     g = df.groupBy(*by, score).agg(F.sum(F.when(F.col(y) == 1, w).otherwise(0.0)).alias("pos"), F.sum(F.when(F.col(y) == 1, 0.0).otherwise(w)).alias("neg"))
-    if by:
-        run = Window.partitionBy(*by).orderBy(score).rowsBetween(Window.unboundedPreceding, -1)
-        return g.withColumns({"below": F.coalesce(F.sum(F.col("pos") + F.col("neg")).over(run), F.lit(0.0)), "below_neg": F.coalesce(F.sum("neg").over(run), F.lit(0.0))})
-    g = g.withColumn("_b", _ranges(df, score))
-    per = g.groupBy("_b").agg(F.sum(F.col("pos") + F.col("neg")).alias("a"), F.sum("neg").alias("b"))
-    up = Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)  # over at most RANGES rows
-    start = per.select("_b", F.coalesce(F.sum("a").over(up), F.lit(0.0)).alias("_a0"), F.coalesce(F.sum("b").over(up), F.lit(0.0)).alias("_b0"))
-    run = Window.partitionBy("_b").orderBy(score).rowsBetween(Window.unboundedPreceding, -1)
-    g = g.join(F.broadcast(start), "_b")
-    below = {"below": F.col("_a0") + F.coalesce(F.sum(F.col("pos") + F.col("neg")).over(run), F.lit(0.0)), "below_neg": F.col("_b0") + F.coalesce(F.sum("neg").over(run), F.lit(0.0))}
-    return g.withColumns(below).drop("_b", "_a0", "_b0")
+    g = g.withColumn("_b", _range_of(df, score))
+    return _below(g, by, score, {"below": F.col("pos") + F.col("neg"), "below_neg": F.col("neg")}).drop("_b")
+
+
+def percentiles(df: DataFrame, value: str, at: list[float], by: list[str] | None = None, names: list[str] | None = None) -> DataFrame:
+    """by and a column per share: exact percentiles with linear interpolation, over ranges of the value, so that no task holds a group.
+
+    Values are counted first; the two values around each share lie in known ranges, and only those ranges are ordered.
+    """
+    by, names = by or [], names or [f"q{i}" for i in range(len(at))]
+    df = df.where(F.col(value).isNotNull()).select(*by, F.col(value).cast("double").alias("_v"))
+    g = df.groupBy(*by, "_v").agg(F.count("*").cast("double").alias("_n")).withColumn("_b", _range_of(df, "_v"))
+    g = _below(g, by, "_v", {"_from": F.col("_n")})
+    total = g.groupBy(*by).agg(F.sum("_n").alias("_all"))
+    g = g.join(total.select(*[F.col(c).alias(f"_t{i}") for i, c in enumerate(by)], "_all"), [F.col(c).eqNullSafe(F.col(f"_t{i}")) for i, c in enumerate(by)]) if by else g.crossJoin(F.broadcast(total))
+    # Row numbers from 0: a share lies between the whole places around it.
+    place = {n: F.lit(q) * (F.col("_all") - 1) for n, q in zip(names, at, strict=True)}
+    held = lambda k: (F.col("_from") <= k) & (k < F.col("_from") + F.col("_n"))
+    picks = [F.max(F.when(held(f(p)), F.col("_v"))).alias(f"_{n}{i}") for n, p in place.items() for i, f in enumerate((F.floor, F.ceil))]
+    out = g.groupBy(*by).agg(F.max("_all").alias("_all"), *picks)
+    mixed = [(F.col(f"_{n}0") + (F.col(f"_{n}1") - F.col(f"_{n}0")) * (p - F.floor(p))).alias(n) for n, p in place.items()]
+    return out.select(*by, *mixed)
 
 
 def auc(df: DataFrame, score: str, y: str, by: list[str] | None = None, weight: Column | None = None) -> DataFrame:
@@ -57,24 +83,38 @@ def precision_at(df: DataFrame, score: str, y: str, tie: str, k: int) -> DataFra
 
 
 def ndcg(df: DataFrame, score: str, y: str, tie: str, fraction: float) -> DataFrame:
-    """k, ndcg of the top fraction; the ideal order has all positives first."""
+    """k, ndcg of the top fraction; the ideal order has all positives first. Only the scores' range in which the fraction ends, and those above
+    it, are ordered, each by itself."""
     total = df.agg(F.count("*").alias("n"), F.sum(y).alias("p")).first()
     k = max(1, int((total["n"] or 0) * fraction))
-    gain = 1 / F.log2(F.col("i") + 1)
-    top = df.orderBy(F.desc(score), F.asc(tie)).limit(k).withColumn("i", F.row_number().over(Window.orderBy(F.desc(score), F.asc(tie))))
+    ranged = df.select(score, y, tie).withColumn("_b", _range_of(df, score))
+    per = ranged.groupBy("_b").agg(F.count("*").alias("_c"))
+    up = Window.orderBy(F.desc("_b")).rowsBetween(Window.unboundedPreceding, -1)  # a row per range
+    start = F.broadcast(per.select("_b", F.coalesce(F.sum("_c").over(up), F.lit(0)).alias("_0")).where(F.col("_0") < k))
+    place = F.col("_0") + F.row_number().over(Window.partitionBy("_b").orderBy(F.desc(score), F.asc(tie)))
+    top = ranged.join(start, "_b").withColumn("i", place).where(F.col("i") <= k)
     ideal = df.sparkSession.range(1, min(k, int(total["p"] or 0)) + 1).agg(F.sum(1 / F.log2(F.col("id") + 1)).alias("ideal"))
-    return top.agg(F.sum(F.col(y) * gain).alias("dcg")).crossJoin(F.broadcast(ideal)).select(F.lit(k).cast("long").alias("k"), F.try_divide("dcg", "ideal").alias("ndcg"))
+    return top.agg(F.sum(F.col(y) / F.log2(F.col("i") + 1)).alias("dcg")).crossJoin(F.broadcast(ideal)).select(F.lit(k).cast("long").alias("k"), F.try_divide("dcg", "ideal").alias("ndcg"))
 
 
-def poisson_weight(key: Column, replicate: Column, seed: int = 0) -> Column:
-    """How often a row is drawn in a bootstrap replicate: Poisson(1), from a hash of key and replicate, so reruns agree."""
-    u = (F.pmod(F.xxhash64(F.lit(seed), key, replicate), F.lit(1 << 40)) / F.lit(float(1 << 40))).cast("double")
-    edges, p, total = [], 2.718281828459045**-1, 0.0
-    for i in range(12):
+def _poisson_edges(n: int = 12) -> list[float]:
+    """The distribution function of Poisson(1) at 0 .. n-1."""
+    out, p, total = [], 2.718281828459045**-1, 0.0
+    for i in range(n):
         total += p
-        edges.append(total)
+        out.append(total)
         p /= i + 1
-    return sum((F.when(u >= e, 1.0).otherwise(0.0) for e in edges), F.lit(0.0))
+    return out
+
+
+POISSON_EDGES = _poisson_edges()
+
+
+def poisson_weight(key: Column, replicate: Column, seed: int = 0) -> Column:
+    """How often a row is drawn in a bootstrap replicate: Poisson(1), from the md5 of seed, key and replicate, so reruns and engines agree."""
+    text = F.concat_ws("|", F.lit(str(seed)), key.cast("string"), replicate.cast("string"))
+    u = F.conv(F.substring(F.md5(text.cast("binary")), 1, 10), 16, 10).cast("double") / F.lit(float(1 << 40))
+    return sum((F.when(u >= e, 1.0).otherwise(0.0) for e in POISSON_EDGES), F.lit(0.0))
 
 
 def bootstrap_auc(df: DataFrame, scores: list[str], y: str, unit: str, replicates: int, seed: int = 0) -> DataFrame:

@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from tidemark.operators import facts
+from tidemark.operators.metrics import percentiles
 from tidemark.plans.registry import Registry, day, n, r6, text_of
 
 R = Registry()
@@ -51,9 +52,10 @@ def count_distinct(t):
     return t.lineitem.groupBy("l_suppkey").agg(n(F.countDistinct("l_partkey")).alias("parts"), n(F.countDistinct("l_orderkey")).alias("orders"))
 
 
-@R.query("distinct_tokens", "SELECT lang, count(DISTINCT w)::BIGINT AS tokens FROM (SELECT lang, unnest(string_split(lower(split_part(text, chr(10), 1)), ' ')) AS w FROM documents) WHERE w <> '' GROUP BY 1")
+@R.query("distinct_tokens", r"SELECT lang, count(DISTINCT w)::BIGINT AS tokens FROM (SELECT lang, unnest(regexp_split_to_array(lower(text), '[ \n\t\r]+')) AS w FROM documents) WHERE w <> '' GROUP BY 1")
 def distinct_tokens(t):
-    w = t.documents.select("lang", F.explode(F.split(F.lower(F.split_part("text", F.lit("\n"), F.lit(1))), " ")).alias("w")).where("w <> ''")
+    """Tokens of a text are made distinct in its row, before they are shuffled."""
+    w = t.documents.select("lang", F.explode(F.array_distinct(F.split(F.lower("text"), "[ \n\t\r]+"))).alias("w")).where("w <> ''")
     return w.groupBy("lang").agg(n(F.countDistinct("w")).alias("tokens"))
 
 
@@ -70,8 +72,8 @@ def minmax_dates(t):
 
 @R.query("median_quantile", "SELECT o_orderpriority, round(median(o_totalprice), 6) AS med, round(quantile_cont(o_totalprice, 0.1), 6) AS q10, round(quantile_cont(o_totalprice, 0.975), 6) AS q975 FROM orders GROUP BY 1")
 def median_quantile(t):
-    q = lambda p: r6(F.percentile("o_totalprice", F.lit(p)))
-    return t.orders.groupBy("o_orderpriority").agg(r6(F.median("o_totalprice")).alias("med"), q(0.1).alias("q10"), q(0.975).alias("q975"))
+    q = percentiles(t.orders, "o_totalprice", [0.5, 0.1, 0.975], ["o_orderpriority"], ["med", "q10", "q975"])
+    return q.select("o_orderpriority", *[r6(c).alias(c) for c in ("med", "q10", "q975")])
 
 
 @R.query("stddev_pop_samp", "SELECT user_id, round(stddev_pop(value), 6) AS pop, round(stddev_samp(value), 6) AS samp FROM events GROUP BY 1")
@@ -174,9 +176,9 @@ def event_dedup_weight(t):
     SELECT p, round(avg(least(greatest(o_totalprice, a), b)), 4) AS winsor, round(avg(o_totalprice) FILTER (o_totalprice BETWEEN a AND b), 4) AS trimmed, round(avg((o_totalprice > b)::INT), 6) AS tail FROM orders JOIN q ON p = o_orderpriority GROUP BY 1""",
 )
 def winsor_trim(t):
-    q = t.orders.groupBy(F.col("o_orderpriority").alias("p")).agg(F.percentile("o_totalprice", F.lit(0.05)).alias("a"), F.percentile("o_totalprice", F.lit(0.95)).alias("b"))
+    q = percentiles(t.orders, "o_totalprice", [0.05, 0.95], ["o_orderpriority"], ["a", "b"]).withColumnRenamed("o_orderpriority", "p")
     v = F.col("o_totalprice")
-    o = t.orders.join(F.broadcast(q), F.col("p") == F.col("o_orderpriority"))
+    o = t.orders.join(q, F.col("p") == F.col("o_orderpriority"))
     return o.groupBy("p").agg(F.round(F.avg(F.least(F.greatest(v, "a"), "b")), 4).alias("winsor"), F.round(F.avg(F.when(v.between(F.col("a"), F.col("b")), v)), 4).alias("trimmed"), r6(F.avg((v > F.col("b")).cast("int"))).alias("tail"))
 
 
@@ -230,19 +232,27 @@ def row_topk_reasons(t):
 
 @R.query("quantile_cut", "SELECT o_orderkey FROM orders WHERE o_totalprice >= (SELECT quantile_cont(o_totalprice, 0.7) FROM orders)")
 def quantile_cut(t):
-    q = t.orders.agg(F.percentile("o_totalprice", F.lit(0.7)).alias("q"))
+    q = percentiles(t.orders, "o_totalprice", [0.7], names=["q"])
     return t.orders.crossJoin(F.broadcast(q)).where("o_totalprice >= q").select("o_orderkey")
 
 
 @R.query("stratified_sample", "WITH l AS (SELECT doc_id, toxic, md5(doc_id::VARCHAR) AS h FROM labels), k AS (SELECT 3 * count(*) AS k FROM l WHERE toxic = 1) SELECT doc_id, toxic::BIGINT AS toxic FROM l QUALIFY toxic = 1 OR row_number() OVER (PARTITION BY toxic ORDER BY h, doc_id) <= (SELECT k FROM k)")
 def stratified_sample(t):
-    """All positives and three negatives for each, drawn by a hash of the key; the cut is a count per class, not a guess."""
+    """All positives and three negatives for each, drawn by a hash of the key; the cut is a count per class, not a guess.
+
+    Negatives are counted by the beginning of their hash first; only those with the beginning in which the cut falls are ordered.
+    """
     from pyspark.sql import Window
 
-    l = t.labels.withColumn("h", F.md5(F.col("doc_id").cast("string").cast("binary")))
+    l = t.labels.withColumn("h", F.md5(F.col("doc_id").cast("string").cast("binary"))).withColumn("b", F.substring("h", 1, 4))
     k = l.agg((3 * F.count_if(F.col("toxic") == 1)).alias("k"))
-    w = Window.partitionBy("toxic").orderBy("h", "doc_id")
-    return l.withColumn("i", F.row_number().over(w)).crossJoin(F.broadcast(k)).where("toxic = 1 or i <= k").select("doc_id", n("toxic").alias("toxic"))
+    per = l.where("toxic <> 1").groupBy("toxic", "b").agg(F.count("*").alias("c"))  # at most 65536 rows per class
+    start = per.withColumn("before", F.sum("c").over(Window.partitionBy("toxic").orderBy("b")) - F.col("c")).crossJoin(F.broadcast(k)).where("before < k")
+    near = l.join(F.broadcast(start), ["toxic", "b"])
+    whole, cut = near.where("before + c <= k"), near.where("before + c > k")
+    cut = cut.withColumn("i", F.col("before") + F.row_number().over(Window.partitionBy("toxic", "b").orderBy("h", "doc_id"))).where("i <= k")
+    rows = l.where("toxic = 1").select("doc_id", "toxic").union(whole.select("doc_id", "toxic")).union(cut.select("doc_id", "toxic"))
+    return rows.select("doc_id", n("toxic").alias("toxic"))
 
 
 QUERIES, ORACLE_SQL = R.queries, R.sql

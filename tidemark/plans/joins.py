@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import scalar as S
 from tidemark.operators import temporal as T
+from tidemark.operators.metrics import percentiles
 from tidemark.plans.registry import Registry, day, n, r6, text_of
 
 R = Registry()
@@ -171,14 +172,17 @@ def forward_return(t):
 
 @R.query(
     "reindex_ffill",
-    """WITH days AS (SELECT DISTINCT ts::DATE AS d FROM events), p AS (SELECT ts::DATE AS d, max(value) AS v FROM events WHERE event_type = 'purchase' AND user_id < 5 GROUP BY 1)
-    SELECT strftime(d, '%Y-%m-%d') AS day, last_value(v IGNORE NULLS) OVER (ORDER BY d) AS v FROM days LEFT JOIN p USING (d)""",
+    """WITH days AS (SELECT DISTINCT ts::DATE AS d FROM events), p AS (SELECT user_id, ts::DATE AS d, max(value) AS v FROM events WHERE event_type = 'purchase' GROUP BY 1, 2)
+    SELECT u.user_id, strftime(d, '%Y-%m-%d') AS day, last_value(v IGNORE NULLS) OVER (PARTITION BY u.user_id ORDER BY d) AS v FROM (SELECT DISTINCT user_id FROM p) u CROSS JOIN days LEFT JOIN p USING (user_id, d)""",
 )
 def reindex_ffill(t):
+    """Each buyer's largest purchase of a day on the calendar of all days, carried forward. The calendar is one row with as many days as there are."""
     e = t.events.withColumn("d", day("ts"))
-    p = e.where("event_type = 'purchase' and user_id < 5").groupBy("d").agg(F.max("value").alias("v"))
-    days = e.select("d").distinct().join(p, "d", "left")
-    return days.select(text_of("d").alias("day"), F.last("v", ignorenulls=True).over(Window.orderBy("d").rowsBetween(Window.unboundedPreceding, 0)).alias("v"))
+    p = e.where("event_type = 'purchase'").groupBy("user_id", "d").agg(F.max("value").alias("v"))
+    calendar = F.broadcast(e.select("d").distinct().agg(F.collect_list("d").alias("days")))
+    on = p.select("user_id").distinct().crossJoin(calendar).select("user_id", F.explode("days").alias("d")).join(p, ["user_id", "d"], "left")
+    upto = Window.partitionBy("user_id").orderBy("d").rowsBetween(Window.unboundedPreceding, 0)
+    return on.select("user_id", text_of("d").alias("day"), F.last("v", ignorenulls=True).over(upto).alias("v"))
 
 
 @R.query(
@@ -295,7 +299,7 @@ def fiscal_year_join(t):
 
 @R.query("broadcast_scalar", "SELECT o_orderkey, (o_totalprice > m)::BIGINT AS above FROM orders, (SELECT median(o_totalprice) AS m FROM orders)")
 def broadcast_scalar(t):
-    m = t.orders.agg(F.median("o_totalprice").alias("m"))
+    m = percentiles(t.orders, "o_totalprice", [0.5], names=["m"])
     return t.orders.crossJoin(F.broadcast(m)).select("o_orderkey", n(F.col("o_totalprice") > F.col("m")).alias("above"))
 
 

@@ -12,6 +12,9 @@ R = Registry()
 _S = "SELECT d.doc_id, d.lang, d.source, l.toxic AS y, n_chars::DOUBLE AS a, floor(n_chars / 200)::DOUBLE AS b, (doc_id * 7919 % 1000)::DOUBLE AS c FROM documents d JOIN labels l USING (doc_id)"
 
 
+_SN = f"SELECT doc_id, y, CASE WHEN a < 4000 THEN a END AS a, b, CASE WHEN doc_id % 7 <> 0 THEN c END AS c FROM ({_S})"
+
+
 def _scores(t):
     d = t.documents.join(t.labels, "doc_id")
     c = F.col("n_chars")
@@ -36,9 +39,11 @@ def auc_by_year(t):
     return M.auc(_scores(t), "b", "y", ["lang"]).select("lang", n("n").alias("n"), n("pos").alias("pos"), r6("auc").alias("auc"))
 
 
-@R.query("auc_per_feature", f"SELECT feature, round(1.0, 6) AS coverage, auc FROM ({_auc_sql('v', 'feature', f'(UNPIVOT ({_S}) ON a, b, c INTO NAME feature VALUE v)')})")
+@R.query("auc_per_feature", f"SELECT feature, coverage, auc FROM ({_auc_sql('v', 'feature', f'(UNPIVOT ({_SN}) ON a, b, c INTO NAME feature VALUE v)')}) JOIN (SELECT unnest(['a', 'b', 'c']) AS feature, round(unnest([count(a) / count(*), count(b) / count(*), count(c) / count(*)]), 6) AS coverage FROM ({_SN})) USING (feature)")
 def auc_per_feature(t):
-    return M.auc_per_feature(_scores(t), ["a", "b", "c"], "y").select("feature", r6("coverage").alias("coverage"), r6("auc").alias("auc"))
+    """Each feature over the rows that have it; here one lacks values of long texts, another of every seventh row."""
+    s = _scores(t).withColumns({"a": F.when(F.col("a") < 4000, F.col("a")), "c": F.when(F.col("doc_id") % 7 != 0, F.col("c"))})
+    return M.auc_per_feature(s, ["a", "b", "c"], "y").select("feature", r6("coverage").alias("coverage"), r6("auc").alias("auc"))
 
 
 @R.query("precision_at_k", f"WITH s AS ({_S}), k AS (SELECT y FROM s ORDER BY a DESC, doc_id LIMIT 100) SELECT count(*)::BIGINT AS k, sum(y)::BIGINT AS hits, round(avg(y), 6) AS precision, round(avg(y) / nullif((SELECT avg(y) FROM s), 0), 6) AS lift FROM k")
@@ -59,23 +64,38 @@ def _told(values, value):
     return M.interval(values, value).select(r6("lo").alias("lo"), r6("hi").alias("hi"), r6("p_le_0").alias("p_le_0"))
 
 
-@R.query("bootstrap_ci")
+def _draws(unit):
+    u = f"('0x' || substr(md5('0|' || {unit} || '|' || r), 1, 10))::BIGINT::DOUBLE / {1 << 40}"
+    return f"SELECT *, {' + '.join(f'CASE WHEN u >= {e!r} THEN 1.0::DOUBLE ELSE 0 END' for e in M.POISSON_EDGES)} AS w FROM (SELECT s.*, r, {u} AS u FROM ({_S}) s, range(1, 101) t(r))"
+
+
+def _boot_sql(unit, *scores):
+    """Weighted sums below each score by a plain window; the difference of two scores is paired by replicate."""
+    each = [f"{m}1 AS (SELECT r, {m} AS v, coalesce(sum(w) FILTER (y = 1), 0) AS pos, coalesce(sum(w) FILTER (y <> 1), 0) AS neg FROM d WHERE w > 0 GROUP BY 1, 2), {m}2 AS (SELECT r, sum(pos * (below + neg / 2)) / nullif(sum(pos) * sum(neg), 0) AS auc FROM (SELECT *, coalesce(sum(neg) OVER (PARTITION BY r ORDER BY v ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS below FROM {m}1) GROUP BY 1)" for m in scores]
+    value = " - ".join(f"{m}2.auc" for m in scores)
+    return f"WITH d AS ({_draws(unit)}), {', '.join(each)}, x AS (SELECT {value} AS d FROM {' JOIN '.join(f'{m}2' + (' USING (r)' if i else '') for i, m in enumerate(scores))}) {_INTERVAL}"
+
+
+_INTERVAL = "SELECT round(quantile_cont(d, 0.025), 6) AS lo, round(quantile_cont(d, 0.975), 6) AS hi, round(avg((d <= 0)::INT), 6) AS p_le_0 FROM x"
+
+
+@R.query("bootstrap_ci", _boot_sql("doc_id", "a"))
 def bootstrap_ci(t):
     return _told(M.bootstrap_auc(_scores(t), ["a"], "y", "doc_id", 100), "a")
 
 
-@R.query("paired_bootstrap")
+@R.query("paired_bootstrap", _boot_sql("doc_id", "a", "c"))
 def paired_bootstrap(t):
     return _told(M.bootstrap_auc(_scores(t), ["a", "c"], "y", "doc_id", 100).withColumn("d", F.col("a") - F.col("c")), "d")
 
 
-@R.query("cluster_bootstrap")
+@R.query("cluster_bootstrap", _boot_sql("source", "a", "c"))
 def cluster_bootstrap(t):
     """Whole sources are drawn, as their documents are alike."""
     return _told(M.bootstrap_auc(_scores(t), ["a", "c"], "y", "source", 100).withColumn("d", F.col("a") - F.col("c")), "d")
 
 
-@R.query("bootstrap_diff")
+@R.query("bootstrap_diff", f"WITH x AS (SELECT r, sum(w * a) FILTER (y = 1) / nullif(sum(w) FILTER (y = 1), 0) - sum(w * a) FILTER (y = 0) / nullif(sum(w) FILTER (y = 0), 0) AS d FROM ({_draws('doc_id')}) GROUP BY 1) {_INTERVAL}")
 def bootstrap_diff(t):
     """The difference of two groups' means under resampling."""
     d = _scores(t).select("doc_id", "y", "a").withColumn("replicate", F.explode(F.sequence(F.lit(1), F.lit(100))))
@@ -84,12 +104,15 @@ def bootstrap_diff(t):
     return _told(w.groupBy("replicate").agg((of(1) - of(0)).alias("d")), "d")
 
 
-@R.query("leak_audit", f"WITH s AS (SELECT *, CASE WHEN a < 500 THEN 'short' WHEN a < 3000 THEN 'middle' ELSE 'long' END AS bucket FROM ({_S}) WHERE source NOT IN (SELECT source FROM ({_S}) WHERE y = 1 AND doc_id < 60)) " + _auc_sql("c", "bucket", "s"))
+_H = "SELECT s.*, md5(d.text) AS h FROM ({0}) s JOIN documents d USING (doc_id)".format(_S)
+
+
+@R.query("leak_audit", f"WITH h AS ({_H}), e AS (SELECT h, min(doc_id) AS early FROM h WHERE y = 1 GROUP BY 1), s AS (SELECT h.*, CASE WHEN a < 500 THEN 'short' WHEN a < 3000 THEN 'middle' ELSE 'long' END AS bucket FROM h LEFT JOIN e USING (h) WHERE early IS NULL OR doc_id <= early) " + _auc_sql("c", "bucket", "s"))
 def leak_audit(t):
-    """The metric by bucket, over rows whose source had no early positive."""
-    s = _scores(t)
-    seen = s.where("y = 1 and doc_id < 60").select("source").distinct()
-    s = s.join(seen, "source", "left_anti").withColumn("bucket", F.when(F.col("a") < 500, "short").when(F.col("a") < 3000, "middle").otherwise("long"))
+    """The metric by bucket, over rows whose text had no positive before."""
+    s = _scores(t).join(t.documents.select("doc_id", F.md5(F.col("text").cast("binary")).alias("h")), "doc_id")
+    early = s.where("y = 1").groupBy("h").agg(F.min("doc_id").alias("early"))
+    s = s.join(early, "h", "left").where("early is null or doc_id <= early").withColumn("bucket", F.when(F.col("a") < 500, "short").when(F.col("a") < 3000, "middle").otherwise("long"))
     return M.auc(s, "c", "y", ["bucket"]).select("bucket", n("n").alias("n"), n("pos").alias("pos"), r6("auc").alias("auc"))
 
 

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from tidemark.operators import sequence as Q
 from tidemark.operators import temporal as T
+from tidemark.operators.metrics import percentiles
 from tidemark.plans.registry import Registry, day, n, r6, text_of
 
 R = Registry()
@@ -77,11 +78,11 @@ def month_end_last(t):
     return Q.month_end(t.orders, ["o_custkey"], "o_orderdate", "o_totalprice", "o_orderkey").select(F.col("o_custkey").alias("k"), text_of("month").alias("month"), "last")
 
 
-@R.query("monthly_asof_signal", """WITH o AS (SELECT o_custkey AS k, o_orderdate::DATE AS d, max(o_totalprice) AS v FROM orders WHERE o_custkey < 300 GROUP BY 1, 2), c AS (SELECT DISTINCT k, last_day(d) AS m FROM o)
+@R.query("monthly_asof_signal", """WITH o AS (SELECT o_custkey AS k, o_orderdate::DATE AS d, max(o_totalprice) AS v FROM orders GROUP BY 1, 2), c AS (SELECT DISTINCT k, last_day(d) AS m FROM o)
     SELECT c.k, strftime(m, '%Y-%m-%d') AS month, CASE WHEN m - o.d < 365 THEN v END AS signal FROM (SELECT k, unnest(generate_series(date_trunc('month', min(m)), date_trunc('month', max(m)) + INTERVAL 12 MONTH, INTERVAL 1 MONTH))::DATE AS s, last_day(s) AS m FROM c GROUP BY k) c ASOF LEFT JOIN o ON o.k = c.k AND o.d <= c.m""")
 def monthly_asof_signal(t):
     """At each month's end the latest value of the last 365 days."""
-    o = t.orders.where("o_custkey < 300").groupBy(F.col("o_custkey").alias("k"), day("o_orderdate").alias("d")).agg(F.max("o_totalprice").alias("v"))
+    o = t.orders.groupBy(F.col("o_custkey").alias("k"), day("o_orderdate").alias("d")).agg(F.max("o_totalprice").alias("v"))
     span = o.groupBy("k").agg(F.trunc(F.min("d"), "MM").alias("a"), F.add_months(F.trunc(F.max("d"), "MM"), 12).alias("b"))
     months = span.select("k", F.explode(F.sequence("a", "b", F.expr("interval 1 month"))).alias("s")).select("k", F.last_day("s").alias("m"))
     return T.asof_backward(months, o, "k", "m", "d", ["v"], strict=False, tolerance=364).select("k", text_of("m").alias("month"), F.col("v").alias("signal"))
@@ -130,7 +131,7 @@ def turnover(t):
 @R.query("above_group_median", f"SELECT k, y, (v > median(v) OVER (PARTITION BY y))::BIGINT AS above FROM ({_Y})")
 def above_group_median(t):
     y = _years(t)
-    return y.join(F.broadcast(y.groupBy("y").agg(F.median("v").alias("m"))), "y").select("k", "y", n(F.col("v") > F.col("m")).alias("above"))
+    return y.join(percentiles(y, "v", [0.5], ["y"], ["m"]), "y").select("k", "y", n(F.col("v") > F.col("m")).alias("above"))
 
 
 @R.query("last_k_in_window", """SELECT k, string_agg(o_orderkey::VARCHAR, ',' ORDER BY o_orderdate DESC, o_orderkey DESC) AS last3, round(sum(o_totalprice), 2) AS total FROM (SELECT *, o_custkey AS k FROM orders WHERE o_orderdate < DATE '1999-01-01'

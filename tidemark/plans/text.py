@@ -52,8 +52,13 @@ _SYL = "greatest(1, len(regexp_extract_all(w, '[aeiouy]+')) - CASE WHEN ends_wit
     SELECT doc_id, len(w)::BIGINT AS n_words, round(len(w) / s, 6) AS avg_sentence, round(0.4 * (len(w) / s + 100 * c / len(w)), 6) AS fog, round(len(regexp_extract_all(text, '[0-9]')) / length(text), 6) AS digits, round(len(list_distinct(w)) / len(w), 6) AS distinct_share FROM s""",
 )
 def text_stats(t):
-    d = t.documents.select("doc_id", "text", F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), F.lit(0)).alias("w")).where(F.size("w") >= 50)
-    d = d.withColumns({"s": F.greatest(F.lit(1), F.regexp_count("text", F.lit("[.?!] "))), "c": F.size(F.filter("w", lambda x: X.syllable_groups(x) >= 3)), "k": F.size("w")})
+    # Words of three vowel groups or more are counted by one pattern over the text, as it has no other letters around them.
+    lower = F.lower("text")
+    three = r"(?<![a-z])[b-df-hj-np-tv-xz]*(?:[aeiouy]+[b-df-hj-np-tv-xz]+){2,}[aeiouy]+(?:[b-df-hj-np-tv-xz]+[a-z]*)?(?![a-z])"
+    # A silent e at the end is no group of its own.
+    silent = r"(?<![a-z])[b-df-hj-np-tv-xz]*(?:[aeiouy]+[b-df-hj-np-tv-xz]+){2}(?:[aeiouy]*[aiouy])?e(?![a-z])"
+    d = t.documents.select("doc_id", "text", F.regexp_extract_all(lower, F.lit("[a-z]+"), F.lit(0)).alias("w")).where(F.size("w") >= 50)
+    d = d.withColumns({"s": F.greatest(F.lit(1), F.regexp_count("text", F.lit("[.?!] "))), "c": F.regexp_count(lower, F.lit(three)) - F.regexp_count(lower, F.lit(silent)), "k": F.size("w")})
     return d.select("doc_id", n("k").alias("n_words"), r6(F.col("k") / F.col("s")).alias("avg_sentence"), r6(0.4 * (F.col("k") / F.col("s") + 100 * F.col("c") / F.col("k"))).alias("fog"), r6(F.regexp_count("text", F.lit("[0-9]")) / F.length("text")).alias("digits"), r6(F.size(F.array_distinct("w")) / F.col("k")).alias("distinct_share"))
 
 
@@ -72,22 +77,47 @@ _BAG = "SELECT doc_id, source, w, count(*) AS c FROM (SELECT doc_id, source, unn
     SELECT d.doc_id, d.prev, round(dot / (a.norm * e.norm), 6) AS cosine FROM d JOIN q a ON a.doc_id = d.doc_id JOIN q e ON e.doc_id = d.prev""",
 )
 def bow_cosine(t):
-    """The cosine of a document's word counts with those of the source's previous one."""
-    w = Window.partitionBy("source").orderBy("doc_id")
-    pairs = t.documents.select("doc_id", F.lag("doc_id").over(w).alias("prev")).where("prev is not null")
-    bag = t.documents.select("doc_id", F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]{3,}"), F.lit(0))).alias("w")).groupBy("doc_id", "w").agg(F.count("*").alias("c"))
-    norm = bag.groupBy("doc_id").agg(F.sqrt(F.sum(F.col("c") * F.col("c"))).alias("norm"))
-    other = bag.select(F.col("doc_id").alias("prev"), "w", F.col("c").alias("c2"))
-    dot = bag.join(pairs, "doc_id").join(other, ["prev", "w"]).groupBy("doc_id", "prev").agg(F.sum(F.col("c") * F.col("c2")).alias("dot"))
-    j = dot.join(norm, "doc_id").join(norm.select(F.col("doc_id").alias("prev"), F.col("norm").alias("norm2")), "prev")
-    return j.select("doc_id", "prev", r6(F.col("dot") / (F.col("norm") * F.col("norm2"))).alias("cosine"))
+    """The cosine of a document's word counts with those of the source's previous one. The counts are made in the row, and pairs of a
+    document and the one before it meet by the later one's id, so a source with a third of all rows is spread over all tasks."""
+    d = t.documents.select("doc_id", "source", F.regexp_extract_all(F.lower("text"), F.lit("[a-z]{3,}"), F.lit(0)).alias("w"))
+    d = d.select("doc_id", "source", _counted("w").alias("bag")).where(F.size("bag") > 0)
+    pairs = _previous(t.documents.select("doc_id", "source"), "source", "doc_id")
+    x = pairs.join(d.select("doc_id", "bag"), "doc_id").join(d.select(F.col("doc_id").alias("prev"), F.col("bag").alias("before")), "prev")
+    norm = lambda m: F.sqrt(F.aggregate(F.map_values(m), F.lit(0.0), lambda a, c: a + c * c))
+    # Words that both have are neighbours once the two bags are sorted into one.
+    both = F.sort_array(F.concat(F.map_entries("bag"), F.map_entries("before")))
+    shared = lambda a: F.filter(F.transform(a, lambda e, i: F.when(e["key"] == F.get(a, i - 1)["key"], (e["value"] * F.get(a, i - 1)["value"]).cast("double"))), lambda v: v.isNotNull())
+    dot = F.aggregate(F.transform(F.array(both), shared)[0], F.lit(0.0), lambda a, v: a + v)
+    return x.withColumn("dot", dot).where("dot > 0").select("doc_id", "prev", r6(F.col("dot") / (norm("bag") * norm("before"))).alias("cosine"))
+
+
+def _counted(words: str):
+    """A map of each word of an array to how often it occurs: the words in order, of which the places where a new one begins are told apart."""
+    w = F.sort_array(words)
+    begin = lambda a: F.filter(F.sequence(F.lit(0), F.size(a) - 1), lambda i: (i == 0) | (F.get(a, i) != F.get(a, i - 1)))
+    made = lambda a: F.transform(F.array(begin(a)), lambda b: F.map_from_arrays(F.transform(b, lambda i: F.get(a, i)), F.transform(b, lambda i, j: F.coalesce(F.get(b, j + 1), F.size(a)) - i)))[0]
+    return F.when(F.size(words) > 0, F.transform(F.array(w), made)[0])
+
+
+def _previous(df, by: str, key: str, ranges: int = 256):
+    """key, prev: the key before each one within a group, over ranges of the key, the edge of the last range that has any carried over."""
+    ends = df.agg(F.min(key).alias("low"), F.max(key).alias("high"))
+    bin_ = F.call_function("div", (F.col(key) - F.col("low")) * ranges, F.col("high") - F.col("low") + 1)
+    df = df.crossJoin(F.broadcast(ends)).select(by, key, bin_.alias("bin"))
+    last = df.groupBy(by, "bin").agg(F.max(key).alias("edge"))  # a row per group and range
+    carried = last.select(F.col(by).alias("_g"), F.col("bin").alias("_b"), F.lag("edge").over(Window.partitionBy(by).orderBy("bin")).alias("edge"))
+    df = df.join(carried, F.col(by).eqNullSafe(F.col("_g")) & (F.col("bin") == F.col("_b")))
+    prev = F.coalesce(F.lag(key).over(Window.partitionBy(by, "bin").orderBy(key)), "edge")
+    return df.select(key, prev.alias("prev")).where("prev is not null")
 
 
 @R.query("len_ratio", "SELECT doc_id, round(length(text) / nullif(lag(length(text)) OVER (PARTITION BY source ORDER BY doc_id), 0), 6) AS ratio FROM documents")
 def len_ratio(t):
-    # Lengths go through the window, texts do not.
-    d = t.documents.select("doc_id", "source", F.length("text").alias("k"))
-    return d.select("doc_id", r6(F.try_divide("k", F.lag("k").over(Window.partitionBy("source").orderBy("doc_id")))).alias("ratio"))
+    # Lengths are joined, texts are not.
+    k = t.documents.select("doc_id", F.length("text").alias("k"))
+    x = k.join(_previous(t.documents.select("doc_id", "source"), "source", "doc_id"), "doc_id", "left")
+    x = x.join(k.select(F.col("doc_id").alias("prev"), F.col("k").alias("before")), "prev", "left")
+    return x.select("doc_id", r6(F.try_divide("k", "before")).alias("ratio"))
 
 
 _PICKS = [(r"(?i)licen[cs]e", 2), (r"[0-9]", 2), (r"(?i)\bthe\b", 3)]
@@ -103,10 +133,39 @@ def digest(t):
     return t.documents.select("doc_id", X.digest(F.col("text"), _PICKS, words=60).alias("digest"))
 
 
-@R.query("fee_parse")
+_FEE_LINES = {1: ("audit", "Audit fees"), 2: ("related", "Audit-related fees"), 3: ("tax", "Tax fees"), 4: ("other", "All other fees")}
+
+
+def _fee_sql(part: str, of: str) -> str:
+    return f"max(CASE WHEN l_linenumber = {part} THEN {of} END)"
+
+
+_NOW, _PRIOR = "floor(l_extendedprice)", "floor(l_quantity * 1000 + l_partkey % 1000)"
+
+
+@R.query(
+    "fee_parse",
+    f"""WITH f AS (SELECT l_orderkey, {", ".join(f"{_fee_sql(i, _NOW)} AS {k}, {_fee_sql(i, _PRIOR)} AS {k}_prior" for i, (k, _) in _FEE_LINES.items())} FROM lineitem GROUP BY 1)
+    SELECT l_orderkey, audit, {", ".join(f"CASE WHEN audit IS NOT NULL THEN {k} END AS {k}" for k in ("related", "tax", "other"))}, audit + coalesce(related, 0) + coalesce(tax, 0) + coalesce(other, 0) AS total, audit_prior, audit_prior + coalesce(related_prior, 0) + coalesce(tax_prior, 0) + coalesce(other_prior, 0) AS total_prior FROM f""",
+)
 def fee_parse(t):
-    d = t.documents.select("doc_id", X.fees(F.col("text")).alias("f"))
-    return d.select("doc_id", F.col("f.audit").alias("audit"), F.col("f.total").alias("total"))
+    """Fee tables are read back from reports that are written from an order's lines, after a mention of fees in prose."""
+    cell = lambda c: F.format_number(c, 0)
+    row = F.concat_ws(" ", _chosen({i: name for i, (_, name) in _FEE_LINES.items()}), F.concat(F.lit("$ "), cell("now")), cell("prior"))
+    lines = t.lineitem.where("l_linenumber <= 4").groupBy("l_orderkey", "l_linenumber").agg(F.max(F.floor("l_extendedprice")).alias("now"), F.max(F.floor(F.col("l_quantity") * 1000 + F.col("l_partkey") % 1000)).alias("prior"))
+    rows = lines.groupBy("l_orderkey").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("l_linenumber", row.alias("row")))), lambda x: x["row"]), "\n").alias("rows"))
+    text = F.concat(F.lit("The committee approved all audit fees of 2001 in advance.\nFees 2001 2000\n"), F.col("rows"), F.lit("\nSee note 12 on total assets of 2001."))
+    # Orders without a first line have no audit fees, so their table is none.
+    f = t.lineitem.select("l_orderkey").distinct().join(rows, "l_orderkey", "left").select("l_orderkey", X.fees(text).alias("f"))
+    names = ("audit", "related", "tax", "other", "total", "audit_prior", "total_prior")
+    return f.select("l_orderkey", *[F.col(f"f.{k}").alias(k) for k in names])
+
+
+def _chosen(names: dict[int, str]):
+    out = F.lit(None).cast("string")
+    for i, name in names.items():
+        out = F.when(F.col("l_linenumber") == i, name).otherwise(out)
+    return out
 
 
 @R.query("extract_years", r"SELECT page_id, array_to_string(list_sort(list_distinct(list_filter(regexp_extract_all(url, '[0-9]{4}')::BIGINT[], lambda y: y BETWEEN 1005 AND 8026)))::VARCHAR[], ',') AS years FROM pages")
@@ -148,12 +207,14 @@ def feature_words(t):
     SELECT doc_id, w AS term, s AS weight FROM s QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY s DESC, w) <= 3""",
 )
 def tfidf(t):
-    bag = t.documents.select("doc_id", F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]{3,}"), F.lit(0))).alias("w")).groupBy("doc_id", "w").agg(F.count("*").alias("c"))
+    """Words are counted in their row first; the three best of a document are a partial maximum and no window."""
+    w = t.documents.select("doc_id", F.regexp_extract_all(F.lower("text"), F.lit("[a-z]{3,}"), F.lit(0)).alias("w"))
+    bag = w.select("doc_id", F.explode(_counted("w")).alias("w", "c"))
     total = F.broadcast(t.documents.agg(F.count("*").alias("n")))
     df = bag.groupBy("w").agg(F.count("*").alias("df")).crossJoin(total).where("df >= 5 and df <= 0.9 * n")
     s = bag.join(df, "w").withColumn("weight", r6((1 + F.log("c")) * (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1)))
-    w = Window.partitionBy("doc_id").orderBy(F.desc("weight"), "w")
-    return s.withColumn("i", F.row_number().over(w)).where("i <= 3").select("doc_id", F.col("w").alias("term"), "weight")
+    best = s.groupBy("doc_id").agg(F.slice(F.sort_array(F.collect_list(F.struct((-F.col("weight")).alias("minus"), "w"))), 1, 3).alias("b"))
+    return best.select("doc_id", F.explode("b").alias("b")).select("doc_id", F.col("b.w").alias("term"), (-F.col("b.minus")).alias("weight"))
 
 
 @R.query("string_basic", "SELECT c_custkey, upper(c_mktsegment[1]) || lower(c_mktsegment[2:]) AS title, contains(lower(c_mktsegment), 'build')::BIGINT AS build FROM customer")
