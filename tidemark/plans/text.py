@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import scalar as S
 from tidemark.functions import text as X
+from tidemark.operators.sequence import previous_keys
 from tidemark.plans.registry import Registry, n, r6
 
 R = Registry()
@@ -81,7 +82,7 @@ def bow_cosine(t):
     document and the one before it meet by the later one's id, so a source with a third of all rows is spread over all tasks."""
     d = t.documents.select("doc_id", "source", F.regexp_extract_all(F.lower("text"), F.lit("[a-z]{3,}"), F.lit(0)).alias("w"))
     d = d.select("doc_id", "source", _counted("w").alias("bag")).where(F.size("bag") > 0)
-    pairs = _previous(t.documents.select("doc_id", "source"), "source", "doc_id")
+    pairs = previous_keys(t.documents.select("doc_id", "source"), "source", "doc_id")
     x = pairs.join(d.select("doc_id", "bag"), "doc_id").join(d.select(F.col("doc_id").alias("prev"), F.col("bag").alias("before")), "prev")
     norm = lambda m: F.sqrt(F.aggregate(F.map_values(m), F.lit(0.0), lambda a, c: a + c * c))
     # Words that both have are neighbours once the two bags are sorted into one.
@@ -99,23 +100,11 @@ def _counted(words: str):
     return F.when(F.size(words) > 0, F.transform(F.array(w), made)[0])
 
 
-def _previous(df, by: str, key: str, ranges: int = 256):
-    """key, prev: the key before each one within a group, over ranges of the key, the edge of the last range that has any carried over."""
-    ends = df.agg(F.min(key).alias("low"), F.max(key).alias("high"))
-    bin_ = F.call_function("div", (F.col(key) - F.col("low")) * ranges, F.col("high") - F.col("low") + 1)
-    df = df.crossJoin(F.broadcast(ends)).select(by, key, bin_.alias("bin"))
-    last = df.groupBy(by, "bin").agg(F.max(key).alias("edge"))  # a row per group and range
-    carried = last.select(F.col(by).alias("_g"), F.col("bin").alias("_b"), F.lag("edge").over(Window.partitionBy(by).orderBy("bin")).alias("edge"))
-    df = df.join(carried, F.col(by).eqNullSafe(F.col("_g")) & (F.col("bin") == F.col("_b")))
-    prev = F.coalesce(F.lag(key).over(Window.partitionBy(by, "bin").orderBy(key)), "edge")
-    return df.select(key, prev.alias("prev")).where("prev is not null")
-
-
 @R.query("len_ratio", "SELECT doc_id, round(length(text) / nullif(lag(length(text)) OVER (PARTITION BY source ORDER BY doc_id), 0), 6) AS ratio FROM documents")
 def len_ratio(t):
     # Lengths are joined, texts are not.
     k = t.documents.select("doc_id", F.length("text").alias("k"))
-    x = k.join(_previous(t.documents.select("doc_id", "source"), "source", "doc_id"), "doc_id", "left")
+    x = k.join(previous_keys(t.documents.select("doc_id", "source"), "source", "doc_id"), "doc_id", "left")
     x = x.join(k.select(F.col("doc_id").alias("prev"), F.col("k").alias("before")), "prev", "left")
     return x.select("doc_id", r6(F.try_divide("k", "before")).alias("ratio"))
 
