@@ -25,8 +25,8 @@ GRID, LEVELS = 20, 15
 NEWTON_STEPS, TOLERANCE = 200, 1e-9
 #: Rates are whole billionths; a hash of the id has U bits.
 UNIT, U_BITS = 1_000_000_000, 52
-#: Ranges of u / fraction; only one of them is put in order.
-RANGES, RANGES_PER_ONE = 1 << 16, 1 << 14
+#: Ranges of u / fraction, and ranges within one of these; only one of the latter is put in order.
+RANGES = 4096
 #: Documents that may fill what a source's last one leaves.
 FILLS = 3
 
@@ -124,22 +124,32 @@ def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, cap: int = CAP,
     same = lambda a, b, *cs: [F.col(f"{a}.{c}").eqNullSafe(F.col(f"{b}.{c}")) for c in cs]
     docs = slim.alias("d").join(rates, [*same("d", "r", "source"), F.col("d.level") == F.col("r.level")], "left")
     docs = docs.select("doc_id", "d.source", "size", "u", F.col("source_size"), "target", "copies", "part", "budget", F.when(F.col("part") > 0, F.col("u").cast("double") / F.col("part")).alias("p"))
-    one = float((1 << U_BITS) / UNIT)
-    docs = keep(docs.withColumn("range", F.least(F.floor(F.col("p") / one * RANGES_PER_ONE), F.lit(RANGES - 1)).cast("int")), "rated")
-
-    # The range in which the extra copies end, and the words that it may still give.
-    sums = docs.where("range is not null").groupBy("source", "range").agg(F.sum("size").alias("n"), F.max("budget").alias("budget"))
-    upto = F.sum("n").over(Window.partitionBy("source").orderBy("range").rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    edge = sums.withColumn("upto", upto).where("upto > budget and upto - n <= budget").select("source", F.col("range").alias("last"), (F.col("budget") - F.col("upto") + F.col("n")).alias("left"))
-    edge = sized(keep(edge, "edges")).alias("e")
-    at = docs.alias("d").join(edge, same("d", "e", "source"), "left").select("d.*", F.coalesce("last", F.lit(RANGES)).alias("last"), F.coalesce("left", F.lit(0)).alias("left"))
-    within = Window.partitionBy("source", "range").orderBy("p", "size")
-    ends = at.where(F.col("range") == F.col("last")).withColumn("upto", F.sum("size").over(within)).withColumn("extra", F.col("upto") <= F.col("left"))
-    rest = at.where(F.coalesce(F.col("range") != F.col("last"), F.lit(True))).withColumns({"upto": F.lit(0).cast("long"), "extra": F.coalesce(F.col("range") < F.col("last"), F.lit(False))})
+    # p / (1 + p), from 0 to 1 and in the same order as p.
+    place = let(F.col("p") / float((1 << U_BITS) / UNIT), lambda x: x / (1 + x) * RANGES)
+    docs = docs.withColumn("place", place).withColumns({"range": F.floor("place").cast("int"), "fine": F.floor((F.col("place") - F.floor("place")) * RANGES).cast("int")})
+    docs = keep(docs.drop("place"), "rated")
+
+    # The range in which the extra copies end, in it the narrow one, and the words that this may still give. At most RANGES rows a source.
+    def edge(sums: DataFrame, at: str) -> DataFrame:
+        upto = F.sum("n").over(Window.partitionBy("source").orderBy(at).rowsBetween(Window.unboundedPreceding, Window.currentRow))
+        return sums.withColumn("upto", upto).where("upto > budget and upto - n <= budget").select("source", F.col(at).alias(f"last_{at}"), (F.col("budget") - F.col("upto") + F.col("n")).alias("left"))
+
+    wide = docs.where("range is not null").groupBy("source", "range").agg(F.sum("size").alias("n"), F.max("budget").alias("budget"))
+    wide = sized(keep(edge(wide, "range"), "edges")).alias("e")
+    narrow = docs.alias("d").join(wide, [*same("d", "e", "source"), F.col("range") == F.col("last_range")]).groupBy("d.source", "last_range", "fine").agg(F.sum("size").alias("n"), F.max("left").alias("budget"))
+    narrow = keep(narrow, "narrow")
+    last = edge(narrow, "fine").alias("e").join(narrow.groupBy("source").agg(F.max("last_range").alias("last_range")).alias("n"), same("e", "n", "source")).select("e.source", "last_range", "last_fine", "left")
+    at = docs.alias("d").join(sized(keep(last, "last-ranges")).alias("e"), same("d", "e", "source"), "left")
+    at = at.select("d.*", F.coalesce("last_range", F.lit(RANGES)).alias("last_range"), F.coalesce("last_fine", F.lit(RANGES)).alias("last_fine"), F.coalesce("left", F.lit(0)).alias("left"))
+    here = F.coalesce((F.col("range") == F.col("last_range")) & (F.col("fine") == F.col("last_fine")), F.lit(False))
+    before = F.coalesce((F.col("range") < F.col("last_range")) | ((F.col("range") == F.col("last_range")) & (F.col("fine") < F.col("last_fine"))), F.lit(False))
+    within = Window.partitionBy("source").orderBy("p", "size")
+    ends = at.where(here).withColumn("upto", F.sum("size").over(within)).withColumn("extra", F.col("upto") <= F.col("left"))
+    rest = at.where(~here).withColumns({"upto": F.lit(0).cast("long"), "extra": before})
     dealt = keep(ends.unionByName(rest), "dealt")
 
     # What the last document leaves is filled with the largest ones that fit, of equal ones the next in order.
-    left = dealt.where(F.col("range") == F.col("last")).groupBy("source").agg((F.max("left") - F.coalesce(F.max(F.when(F.col("extra"), F.col("upto"))), F.lit(0))).alias("gap"))
+    left = dealt.where(here).groupBy("source").agg((F.max("left") - F.coalesce(F.max(F.when(F.col("extra"), F.col("upto"))), F.lit(0))).alias("gap"))
     left = sized(keep(left, "gaps"))
     fit = dealt.where("not extra and range is not null and size > 0").alias("d").join(left.alias("g"), [*same("d", "g", "source"), F.col("size") <= F.col("gap")])
     fit = keep(fit.groupBy("d.source", "size").agg(F.min(F.struct("p", "u")).alias("next"), F.max("gap").alias("gap")).select("source", "size", "next.u", "gap"), "fits")
