@@ -31,12 +31,14 @@ def _below(g: DataFrame, by: list[str], score: str, sums: dict[str, Column]) ->
     return g.drop(*[f"_0{k}" for k in sums], *[f"_k{i}" for i in range(len(by) + 1)])
 
 
-def ranked_counts(df: DataFrame, score: str, y: str, by: list[str] | None = None, weight: Column | None = None) -> DataFrame:
-    """by, score, pos, neg, below, below_neg: weights of positives and negatives of each distinct score, of all rows and of negatives with smaller scores."""
+def ranked_counts(df: DataFrame, score: str, y: str, by: list[str] | None = None, weight: Column | None = None, range_: Column | None = None) -> DataFrame:
+    """range_: the range of a score, where the caller knows it from fewer rows than df has.
+
+    by, score, pos, neg, below, below_neg: weights of positives and negatives of each distinct score, of all rows and of negatives with smaller scores."""
     by, w = by or [], weight if weight is not None else F.lit(1.0)
     df = df.where(F.col(score).isNotNull() & F.col(y).isNotNull())
     g = df.groupBy(*by, score).agg(F.sum(F.when(F.col(y) == 1, w).otherwise(0.0)).alias("pos"), F.sum(F.when(F.col(y) == 1, 0.0).otherwise(w)).alias("neg"))
-    g = g.withColumn("_b", _range_of(df, score))
+    g = g.withColumn("_b", _range_of(df, score) if range_ is None else range_)
     return _below(g, by, score, {"below": F.col("pos") + F.col("neg"), "below_neg": F.col("neg")}).drop("_b")
 
 
@@ -60,10 +62,10 @@ def percentiles(df: DataFrame, value: str, at: list[float], by: list[str] | None
     return out.select(*by, *mixed)
 
 
-def auc(df: DataFrame, score: str, y: str, by: list[str] | None = None, weight: Column | None = None) -> DataFrame:
+def auc(df: DataFrame, score: str, y: str, by: list[str] | None = None, weight: Column | None = None, range_: Column | None = None) -> DataFrame:
     """by, n, pos, auc: the chance that a positive scores above a negative, ties half. Null where a class is missing."""
     by = by or []
-    c = ranked_counts(df, score, y, by, weight)
+    c = ranked_counts(df, score, y, by, weight, range_)
     won = F.sum(F.col("pos") * (F.col("below_neg") + F.col("neg") / 2))
     return c.groupBy(*by).agg(F.sum(F.col("pos") + F.col("neg")).alias("n"), F.sum("pos").alias("pos"), F.try_divide(won, F.sum("pos") * F.sum("neg")).alias("auc"))
 
@@ -114,7 +116,8 @@ def poisson_weight(key: Column, replicate: Column, seed: int = 0) -> Column:
     """How often a row is drawn in a bootstrap replicate: Poisson(1), from the md5 of seed, key and replicate, so reruns and engines agree."""
     text = F.concat_ws("|", F.lit(str(seed)), key.cast("string"), replicate.cast("string"))
     u = F.conv(F.substring(F.md5(text.cast("binary")), 1, 10), 16, 10).cast("double") / F.lit(float(1 << 40))
-    return sum((F.when(u >= e, 1.0).otherwise(0.0) for e in POISSON_EDGES), F.lit(0.0))
+    # Within an array of one, so that the hash is computed once and not for each edge.
+    return F.transform(F.array(u), lambda v: sum((F.when(v >= e, 1.0).otherwise(0.0) for e in POISSON_EDGES), F.lit(0.0)))[0]
 
 
 def bootstrap_auc(df: DataFrame, scores: list[str], y: str, unit: str, replicates: int, seed: int = 0) -> DataFrame:
@@ -125,7 +128,9 @@ def bootstrap_auc(df: DataFrame, scores: list[str], y: str, unit: str, replicate
     drawn = df.select(unit, y, *scores).withColumn("replicate", F.explode(F.sequence(F.lit(1), F.lit(replicates))))
     drawn = drawn.withColumn("w", poisson_weight(F.col(unit), F.col("replicate"), seed)).where("w > 0")
     long = drawn.unpivot(["replicate", y, "w"], scores, "model", "s")
-    each = auc(long, "s", y, ["replicate", "model"], F.col("w"))
+    # Ranges come from the rows as they are, not from their replicates; few of them do, as each replicate is ordered by itself.
+    once = df.select(*[F.col(s).cast("double").alias(s) for s in scores]).unpivot([], scores, "model", "s").where("s is not null")
+    each = auc(long, "s", y, ["replicate", "model"], F.col("w"), _range_of(once, "s", 8))
     return each.groupBy("replicate").agg(*[F.max(F.when(F.col("model") == s, F.col("auc"))).alias(s) for s in scores])
 
 

@@ -81,7 +81,7 @@ def bow_cosine(t):
     """The cosine of a document's word counts with those of the source's previous one. The counts are made in the row, and pairs of a
     document and the one before it meet by the later one's id, so a source with a third of all rows is spread over all tasks."""
     d = t.documents.select("doc_id", "source", F.regexp_extract_all(F.lower("text"), F.lit("[a-z]{3,}"), F.lit(0)).alias("w"))
-    d = d.select("doc_id", "source", _counted("w").alias("bag")).where(F.size("bag") > 0)
+    d = d.select("doc_id", _counted("w").alias("bag"))
     pairs = previous_keys(t.documents.select("doc_id", "source"), "source", "doc_id")
     x = pairs.join(d.select("doc_id", "bag"), "doc_id").join(d.select(F.col("doc_id").alias("prev"), F.col("bag").alias("before")), "prev")
     norm = lambda m: F.sqrt(F.aggregate(F.map_values(m), F.lit(0.0), lambda a, c: a + c * c))
@@ -89,7 +89,9 @@ def bow_cosine(t):
     both = F.sort_array(F.concat(F.map_entries("bag"), F.map_entries("before")))
     shared = lambda a: F.filter(F.transform(a, lambda e, i: F.when(e["key"] == F.get(a, i - 1)["key"], (e["value"] * F.get(a, i - 1)["value"]).cast("double"))), lambda v: v.isNotNull())
     dot = F.aggregate(F.transform(F.array(both), shared)[0], F.lit(0.0), lambda a, v: a + v)
-    return x.withColumn("dot", dot).where("dot > 0").select("doc_id", "prev", r6(F.col("dot") / (norm("bag") * norm("before"))).alias("cosine"))
+    # Exploded from an array of one, so that the filter does not compute it again; bags without words give null.
+    cosine = F.filter(F.array(dot / (norm("bag") * norm("before"))), lambda v: v > 0)
+    return x.select("doc_id", "prev", F.explode(cosine).alias("cosine")).withColumn("cosine", r6("cosine"))
 
 
 def _counted(words: str):
