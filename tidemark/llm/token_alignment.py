@@ -15,6 +15,7 @@ that its memory is a multiple of its own length.
 """
 
 import re
+from itertools import chain
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -27,7 +28,7 @@ BYTE_BPE, PIECE_BPE = "byte_bpe_50k.json", "piece_bpe_32k.model"
 #: A pair of ids is one number, a * 2**ID_BITS + b.
 ID_BITS = 20
 #: Characters of text that are aligned at once (a longer text is taken whole), and tokens of known parts that a worker keeps.
-CHUNK_CHARS, KEPT_TOKENS = 1_000_000, 2_000_000
+CHUNK_CHARS, KEPT_TOKENS = 500_000, 2_000_000
 
 #: Both sides begin a token at a single space between two other signs.
 _CUT = re.compile(r"(?<=\S) (?=\S)")
@@ -56,7 +57,8 @@ class _Bytes:
                 self.bytes[i] = bytes(values[c] for c in token)
 
     def encode(self, parts: list[str]) -> list[list[int]]:
-        return [e.ids for e in self.tokenizer.encode_batch([" " + p for p in parts], add_special_tokens=False)]
+        # So many at once, as an encoding holds much more than its ids.
+        return [e.ids for at in range(0, len(parts), 1000) for e in self.tokenizer.encode_batch([" " + p for p in parts[at : at + 1000]], add_special_tokens=False)]
 
 
 class _Pieces:
@@ -105,20 +107,24 @@ class _Parts:
     def learn(self, parts: list[str]) -> None:
         import numpy as np
 
-        new = list(dict.fromkeys(p for p in parts if p not in self.known))
+        new = list(set(parts).difference(self.known))
         if not new:
             return
         want = [b" " + p.encode() for p in new]
+        length = np.fromiter(map(len, want), "int64")
         fine = np.ones(len(new), bool)
         for k, side in enumerate(self.sides):
             ids = side.encode(new)
-            fine &= np.array([b"".join([side.bytes[i] for i in x]) == w for x, w in zip(ids, want, strict=True)])
-            flat = np.fromiter((i for x in ids for i in x), "int64")
-            self.at[k] = np.concatenate([self.at[k], len(self.ids[k]) + np.cumsum([len(x) for x in ids])])
+            flat = np.fromiter(chain.from_iterable(ids), "int64")
+            ends = np.cumsum(np.fromiter(map(len, ids), "int64"))
+            size = np.diff(np.concatenate([[0], np.cumsum(self.sizes[k][flat])])[ends], prepend=0)
+            # All at once first; one by one only where some part is not spelled.
+            if (size != length).any() or b"".join(map(side.bytes.__getitem__, flat.tolist())) != b"".join(want):
+                fine &= np.array([b"".join([side.bytes[i] for i in x]) == w for x, w in zip(ids, want, strict=True)])
+            self.at[k] = np.concatenate([self.at[k], len(self.ids[k]) + ends])
             self.ids[k] = np.concatenate([self.ids[k], flat])
         self.fine = np.concatenate([self.fine, fine])
-        for p in new:
-            self.known[p] = len(self.known)
+        self.known.update(zip(new, range(len(self.known), len(self.known) + len(new)), strict=True))
 
     def tokens(self, k: int, parts, docs):
         """Ids, ends and documents of the tokens of side k of these parts; ends count bytes over all documents."""
@@ -147,8 +153,9 @@ def _aligned(texts: list[str | None], parts: _Parts):
     cut = [_CUT.split(t) if t else [] for t in texts]
     if len(parts.ids[0]) > KEPT_TOKENS:
         parts.clear()
-    parts.learn([p for c in cut for p in c])
-    index = np.fromiter((parts.known[p] for c in cut for p in c), "int64")
+    flat = list(chain.from_iterable(cut))
+    parts.learn(flat)
+    index = np.fromiter(map(parts.known.__getitem__, flat), "int64")
     docs = np.repeat(np.arange(n), [len(c) for c in cut])
     sound = np.bincount(docs[~parts.fine[index]], minlength=n) == 0
     index, docs = index[sound[docs]], docs[sound[docs]]
