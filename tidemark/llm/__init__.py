@@ -5,7 +5,7 @@ import importlib
 #: Modules with QUERIES and ORACLE_SQL.
 MODULES = (
     "url_filter", "mixing", "decontaminate", "pii", "toxicity", "near_duplicates", "quality_rules", "licenses", "html_extract", "language_id",
-    "token_alignment", "embedding_graph",
+    "token_alignment", "embedding_graph", "collocations",
 )
 
 
