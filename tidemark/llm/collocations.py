@@ -104,12 +104,26 @@ def _pieces(text: bytes):
     yield text[at:]
 
 
-def _scan(texts: DataFrame, step: int, cycle: int, live: list[int], steps) -> DataFrame:
-    """k, lang, phrase, n, slot: what is counted at this step, summed. A few phrases may not be due at it."""
+def _dense(entries: dict, slots: int, longest: int):
+    """The table of steps by length: least and greatest step of each slot, from those that have any."""
+    import numpy as np
+
+    steps = [np.stack([np.full(slots, _NEVER, "uint8"), np.zeros(slots, "uint8")]) for _ in range(longest + 1)]
+    for k, (slot, low, high) in entries.items():
+        steps[k][0][slot], steps[k][1][slot] = low, high
+    return steps
+
+
+def _scan(texts: DataFrame, step: int, cycle: int, live: list[int], entries, slots: int) -> DataFrame:
+    """k, lang, phrase, n, slot: what is counted at this step, summed. A few phrases may not be due at it.
+
+    entries is a broadcast of the filled slots by length.
+    """
 
     def run(batches):
         import pyarrow as pa
 
+        steps = _dense(entries.value, slots, max(live))
         waiting: dict[str, list[bytes]] = {}
         size: dict[str, int] = {}
 
@@ -156,25 +170,24 @@ def _due(counts: DataFrame, running: DataFrame | None, step: int, cycle: int) ->
 
 def phrase_counts(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", longest: int = LONGEST, least: int = LEAST, shards: int = SHARDS, slots: int = SLOTS) -> DataFrame:
     """k, lang, phrase, n, since: every word, and every longer phrase whose subphrases all have a count of least or more, with its exact count."""
-    import numpy as np
-
     texts = docs.select(F.coalesce(F.col(lang_col), F.lit("und")).alias("lang"), F.col(text_col).cast("binary").alias("text")).where("text is not null")
     texts = keep(texts.withColumn("shard", F.pmod(F.monotonically_increasing_id(), F.lit(shards)).cast("int")), "texts", partitionBy="shard")
-    steps = [np.stack([np.full(slots, _NEVER, "uint8"), np.zeros(slots, "uint8")]) for _ in range(longest + 1)]
     running, step, until = None, 0, [0, shards] + [0] * (longest - 1)  # until[k]: phrases of k words may be due before this step
+    entries: dict = {}
     while step < max(until):
         live = [k for k in range(1, longest + 1) if step < until[k]]
-        counts = _scan(texts.where(F.col("shard") == step % shards), step, shards, live, steps)
+        sent = docs.sparkSession.sparkContext.broadcast({k: e for k, e in entries.items() if k < max(live)})
+        counts = _scan(texts.where(F.col("shard") == step % shards), step, shards, live, sent, slots)
         counts = _due(counts, running, step, shards).select("k", "lang", "phrase", "n", "slot", F.lit(None).cast("int").alias("since"))
         both = counts if running is None else running.unionByName(counts)
         total = both.groupBy("k", "lang", "phrase").agg(F.sum("n").alias("n"), F.first("slot").alias("slot"), F.first("since", ignorenulls=True).alias("since"))
         running = keep(total.withColumn("since", F.coalesce("since", F.when(F.col("n") >= least, step + 1))), f"phrases-{step}")
+        sent.destroy()
         # At most slots rows a length, whatever the corpus.
-        table_ = running.where(f"since is not null and k < {longest}").groupBy("k", "slot").agg(F.min("since").alias("low"), F.max("since").alias("high")).toPandas()
-        steps = [s.copy() for s in steps]
-        for k, part in table_.groupby("k"):
-            steps[k][0][part["slot"]], steps[k][1][part["slot"]] = part["low"], part["high"]
-            until[k + 1] = int(part["high"].max()) + shards
+        filled = running.where(f"since is not null and k < {longest}").groupBy("k", "slot").agg(F.min("since").alias("low"), F.max("since").alias("high")).toPandas()
+        entries = {int(k): (e["slot"].to_numpy("int32"), e["low"].to_numpy("uint8"), e["high"].to_numpy("uint8")) for k, e in filled.groupby("k")}
+        for k, e in entries.items():
+            until[k + 1] = int(e[2].max()) + shards
         step += 1
     return running.select("k", "lang", "phrase", "n", "since")
 
