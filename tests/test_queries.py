@@ -61,3 +61,22 @@ def test_entry_works_without_the_llm_folders(spark):
     import __spark_entry__
 
     assert __spark_entry__.entry(spark).count() > 0
+
+
+def test_text_stats_on_odd_words(spark, tmp_path):
+    """Syllables of odd words, and words without end: no pattern may recurse once for each sign."""
+    import random
+
+    import duckdb
+
+    from tidemark.plans import text
+
+    r = random.Random(4)
+    words = ["absentee", "employee", "banana", "e", "ee", "idea", "eye", "queue", "Été", "a-b", "x1y2", "separate", "bureaucracy", "rhythm"]
+    rows = [" ".join(r.choice(words) + r.choice(["", ".", "! ", "e", "ate"]) for _ in range(80)) for _ in range(60)] + ["ba" * 500_000 + " word" * 60, "e" * 1_000_000 + " word" * 60, "word " * 60 + "." * 1_000_000, "1" * 1_000_000 + " is one" * 60]
+    spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    c = duckdb.connect()
+    c.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    assert same(text.QUERIES["text_stats"](spark, str(tmp_path)).toPandas()) == same(c.execute(text.ORACLE_SQL["text_stats"]).df())
+    for name in ("text_flags", "text_flags2", "tone"):
+        assert text.QUERIES[name](spark, str(tmp_path)).count() >= 0

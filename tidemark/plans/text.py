@@ -53,13 +53,14 @@ _SYL = "greatest(1, len(regexp_extract_all(w, '[aeiouy]+')) - CASE WHEN ends_wit
     SELECT doc_id, len(w)::BIGINT AS n_words, round(len(w) / s, 6) AS avg_sentence, round(0.4 * (len(w) / s + 100 * c / len(w)), 6) AS fog, round(len(regexp_extract_all(text, '[0-9]')) / length(text), 6) AS digits, round(len(list_distinct(w)) / len(w), 6) AS distinct_share FROM s""",
 )
 def text_stats(t):
-    # Words of three vowel groups or more are counted by one pattern over the text, as it has no other letters around them.
+    # A run of vowels becomes a, one of consonants b, a last e E (silent, no group of its own): so no pattern has to repeat a group.
     lower = F.lower("text")
-    three = r"(?<![a-z])[b-df-hj-np-tv-xz]*(?:[aeiouy]+[b-df-hj-np-tv-xz]+){2,}[aeiouy]+(?:[b-df-hj-np-tv-xz]+[a-z]*)?(?![a-z])"
-    # A silent e at the end is no group of its own.
-    silent = r"(?<![a-z])[b-df-hj-np-tv-xz]*(?:[aeiouy]+[b-df-hj-np-tv-xz]+){2}(?:[aeiouy]*[aiouy])?e(?![a-z])"
+    runs = lower
+    for pattern, sign in ((r"e(?![a-z])", "E"), ("[aeiouy]+", "a"), ("[b-df-hj-np-tv-xz]+", "b")):
+        runs = F.regexp_replace(runs, pattern, sign)
+    three, silent = r"(?<![abE])b?abab[aE][abE]*", r"(?<![abE])b?ababa?E(?![abE])"
     d = t.documents.select("doc_id", "text", F.regexp_extract_all(lower, F.lit("[a-z]+"), F.lit(0)).alias("w")).where(F.size("w") >= 50)
-    d = d.withColumns({"s": F.greatest(F.lit(1), F.regexp_count("text", F.lit("[.?!] "))), "c": F.regexp_count(lower, F.lit(three)) - F.regexp_count(lower, F.lit(silent)), "k": F.size("w")})
+    d = d.withColumns({"s": F.greatest(F.lit(1), F.regexp_count("text", F.lit("[.?!] "))), "c": F.regexp_count(runs, F.lit(three)) - F.regexp_count(runs, F.lit(silent)), "k": F.size("w")})
     return d.select("doc_id", n("k").alias("n_words"), r6(F.col("k") / F.col("s")).alias("avg_sentence"), r6(0.4 * (F.col("k") / F.col("s") + 100 * F.col("c") / F.col("k"))).alias("fog"), r6(F.regexp_count("text", F.lit("[0-9]")) / F.length("text")).alias("digits"), r6(F.size(F.array_distinct("w")) / F.col("k")).alias("distinct_share"))
 
 
