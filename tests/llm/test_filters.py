@@ -61,6 +61,7 @@ def test_reputation_by_hand_and_sql(spark, tmp_path):
     """Hosts of several domains, suffixes and rates, one with a third of all pages: the levels by plain sums, and the same rows from the SQL."""
     import duckdb
 
+    con = duckdb.connect()
     r = random.Random(5)
     rate = {f"{h}.{d}.{s}": r.choice([0.02, 0.5, 0.9, 0.97]) for h in ("a", "b", "www") for d in ("one", "two", "three") for s in ("net", "com", "co.uk", "github.io")} | {"hot.org": 0.8, "10.0.0.1": 0.1, "local": 0.0}
     hosts = sorted(rate)
@@ -76,10 +77,10 @@ def test_reputation_by_hand_and_sql(spark, tmp_path):
     lab = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
     for name, df in (("pages", p), ("labels", lab)):
         df.write.parquet(f"{tmp_path}/{name}.parquet")
-        duckdb.sql(f"CREATE OR REPLACE VIEW {name} AS SELECT * FROM '{tmp_path}/{name}.parquet/*.parquet'")
+        con.execute(f"CREATE OR REPLACE VIEW {name} AS SELECT * FROM '{tmp_path}/{name}.parquet/*.parquet'")
     df = url_filter.op1_url_filter(spark, str(tmp_path))
     found = df.collect()
-    want = duckdb.sql(f"SELECT {', '.join(df.columns)} FROM ({url_filter.ORACLE_SQL['op1_url_filter']})").fetchall()
+    want = con.execute(f"SELECT {', '.join(df.columns)} FROM ({url_filter.ORACLE_SQL['op1_url_filter']})").fetchall()
     told = lambda rows: sorted((tuple(f"{v:.5f}" if isinstance(v, float) else str(v) for v in row) for row in rows), key=str)
     assert told(found) == told(want)
     by = {x.host: x for x in found if x.rule is None}
@@ -165,6 +166,7 @@ def test_no_more_good_documents_are_lost_than_promised(spark):
 def test_learned_rules_act_and_agree_with_sql(spark, tmp_path):
     import duckdb
 
+    con = duckdb.connect()
     r = random.Random(4)
     docs, labels = [], []
     for i in range(900):
@@ -177,10 +179,10 @@ def test_learned_rules_act_and_agree_with_sql(spark, tmp_path):
     spark.createDataFrame(docs, "doc_id long, text string, lang string").selectExpr("*", "1 as n_words", "2 as rung", "'s' as stratum").write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
     for name in ("documents", "labels"):
-        duckdb.sql(f"CREATE OR REPLACE VIEW {name} AS SELECT * FROM '{tmp_path}/{name}.parquet/*.parquet'")
+        con.execute(f"CREATE OR REPLACE VIEW {name} AS SELECT * FROM '{tmp_path}/{name}.parquet/*.parquet'")
     df = quality_rules.op7_quality_rules(spark, str(tmp_path))
     got = df.collect()
-    want = duckdb.sql(f"SELECT {', '.join(df.columns)} FROM ({quality_rules.ORACLE_SQL['op7_quality_rules']})").fetchall()
+    want = con.execute(f"SELECT {', '.join(df.columns)} FROM ({quality_rules.ORACLE_SQL['op7_quality_rules']})").fetchall()
     assert sorted(map(tuple, got), key=str) == sorted(want, key=str) and len(got) == len(docs)
     caught = [x for x in got if x.doc_id is not None and x.doc_id < 900 and x.doc_id % 9 == 0 and x.stratum != "rare"]
     assert sum(not x.kept for x in caught) > 0.9 * len(caught)
@@ -273,3 +275,11 @@ def test_licences(spark):
     got = {x.doc_id: x.licences for x in licenses.scan_licences(df).collect()}
     assert got == {1: ["Apache-2.0"], 2: ["MIT"], 3: ["GPL-3.0", "MIT"], 4: [], 5: [], 6: [], 7: ["MIT"], 8: [], 9: ["BSD-3-Clause"]}
     assert licenses.scan_licences(df.limit(0)).count() == 0
+
+
+def test_decontamination_of_repeated_words(spark):
+    """A document and an item of one word over and over: places times places, all alike."""
+    docs = spark.createDataFrame([(1, "Ab " * 20_000), (2, "ab cd " * 5_000), (3, "ab " * 12 + "x y z " * 9)], "doc_id long, text string")
+    items = spark.createDataFrame([(7, "ab " * 40), (8, "cd ab " * 20), (9, "q " * 40)], "item_id long, text string")
+    got = sorted((r.doc_id, r.item_id, r.matched, r.compared) for r in decontaminate.contaminated(docs, items).collect())
+    assert got[:2] == [(1, 7, 31, 31), (2, 8, 31, 31)] and all(i in (7,) and d == 3 for d, i, *_ in got[2:])

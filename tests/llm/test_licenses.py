@@ -191,7 +191,8 @@ def test_sql_agrees(spark):
     rows = [(i % 60 if i else None, t) for i, t in enumerate(texts)]
     df = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "'clash' as licences", "1 as sentence_ids")
     got = sorted(((x.doc_id, " ".join(x.sentence_ids), ",".join(x.licences)) for x in L.scan_licences(df.repartition(3)).collect()), key=str)
-    documents = df.select("doc_id", "text").toPandas()  # noqa: F841
-    want = duckdb.sql(L.ORACLE_SQL["op8_licence_sentences"]).fetchall()
+    con = duckdb.connect()
+    con.register("documents", df.select("doc_id", "text").toPandas())
+    want = con.execute(L.ORACLE_SQL["op8_licence_sentences"]).fetchall()
     assert got == sorted(want, key=str) and sum(bool(x[2]) for x in got) > 70
     assert L.scan_licences(df.limit(0)).count() == 0

@@ -9,7 +9,7 @@ or of any window around the hit, which may have words put in or left out on eith
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import keep, let, small, table
+from tidemark.llm.common import keep, let, sized, small, table
 
 #: Picked positions are 1. All masks have the same span.
 MASKS = ("11011001101", "10110111011")
@@ -21,6 +21,8 @@ SHORT_SPAN = len(SHORT_MASKS[0])
 FLANK, SHARE, MATCHED = 10, 0.8, 10
 #: Most words put in or left out at one place.
 GAP = 2
+#: Words on either side of a hit that its comparison can reach.
+REACH = FLANK + GAP
 #: Benchmark windows up to this many are sent to every executor.
 BROADCAST_WINDOWS = 1_000_000
 
@@ -129,8 +131,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     wherever in the item it comes from; where a window of fixed flanks counts, its figures are given. Of items with fewer words all
     must agree. Items and documents with fewer than SHORT_SPAN words, null or empty texts, and rows
     with null ids have no windows and never count. Repeated rows give one pair. Items with equal words are compared once and
-    reported all. A benchmark of up to BROADCAST_WINDOWS windows is sent to the executors, and overlaps are verified where the hits
-    arise, so no text is shuffled; for a larger one hits are joined by a shuffle of hashes and the texts of hit documents follow.
+    reported all. A benchmark of up to BROADCAST_WINDOWS windows is sent to the executors, for a larger one hashes are shuffled. A hit
+    then goes on with the words around it only, never with a whole text, and hits that look alike count once.
     """
     items = benchmark.where("item_id is not null").select("item_id", tokens(F.col("text").cast("string")).alias("item")).where(F.size("item") >= SHORT_SPAN)
     items = keep(items.distinct(), "items")
@@ -141,18 +143,20 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     seeds = keep(seeds.groupBy("hash").agg(F.collect_list(F.struct("rep", "start", "span")).alias("places")), "seeds")
 
     docs = docs.where("doc_id is not null").select("doc_id", tokens(F.col("text").cast("string")).alias("words"))
-    found = verified(F.col("words"), F.col("item"), F.col("pos"), F.col("start"), F.col("span"))
+    # A hit takes along the words that it can reach and no others. So hits in words that repeat are alike, and are compared once.
+    near = [F.slice("words", F.greatest(F.lit(0), F.col("pos") - REACH) + 1, F.lit(REACH + SPAN + REACH)).alias("near"), F.least("pos", F.lit(REACH)).alias("at")]
     if small(seeds, BROADCAST_WINDOWS):
-        hits = _windows(docs, "doc_id", "words").drop("span").join(F.broadcast(seeds), "hash").select("doc_id", "words", "pos", F.explode("places").alias("at"))
-        hits = hits.select("doc_id", "words", "pos", "at.rep", "at.start", "at.span").join(F.broadcast(texts), "rep").withColumn("o", found)
+        hits = _windows(docs, "doc_id", "words").drop("span").join(F.broadcast(seeds), "hash").select("doc_id", *near, "places")
     else:
-        hits = _windows(docs, "doc_id").drop("span").join(seeds, "hash").select("doc_id", "pos", F.explode("places").alias("at"))
-        hits = hits.select("doc_id", "pos", "at.rep", "at.start", "at.span").distinct()
-        hits = hits.join(docs, "doc_id").join(texts, "rep").withColumn("o", found)
-    # Judged once, in the aggregate: a filter before it would compute the windows a second time.
-    best = hits.groupBy("doc_id", "rep").agg(F.max("o").alias("b")).where("b is not null")
+        hits = _windows(docs, "doc_id").drop("span").join(seeds, "hash").join(docs, "doc_id").select("doc_id", *near, "places")
+    hits = hits.select("doc_id", "near", "at", F.explode("places").alias("p")).select("doc_id", "near", "at", "p.rep", "p.start", "p.span").distinct()
+    found = verified(F.col("near"), F.col("item"), F.col("at"), F.col("start"), F.col("span"))
+    hits = hits.join(sized(texts), "rep").select("doc_id", "rep", found.alias("o"))
+    # One number that orders like the struct, so that maxima are taken by hash; compared once, as a filter before would do it again.
+    best = hits.groupBy("doc_id", "rep").agg(F.max(F.col("o.fixed") * 1_000_000 + F.col("o.matched") * 1000 + 999 + F.col("o.minus")).alias("b")).where("b is not null")
+    best = best.withColumn("matched", F.call_function("div", F.col("b") % 1_000_000, F.lit(1000))).withColumn("compared", 999 - F.col("b") % 1000)
     names = items.join(texts, "item").select("rep", "item_id")
-    return best.join(names, "rep").select("doc_id", "item_id", F.col("b.matched").cast("long").alias("matched"), (-F.col("b.minus")).cast("long").alias("compared"))
+    return best.join(names, "rep").select("doc_id", "item_id", F.col("matched").cast("long"), F.col("compared").cast("long"))
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
