@@ -42,8 +42,8 @@ def test_counts_and_scores_equal_brute_force(spark, shards, slots):
     rows = texts(shards)
     df = spark.createDataFrame(rows, "lang string, text string").selectExpr("*", "'clash' as phrase", "1 as n", "2 as shard").repartition(5)
     f, want = by_hand(rows, 12)
-    counts = {(r.lang, tuple(r.phrase.split(" "))): r.n for r in C.phrase_counts(df, least=12, shards=shards, slots=slots).collect()}
-    assert all(f[k] == v for k, v in counts.items()) and {k for k, v in f.items() if v >= 12} <= set(counts)
+    counts = {(r.lang, tuple(r.phrase.split(" "))): r.n for r in C.phrase_counts(df, least=12, shards=shards, slots=slots)[0].collect()}
+    assert counts == {k: v for k, v in f.items() if v >= 12}
     got = [(r.lang, r.phrase, r.a, r.l, r.r, r.n, r.score) for r in C.collocations(df, least=12, shards=shards, slots=slots).collect()]
     assert sorted(got, key=lambda r: (r[0], -r[6], -r[2], r[1].encode())) == want and len(want) > 60
 
@@ -69,7 +69,7 @@ def test_empty_and_invalid(spark):
 
 def test_long_texts():
     """Long texts are cut at pieces' ends only."""
-    text = b"some words here, " * 600_000
+    text = b"some words here, " * 1_500_000
     parts = list(C._pieces(text))
     assert len(parts) > 1 and b",".join(parts) == text and max(map(len, parts)) < 2 * C.CHUNK + 100
-    assert list(C._pieces(b"x " * 6_000_000)) == [b"x " * 6_000_000]
+    assert list(C._pieces(b"x " * 7_000_000)) == [b"x " * 7_000_000]

@@ -2,11 +2,12 @@ r"""Phrases whose words keep together, mined by dynamic itemset counting.
 
 The texts are dealt to shards, which are scanned in a cycle. Words are counted from the start. A longer phrase is activated at the step after which both its
 subphrases, without its last and without its first word, have been seen often enough; from there on it is counted through one full cycle, so
-its count is exact though lengths are counted side by side. The step at which a phrase has become frequent is all that has to be remembered: the
-start of a longer phrase is the later one of its two subphrases' steps.
+its count is exact though lengths are counted side by side. The start of a longer phrase is the later one of its two subphrases' steps.
 
-A task of a scan looks up these steps in a table of fixed size (SLOTS entries a length, by a hash of the phrase, with the least and the greatest step of
-all phrases that share an entry). So it sends on a few phrases too many and none too few; the exact steps are joined after the counts of a scan are summed.
+The steps are remembered in a table of fixed size (SLOTS entries a length, by a hash of the phrase): a slot has the first step after which any of its
+phrases was frequent. Phrases that share a slot with a frequent one start some longer phrases too many and none too few, and as a slot never changes
+its step, these too are counted through exactly one cycle; their own counts show that they are rare. So every task knows what to count and no phrase has to be joined.
+A scan's counts are merged with those of phrases in the midst of their cycle; a phrase leaves at the end of its cycle, with its count or, if rare, without trace.
 
 A text is in lower case (A-Z only) and cut at [.,;:!?\x0A-\x0D] into pieces and at [\x20\x09] into words; phrases lie within pieces. All counts are by language. A
 phrase's score is that of its worst cut in two: floor(2000000 * f / (f(first part) + f(rest))), in decimals of 38 digits. A phrase that lies in a longer one with
@@ -24,7 +25,7 @@ from tidemark.llm.common import keep, sized, table
 #: Words of a phrase at most, its least count, the share of its count (in hundredths) from which a longer phrase replaces it.
 LONGEST, LEAST, COVER = 4, 30, 80
 #: Shards of a cycle; entries of a length's table of steps; bytes of text that are counted at once.
-SHARDS, SLOTS, CHUNK = 3, 1 << 20, 4_000_000
+SHARDS, SLOTS, CHUNK = 2, 1 << 22, 6_000_000
 #: The step of what is not frequent.
 _NEVER = 255
 
@@ -35,54 +36,62 @@ _MARK = b"\xff"
 _LOWER = bytes(ord(_MARK) if b in _ENDS else ord(" ") if b in _BLANKS else b + 32 if 65 <= b <= 90 else b for b in range(256))
 
 
-def _counted(lang: str, texts: list[bytes], step: int, cycle: int, live: list[int], steps):
-    """Counts of one language's texts: (words, phrases, counts, slots), a tuple for each length in live.
+def _counted(lang: str, texts: list[bytes], step: int, cycle: int, live: list[int], since):
+    """Counts of one language's texts: (k, phrases, counts, slots, starts) for each length k in live.
 
-    steps[k] holds the least and the greatest step of the phrases of k words in each slot (k from 1).
+    since[k] holds the first step of each slot for phrases of k words.
     """
     import numpy as np
     import pandas as pd
+    import pyarrow as pa
+    import pyarrow.compute as pc
     import xxhash
 
-    numbers = _Numbers({_MARK: 0})
+    numbers = _Numbers({_MARK: -1})
+    numbers.next = 0
     words = _MARK.join(texts).translate(_LOWER).replace(_MARK, b" \xff ").split(b" ")
-    words = list(filter(None, words))
-    flat, found = pd.factorize(np.fromiter(map(numbers.__getitem__, words), "int64", len(words)))
-    text = list(numbers)
-    label = xxhash.xxh3_64_intdigest(lang.encode())
-    hashed = np.array([xxhash.xxh3_64_intdigest(w, seed=label & 0xFFFFFFFF) for w in text], "uint64")
-    gram = np.where(found[flat] == 0, -1, flat)  # the number of the phrase that starts here, or -1
-    rows = found[:, None]  # its words
-    live_top = max(live, default=1)
-    for k in range(1, live_top + 1):
+    gram = np.fromiter(map(numbers.__getitem__, filter(None, words)), "int64")  # the number of the phrase that starts here, or -1
+    del words
+    text = list(numbers)[1:]
+    label = xxhash.xxh3_64_intdigest(lang.encode()) & 0xFFFFFFFF
+    hashed = np.array([xxhash.xxh3_64_intdigest(w, seed=label) for w in text], "uint64")
+    text = pa.array(text, pa.binary())
+    rows = np.arange(len(text))[:, None]  # its words
+    start = np.zeros(len(text), "int64")  # the step from which it is counted
+    top = max(live, default=1)
+    for k in range(1, top + 1):
         if k > 1:
             left, right = gram[:-1], gram[1:]
             at = np.nonzero((left >= 0) & (right >= 0))[0]
-            at = at[good[left[at]] & good[right[at]]]
+            at = at[(first[left[at]] <= step) & (first[right[at]] <= step)]
             code, pairs = pd.factorize(left[at] * len(rows) + right[at])
             gram = np.full(max(0, len(left)), -1)
             gram[at] = code
-            one, two = np.divmod(pairs, len(rows))
-            ends = np.maximum(last[one], last[two])
+            one, two = np.divmod(pairs, max(1, len(rows)))
+            start = np.maximum(first[one], first[two])
             rows = np.concatenate([rows[one], rows[two][:, -1:]], 1)
         mixed = np.full(len(rows), 0x9E3779B97F4A7C15, "uint64")
         for c in range(k):
             mixed = (mixed ^ hashed[rows[:, c]]) * np.uint64(0xFF51AFD7ED558CCD)
             mixed ^= mixed >> np.uint64(32)
-        slot = (mixed % np.uint64(steps[1].shape[1])).astype("int64")
+        slot = (mixed % np.uint64(len(since[1]))).astype("int64")
         if k in live:
             n = np.bincount(gram[gram >= 0], minlength=len(rows))
-            here = np.nonzero((n > 0) & ((ends + cycle > step) if k > 1 else True))[0]
-            yield k, [b" ".join([text[w] for w in r]) for r in rows[here].tolist()], n[here], slot[here]
-        if k < live_top:
-            good, last = steps[k][0][slot] <= step, steps[k][1][slot].astype("int64")
+            here = np.nonzero((n > 0) & (step < start + cycle))[0]
+            parts = [text.take(pa.array(rows[here, c])) for c in range(k)]
+            yield k, pc.binary_join_element_wise(*parts, pa.scalar(b" ", pa.binary())) if k > 1 else parts[0], n[here], slot[here], start[here]
+        if k < top:
+            first = since[k][slot].astype("int64")
 
 
 class _Numbers(dict):
     """Numbers words in the order in which they come."""
 
+    next: int
+
     def __missing__(self, word: bytes) -> int:
-        self[word] = n = len(self)
+        self[word] = n = self.next
+        self.next = n + 1
         return n
 
 
@@ -104,35 +113,25 @@ def _pieces(text: bytes):
     yield text[at:]
 
 
-def _dense(entries: dict, slots: int, longest: int):
-    """The table of steps by length: least and greatest step of each slot, from those that have any."""
-    import numpy as np
-
-    steps = [np.stack([np.full(slots, _NEVER, "uint8"), np.zeros(slots, "uint8")]) for _ in range(longest + 1)]
-    for k, (slot, low, high) in entries.items():
-        steps[k][0][slot], steps[k][1][slot] = low, high
-    return steps
-
-
-def _scan(texts: DataFrame, step: int, cycle: int, live: list[int], entries, slots: int) -> DataFrame:
-    """k, lang, phrase, n, slot: what is counted at this step, summed. A few phrases may not be due at it.
-
-    entries is a broadcast of the filled slots by length.
-    """
+def _scan(texts: DataFrame, step: int, cycle: int, live: list[int], filled, slots: int) -> DataFrame:
+    """k, lang, phrase, n, slot, start: what is counted at this step, by chunks of text. filled is a broadcast of (slots, steps) by length."""
 
     def run(batches):
+        import numpy as np
         import pyarrow as pa
 
-        steps = _dense(entries.value, slots, max(live))
+        since = {k: np.full(slots, _NEVER, "uint8") for k in range(1, max(live) + 1)}
+        for k, (slot, first) in filled.value.items():
+            since[k][slot] = first
         waiting: dict[str, list[bytes]] = {}
         size: dict[str, int] = {}
 
         def counted(lang: str):
             size.pop(lang)
-            for k, phrases, n, slot in _counted(lang, waiting.pop(lang), step, cycle, live, steps):
-                columns = [pa.array([k] * len(n), pa.int32()), pa.array([lang] * len(n), pa.string()), pa.array(phrases, pa.binary()), pa.array(n, pa.int64()), pa.array(slot, pa.int32())]
+            for k, phrases, n, slot, start in _counted(lang, waiting.pop(lang), step, cycle, live, since):
+                columns = [pa.array(np.full(len(n), k), pa.int32()), pa.array([lang] * len(n), pa.string()), phrases, pa.array(n, pa.int64()), pa.array(slot, pa.int32()), pa.array(start, pa.int32())]
                 for at in range(0, len(n), 100_000):
-                    yield pa.RecordBatch.from_arrays([c.slice(at, 100_000) for c in columns], ["k", "lang", "phrase", "n", "slot"])
+                    yield pa.RecordBatch.from_arrays([c.slice(at, 100_000) for c in columns], ["k", "lang", "phrase", "n", "slot", "start"])
 
         for batch in batches:
             for lang, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
@@ -141,63 +140,75 @@ def _scan(texts: DataFrame, step: int, cycle: int, live: list[int], entries, slo
                     size[lang] = size.get(lang, 0) + len(piece) + 1
                     if size[lang] > CHUNK:
                         yield from counted(lang)
-                    elif sum(size.values()) > 4 * CHUNK:  # many languages
+                    elif sum(size.values()) > 2 * CHUNK:  # many languages
                         yield from counted(max(size, key=size.get))
         for lang in list(waiting):
             yield from counted(lang)
 
-    got = texts.select("lang", "text").mapInArrow(run, "k int, lang string, phrase binary, n long, slot int")
-    return got.groupBy("k", "lang", F.col("phrase").cast("string").alias("phrase")).agg(F.sum("n").alias("n"), F.first("slot").alias("slot"))
+    got = texts.select("lang", "text").mapInArrow(run, "k int, lang string, phrase binary, n long, slot int, start int")
+    return got.withColumn("phrase", F.col("phrase").cast("string"))
 
 
-def _part(first: Column | str, words) -> Column:
+def _part(first: str, words: Column) -> Column:
     """The first (words > 0) or last (words < 0) words of a phrase."""
-    return F.call_function("substring_index", F.col(first) if isinstance(first, str) else first, F.lit(" "), words if isinstance(words, Column) else F.lit(words))
+    return F.call_function("substring_index", F.col(first), F.lit(" "), words)
 
 
-def _due(counts: DataFrame, running: DataFrame | None, step: int, cycle: int) -> DataFrame:
-    """Of a step's counts those of phrases that are active at it, by the exact steps of their subphrases."""
-    words = counts.where("k = 1")
-    if running is None:
-        return words
-    since = running.where("since is not null").select("lang", F.col("phrase").alias("sub"), "since")
-    longer = counts.where("k > 1").withColumns({"head": _part("phrase", F.col("k") - 1), "tail": _part("phrase", 1 - F.col("k"))})
-    for name in ("head", "tail"):
-        longer = longer.join(since.select("lang", F.col("sub").alias(name), F.col("since").alias(f"{name}_since")), ["lang", name])
-    active = F.greatest("head_since", "tail_since")
-    return words.unionByName(longer.where((active <= step) & (F.lit(step) < active + cycle)).select("k", "lang", "phrase", "n", "slot"))
+def phrase_counts(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", longest: int = LONGEST, least: int = LEAST, shards: int = SHARDS, slots: int = SLOTS) -> tuple[DataFrame, DataFrame]:
+    """Two tables: k, lang, phrase, n for every word or longer phrase with a count of least or more; lang, n for the words of each language."""
+    spark = docs.sparkSession
+    cleanup = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"  # shuffles of a scan go when its result is written
+    before = spark.conf.get(cleanup, "false")
+    spark.conf.set(cleanup, "true")
+    try:
+        return _cycles(spark, docs, text_col, lang_col, longest, least, shards, slots)
+    finally:
+        spark.conf.set(cleanup, before)
 
 
-def phrase_counts(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", longest: int = LONGEST, least: int = LEAST, shards: int = SHARDS, slots: int = SLOTS) -> DataFrame:
-    """k, lang, phrase, n, since: every word, and every longer phrase whose subphrases all have a count of least or more, with its exact count."""
+def _cycles(spark, docs: DataFrame, text_col: str, lang_col: str, longest: int, least: int, shards: int, slots: int) -> tuple[DataFrame, DataFrame]:
+    import numpy as np
+
     texts = docs.select(F.coalesce(F.col(lang_col), F.lit("und")).alias("lang"), F.col(text_col).cast("binary").alias("text")).where("text is not null")
-    texts = keep(texts.withColumn("shard", F.pmod(F.monotonically_increasing_id(), F.lit(shards)).cast("int")), "texts", partitionBy="shard")
-    running, step, until = None, 0, [0, shards] + [0] * (longest - 1)  # until[k]: phrases of k words may be due before this step
-    entries: dict = {}
+    texts = keep(texts.withColumn("shard", F.pmod(F.monotonically_increasing_id(), F.lit(shards)).cast("int")), "texts", partitionBy="shard", compression="zstd")
+    since = {k: np.full(slots, _NEVER, "uint8") for k in range(1, longest)}
+    amid, ended, sizes = None, [], []
+    step, until = 0, [0, shards] + [0] * (longest - 1)  # until[k]: phrases of k words may be counted before this step
     while step < max(until):
         live = [k for k in range(1, longest + 1) if step < until[k]]
-        sent = docs.sparkSession.sparkContext.broadcast({k: e for k, e in entries.items() if k < max(live)})
+        filled = {k: (np.nonzero(s != _NEVER)[0].astype("int32"), s[s != _NEVER]) for k, s in since.items() if k < max(live)}
+        sent = spark.sparkContext.broadcast(filled)
         counts = _scan(texts.where(F.col("shard") == step % shards), step, shards, live, sent, slots)
-        counts = _due(counts, running, step, shards).select("k", "lang", "phrase", "n", "slot", F.lit(None).cast("int").alias("since"))
-        both = counts if running is None else running.unionByName(counts)
-        total = both.groupBy("k", "lang", "phrase").agg(F.sum("n").alias("n"), F.first("slot").alias("slot"), F.first("since", ignorenulls=True).alias("since"))
-        running = keep(total.withColumn("since", F.coalesce("since", F.when(F.col("n") >= least, step + 1))), f"phrases-{step}")
+        total = (counts if amid is None else amid.unionByName(counts)).groupBy("k", "lang", "phrase", "slot", "start").agg(F.sum("n").alias("n"))
+        over = F.col("start") + shards - 1 <= step
+        # Rare words of a finished cycle are left with their numbers only, for the size of a language.
+        state = keep(total.where((F.col("n") >= least) | ~over | (F.col("k") == 1)), f"phrases-{step}", compression="zstd")
         sent.destroy()
+        amid = state.where(~over)
+        ended.append(state.where(over & (F.col("n") >= least)))
+        if step == shards - 1:
+            sizes = state.where("k = 1").groupBy("lang").agg(F.sum("n").alias("n"))
         # At most slots rows a length, whatever the corpus.
-        filled = running.where(f"since is not null and k < {longest}").groupBy("k", "slot").agg(F.min("since").alias("low"), F.max("since").alias("high")).toPandas()
-        entries = {int(k): (e["slot"].to_numpy("int32"), e["low"].to_numpy("uint8"), e["high"].to_numpy("uint8")) for k, e in filled.groupby("k")}
-        for k, e in entries.items():
-            until[k + 1] = int(e[2].max()) + shards
+        new = state.where((F.col("n") >= least) & (F.col("k") < longest)).select("k", "slot").distinct().toPandas()
+        for k, part in new.groupby("k"):
+            s = since[int(k)]
+            at = part["slot"].to_numpy()
+            at = at[s[at] == _NEVER]
+            s[at] = step + 1
+            if len(at):
+                until[int(k) + 1] = step + 1 + shards
         step += 1
-    return running.select("k", "lang", "phrase", "n", "since")
+    out = ended[0]
+    for e in ended[1:]:
+        out = out.unionByName(e)
+    return out.select("k", "lang", "phrase", "n"), sizes
 
 
 def collocations(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", longest: int = LONGEST, least: int = LEAST, cover: int = COVER, **scan) -> DataFrame:
     """lang, phrase, k (its words), a (its count), l and r (those of its worst cut), n (words of the language), score: all candidates
     of two words or more that no longer one covers. scan: shards and slots."""
-    counts = phrase_counts(docs, text_col, lang_col, longest, least, **scan)
-    n = counts.where("k = 1").groupBy("lang").agg(F.sum("n").alias("n"))
-    often = keep(counts.where(F.col("n") >= least).select("k", "lang", "phrase", F.col("n").alias("a")), "frequent")
+    counts, n = phrase_counts(docs, text_col, lang_col, longest, least, **scan)
+    often = keep(counts.withColumnRenamed("n", "a"), "frequent")
     long_ = often.where("k > 1")
     cuts = long_.withColumn("cut", F.explode(F.sequence(F.lit(1), F.col("k") - 1)))
     cuts = cuts.withColumns({"head": _part("phrase", F.col("cut")), "rest": _part("phrase", F.col("cut") - F.col("k"))})
