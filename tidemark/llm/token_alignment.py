@@ -14,6 +14,7 @@ An empty table gives an empty result. A long text is cut where both tokenizers m
 that its memory is a multiple of its own length.
 """
 
+import os
 import re
 from itertools import chain
 
@@ -48,6 +49,7 @@ class _Bytes:
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core; idle threads of a pool would take others
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         values, vocabulary = byte_values(), self.tokenizer.get_vocab()
