@@ -43,7 +43,7 @@ def by_hand(rows):
         if not p.blocks:
             continue
         key = max((len(t), H._SIGNED(digest(t.replace(host, ""))), t) for _, _, t in p.blocks)[2]
-        for node, (chain, _, style) in p.tree.items():
+        for node, (chain, _, _, style) in p.tree.items():
             above[node] = chain
             shown[node][style].add(key)
             pages[node].add((style, key))
@@ -69,7 +69,7 @@ def by_hand(rows):
 
 def parsed(spark, rows):
     df = spark.createDataFrame(rows, "page_id long, url string, html string")
-    kind = "page_id long, url string, host string, key long, blocks array<struct<node:bigint,inside:boolean,text:string,h:bigint>>, tree array<struct<node:bigint,above:array<bigint>,inside:boolean,style:bigint>>"
+    kind = "page_id long, url string, host string, key long, blocks array<struct<node:bigint,inside:boolean,text:string,h:bigint>>, tree array<struct<node:bigint,above:array<bigint>,inside:boolean,hinted:boolean,style:bigint>>"
     return df.select("page_id", "url", H.host_name(df.url).alias("host"), "html").repartition(5).mapInArrow(H._parsed, kind)
 
 
@@ -112,9 +112,46 @@ def test_markup_loses_no_text():
 
 
 def test_parts_by_name():
-    parts = "ad ad-300x250 siteFooter footer--dark sidebar-left main-nav menu-item cookie-notice comment-list reader-comments share-buttons related-posts widget-area"
-    others = "share-price related-work load header-image article-body commentary content post-12 main search-results downloads"
-    assert all(map(H.names_a_part, parts.split())) and not any(map(H.names_a_part, others.split()))
+    firm = "ad ad-300x250 siteFooter footer--dark sidebar-left main-nav menu-item cookie-notice comment-list reader-comments share-buttons related-posts widget-area newsletter-signup top-banner book-comments"
+    hints = "market-share time-share job-search book-replies text-widget footer-notes"
+    others = "share-price related-work load header-image article-body commentary content post-12 main search-results downloads no-sidebar no-ads content-with-sidebar hasFooter"
+    assert {n: H.part_by_name(n) for n in f"{firm} {hints} {others}".split()} == dict.fromkeys(firm.split(), 2) | dict.fromkeys(hints.split(), 1) | dict.fromkeys(others.split(), 0)
+
+
+def test_names_hide_no_article():
+    assert text_of("<div class=no-sidebar><article><p>in</article></div>") == ["in"]
+    # A part that holds the only article is no part; one beside an article is.
+    assert text_of("<div class=sidebar><p>x</p><article><p>in</article></div>") == ["in"]
+    assert text_of("<article>story</article><div class=sidebar><article><p>teaser</article></div>") == ["story"]
+    assert text_of("<aside><article><p>teaser</article></aside>y") == ["y"]
+
+
+def test_tree_overrules_hints(spark):
+    """Of two boxes with hinting names in an article, the one that is each page's own stays; where the tree cannot judge, both go."""
+    r = random.Random(8)
+    words = lambda n: " ".join(r.choice(["lin", "mor", "ther"]) + str(r.randrange(999)) for _ in range(n))
+    rows, want = [], {}
+    for i in range(20):
+        host = "few.org" if i < 3 else "many.org"
+        story, own = words(30), words(8)
+        rows.append((i, f"http://{host}/{i}", page(f"<article><p>{story}</p><section class='market-share'><p>{own}</p></section><div class='job-search'><p>Find work near you</p></div></article><div class='text-widget'>{words(5)}</div>")))
+        want[i] = story if i < 3 else f"{story}\n{own}"
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)
+    assert {x.page_id: x.text for x in H.extract(df).collect()} == want
+
+
+def test_broken_markup_in_linear_time():
+    for html in ('<p class="x" ' * 60_000, '<a b="' * 60_000, "<p class='x>' " * 30_000 + ">", "<!x " * 100_000, "<? " * 100_000, "</ x" * 100_000, "<script></script " * 40_000, "<" * 400_000 + ">", '<p a="<b>' * 40_000):
+        began = time.time()
+        text_of("<p>start</p>" + html)
+        assert time.time() - began < 4, html[:20]
+    for html in ("<section><article>" + "<div>" * 30_000 + "</section>" * 30_000, "<center>" * 60_000 + "x", "<h1><li>" * 30_000):
+        began = time.time()
+        text_of(html)
+        assert time.time() - began < 10, html[:20]
+    assert text_of("<p>one <p title=\"x <i>two</i> <p>three") == ["one", "two", "three"]
+    assert text_of("<p>a <b c=\"<p>d</p><p>e 1 < 2 and x<y") == ["a d", "e 1 < 2 and x<y"]
+    assert text_of("<p>a</p>b<!-- c") == ["a", "b"]
 
 
 def test_deep_and_odd_nesting_in_bounded_time():
