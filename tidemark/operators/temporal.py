@@ -95,6 +95,14 @@ def previous(df: DataFrame, key: str, order: list[str], values: list[str], day:
     return df.withColumns({f"{prefix}{v}": F.when(ok, take(F.col(v))) for v in values})
 
 
+def rounds(events: DataFrame, entity: str, event_day: str, gap: int, name: str = "opens") -> DataFrame:
+    """events with whether each opens a round: the entity's first, or more than `gap` days after the one before. Of events of one day
+    one opens it. Only days before an event decide, so later events change nothing."""
+    w = Window.partitionBy(entity).orderBy(event_day)
+    since = _days(F.col(event_day)) - F.lag(_days(F.col(event_day))).over(w)
+    return events.withColumn(name, F.coalesce(since > gap, F.lit(True)))
+
+
 def latest_per_key(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
     """One row per key, the first by the order."""
     return df.withColumn("_n", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where("_n = 1").drop("_n")

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import scalar as S
 from tidemark.functions import text as X
+from tidemark.operators import terms
 from tidemark.operators.sequence import previous_keys
 from tidemark.plans.registry import Registry, n, r6
 
@@ -209,6 +210,20 @@ def tfidf(t):
     return best.select("doc_id", F.explode("b").alias("b")).select("doc_id", F.col("b.w").alias("term"), (-F.col("b.minus")).alias("weight"))
 
 
+@R.query(
+    "tfidf_bigrams",
+    """WITH w AS (SELECT doc_id, regexp_extract_all(lower(text), '[a-z]{2,}') AS w FROM documents), b AS (SELECT doc_id, term, count(*) AS c FROM (SELECT doc_id, unnest(list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]))) AS term FROM w) GROUP BY ALL),
+    n AS (SELECT count(*) AS n FROM documents), d AS (SELECT term, count(*) AS df FROM b GROUP BY 1 HAVING count(*) >= 5 AND count(*) <= 0.9 * (SELECT n FROM n) ORDER BY sum(c) DESC, term LIMIT 3000),
+    s AS (SELECT doc_id, term, (1 + ln(c)) * (ln((1 + n.n) / (1 + df)) + 1) AS s FROM b JOIN d USING (term), n)
+    SELECT doc_id, count(*)::BIGINT AS n_terms, round(sum(s) / sqrt(sum(s * s)), 5) AS total, round(max(s) / sqrt(sum(s * s)), 6) AS heaviest FROM s GROUP BY 1""",
+)
+def tfidf_bigrams(t):
+    """Weights of words and pairs of words; of the terms in five documents or more and nine tenths at most, the 3,000 most frequent."""
+    x = terms.tfidf(t.documents, "doc_id", "text", cap=3000)
+    total = F.aggregate("terms", F.lit(0.0), lambda a, e: a + e["weight"])
+    return x.select("doc_id", n(F.size("terms")).alias("n_terms"), F.round(total, 5).alias("total"), r6(F.get("terms", F.lit(0))["weight"]).alias("heaviest"))
+
+
 @R.query("string_basic", "SELECT c_custkey, upper(c_mktsegment[1]) || lower(c_mktsegment[2:]) AS title, contains(lower(c_mktsegment), 'build')::BIGINT AS build FROM customer")
 def string_basic(t):
     return t.customer.select("c_custkey", F.initcap("c_mktsegment").alias("title"), n(F.lower("c_mktsegment").contains("build")).alias("build"))
