@@ -253,3 +253,34 @@ def test_percentiles_and_ranks_over_ranges(spark):
     for x in M.ranked_counts(df, "v", "y", ["g"]).collect():
         mine = [(v, y) for g, v, y in rows if g == x.g and v is not None]
         assert (x.below, x.below_neg) == (sum(v < x.v for v, _ in mine), sum(v < x.v and y == 0 for v, y in mine))
+
+
+def test_rounds_open_after_a_gap(spark):
+    rows = [(i, k, d) for i, (k, d) in enumerate([("a", T0), ("a", T0), ("a", T0 + timedelta(days=90)), ("a", T0 + timedelta(days=181)), ("b", T0 + timedelta(days=1)), ("c", None)])]
+    events = spark.createDataFrame(rows, "id long, k string, d date")
+    got = {r.id: r.opens for r in temporal.rounds(events, "k", "d", 90).collect()}
+    assert got[0] + got[1] == 1 and [got[i] for i in (2, 3, 4, 5)] == [False, True, True, True]
+
+
+def test_term_weights_by_hand(spark):
+    """Words and pairs, a cap that binds with a tie, and documents without any term."""
+    import math
+    from collections import Counter
+
+    from tidemark.operators import terms
+
+    texts = ["Aa bb aa", "bb cc", "aa bb cc dd", "dd x é", None, "", "dd cc bb"]
+    bags = [Counter(w + [f"{a} {b}" for a, b in zip(w, w[1:])]) for w in ([x for x in (t or "").lower().split() if len(x) > 1] for t in texts)]
+    df = Counter(t for b in bags for t in b)
+    tf = sum(bags, Counter())
+    for cap in (3, 4, 100):
+        vocab = sorted((t for t in df if 2 <= df[t] <= 0.55 * len(texts)), key=lambda t: (-tf[t], t))[:cap]
+        want = {}
+        for i, b in enumerate(bags):
+            s = {t: (1 + math.log(b[t])) * (math.log((1 + len(texts)) / (1 + df[t])) + 1) for t in b if t in vocab}
+            if s:
+                want[i] = {t: v / math.sqrt(sum(x * x for x in s.values())) for t, v in s.items()}
+        docs = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
+        got = {r.id: {e.term: e.weight for e in r.terms} for r in terms.tfidf(docs, "id", "text", 2, 0.55, cap).collect()}
+        assert got.keys() == want.keys() and all(got[i] == pytest.approx(want[i]) for i in want)
+        assert len({t for v in want.values() for t in v}) == min(cap, len(vocab))
