@@ -106,3 +106,16 @@ def publish(df: DataFrame, path: str, kind: str = "parquet") -> dict:
         if (name := f.getPath().getName()) not in stay and name.startswith(("v-", _MANIFEST)):
             system.delete(f.getPath(), True)
     return new
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """A new folder that driver and executors share, under spark.checkpoint.dir or the context's checkpoint folder. On one machine, as in
+    tests, a temporary one does where neither is set; on a cluster that is an error."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not base:
+        if not (spark.sparkContext.master + "[").startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        import tempfile
+
+        base = tempfile.mkdtemp(prefix="tidemark-")
+    return f"{base.rstrip('/')}/files-{uuid.uuid4().hex}"
