@@ -284,3 +284,29 @@ def test_term_weights_by_hand(spark):
         got = {r.id: {e.term: e.weight for e in r.terms} for r in terms.tfidf(docs, "id", "text", 2, 0.55, cap).collect()}
         assert got.keys() == want.keys() and all(got[i] == pytest.approx(want[i]) for i in want)
         assert len({t for v in want.values() for t in v}) == min(cap, len(vocab))
+
+
+def test_measures_of_texts_by_hand(spark):
+    texts = ["Could  it be? The co-ordinate lawsuit could could\nmay not be. I it's 12 Estimate the Risk Factors of a. Unresolved Staff Comments", None, "", "12 - x", "a" * 300_000 + " could " * 100_000, "-" * 400_000]
+    x = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
+    r = {row.id: row for row in x.select("id", *[c.alias(k) for k, c in text.measures(F.col("text")).items()]).collect()}
+    # could it be the co-ordinate lawsuit could could may not be it's estimate the risk factors of unresolved staff comments
+    assert r[0].n_words == 20 and r[0].avg_sentence == 20 / 3 and r[0].unique_ratio == 16 / 20
+    # co-ordinate has o, o, i, a and a silent e; estimate e, i, a; unresolved u, e, o, e.
+    assert r[0].pct_complex == 3 / 20 and r[0].uncertain_rate == 6 / 20 and r[0].modal_weak_rate == 4 / 20 and r[0].litigious_rate == 1 / 20
+    flat = " ".join(texts[0].split()).lower()
+    assert r[0].section_share == pytest.approx((flat.index("unresolved") - flat.index("risk factors")) / len(flat)) and r[0].number_density == pytest.approx(2 / len(flat))
+    for i in (1, 2, 3, 5):
+        assert (r[i].n_words, r[i].fog, r[i].uncertain_rate, r[i].unique_ratio, r[i].section_share) == (0, None, None, None, 0.0)
+    assert r[4].n_words == 100_001 and r[4].modal_weak_rate == 100_000 / 100_001
+
+
+def test_metric_without_each_group_and_on_new_entities(spark):
+    rows = [("a", 1.0, 0), ("a", 2.0, 1), ("b", 2.0, 0), ("b", 1.0, 1), (None, 3.0, 1), ("c", None, 1), ("a", 2.0, None)]
+    df = spark.createDataFrame(rows, "g string, s double, y int")
+    got = {r.left_out: (r.n, r.pos, r.auc) for r in metrics.auc_without(df, "s", "y", "g").collect()}
+    # Without a: 1 and 3 against 2; without b: 2 and 3 against 1; without c: 2, 1, 3 against 1, 2.
+    assert got == {"a": (3, 2, 0.5), "b": (3, 2, 1.0), "c": (5, 3, pytest.approx((1.5 + 0.5 + 2) / 6))}
+    train = spark.createDataFrame([("a", 1.0, 1), ("a", 1.0, 0), ("b", 1.0, 0), ("d", 1.0, None), (None, 1.0, 1)], "g string, s double, y int")
+    new = {r.subset: (r.n, r.pos, r.auc) for r in metrics.auc_of_new(train, df, "s", "y", "g").collect()}
+    assert new == {"all": (5, 3, pytest.approx(4 / 6)), "no_positive": (3, 2, 0.5), "new": (1, 1, None)}

@@ -70,6 +70,27 @@ def auc(df: DataFrame, score: str, y: str, by: list[str] | None = None, weight:
     return c.groupBy(*by).agg(F.sum(F.col("pos") + F.col("neg")).alias("n"), F.sum("pos").alias("pos"), F.try_divide(won, F.sum("pos") * F.sum("neg")).alias("auc"))
 
 
+def auc_without(df: DataFrame, score: str, y: str, group: str) -> DataFrame:
+    """left_out, n, pos, auc: the metric over all rows but those of one group (say a year), for each group in turn.
+
+    Rows are counted per group and score first; these counts are repeated per group left out, the rows are not. Groups are few. Rows of
+    a null group are in no group and stay in all.
+    """
+    c = df.where(F.col(score).isNotNull() & F.col(y).isNotNull()).groupBy(F.col(group).alias("_g"), F.col(score).alias("_s"), (F.col(y) == 1).cast("int").alias("_y")).agg(F.count("*").cast("double").alias("_w"))
+    groups = F.broadcast(df.agg(F.collect_set(group).alias("_all")))
+    c = c.crossJoin(groups).withColumn("left_out", F.explode(F.filter("_all", lambda g: ~g.eqNullSafe(F.col("_g")))))
+    return auc(c, "_s", "_y", ["left_out"], F.col("_w"))
+
+
+def auc_of_new(train: DataFrame, test: DataFrame, score: str, y: str, entity: str) -> DataFrame:
+    """subset, n, pos, auc: the metric over all test rows (all), those of entities without a positive in training (no_positive) and those
+    of entities that training has never seen (new). What is lost from one to the next was known from the entity. Null entities are new."""
+    seen = train.where(F.col(entity).isNotNull()).groupBy(entity).agg(F.max((F.coalesce(F.col(y), F.lit(0)) == 1).cast("int")).alias("_hit"))
+    x = test.join(seen, entity, "left")
+    subsets = F.array(F.lit("all"), F.when(F.coalesce(F.col("_hit"), F.lit(0)) == 0, "no_positive"), F.when(F.col("_hit").isNull(), "new"))
+    return auc(x.select(score, y, F.explode(F.array_compact(subsets)).alias("subset")), score, y, ["subset"])
+
+
 def auc_per_feature(df: DataFrame, features: list[str], y: str) -> DataFrame:
     """feature, coverage, auc: each feature by itself over the rows that have it."""
     long = df.select(y, *[F.col(f).cast("double").alias(f) for f in features]).unpivot([y], features, "feature", "v")

@@ -39,6 +39,27 @@ def auc_by_year(t):
     return M.auc(_scores(t), "b", "y", ["lang"]).select("lang", n("n").alias("n"), n("pos").alias("pos"), r6("auc").alias("auc"))
 
 
+@R.query("auc_drop_year", _auc_sql("b", "left_out", f"(SELECT s.*, g.lang AS left_out FROM ({_S}) s JOIN (SELECT DISTINCT lang FROM documents JOIN labels USING (doc_id)) g ON g.lang IS DISTINCT FROM s.lang WHERE g.lang IS NOT NULL)"))
+def auc_drop_year(t):
+    """The metric with each group left out in turn, here the language."""
+    return M.auc_without(_scores(t), "b", "y", "lang").select("left_out", n("n").alias("n"), n("pos").alias("pos"), r6("auc").alias("auc"))
+
+
+_SPLIT = "SELECT o_custkey % 997 AS k, o_totalprice AS v, (o_orderstatus = 'F')::INT AS y, o_orderdate < TIMESTAMP '1995-09-01' AS train FROM orders"
+
+
+@R.query(
+    "leak_disjoint",
+    f"WITH o AS ({_SPLIT}), e AS (SELECT k, max(y) AS hit FROM o WHERE train GROUP BY 1), s AS (SELECT v, y, hit FROM o LEFT JOIN e USING (k) WHERE NOT train), "
+    "u AS (SELECT 'all' AS subset, v, y FROM s UNION ALL SELECT 'no_positive', v, y FROM s WHERE coalesce(hit, 0) = 0 UNION ALL SELECT 'new', v, y FROM s WHERE hit IS NULL) " + _auc_sql("v", "subset", "u"),
+)
+def leak_disjoint(t):
+    """The metric on later orders, on those of customers without an earlier positive, and on those of customers never seen before."""
+    o = t.orders.select((F.col("o_custkey") % 997).alias("k"), F.col("o_totalprice").alias("v"), (F.col("o_orderstatus") == "F").cast("int").alias("y"), "o_orderdate")
+    early = F.col("o_orderdate") < F.lit("1995-09-01").cast("timestamp")
+    return M.auc_of_new(o.where(early), o.where(~early), "v", "y", "k").select("subset", n("n").alias("n"), n("pos").alias("pos"), r6("auc").alias("auc"))
+
+
 @R.query("auc_per_feature", f"SELECT feature, coverage, auc FROM ({_auc_sql('v', 'feature', f'(UNPIVOT ({_SN}) ON a, b, c INTO NAME feature VALUE v)')}) JOIN (SELECT unnest(['a', 'b', 'c']) AS feature, round(unnest([count(a) / count(*), count(b) / count(*), count(c) / count(*)]), 6) AS coverage FROM ({_SN})) USING (feature)")
 def auc_per_feature(t):
     """Each feature over the rows that have it; here one lacks values of long texts, another of every seventh row."""

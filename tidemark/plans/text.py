@@ -65,6 +65,25 @@ def text_stats(t):
     return d.select("doc_id", n("k").alias("n_words"), r6(F.col("k") / F.col("s")).alias("avg_sentence"), r6(0.4 * (F.col("k") / F.col("s") + 100 * F.col("c") / F.col("k"))).alias("fog"), r6(F.regexp_count("text", F.lit("[0-9]")) / F.length("text")).alias("digits"), r6(F.size(F.array_distinct("w")) / F.col("k")).alias("distinct_share"))
 
 
+_LISTS = X.WORD_LISTS | {"common": "the and of in la le de et der die und el que"}
+_RATES = ", ".join(f"round(len(list_filter(w, lambda x: x IN ({', '.join(repr(x) for x in part.split())}))) / len(w), 6) AS {name}_rate" for name, part in _LISTS.items())
+
+
+@R.query(
+    "text_measures",
+    f"""WITH t AS (SELECT doc_id, regexp_replace(text, '[ \\t\\n\\f\\r]+', ' ', 'g') AS t FROM documents), w AS (SELECT *, lower(t) AS low, regexp_extract_all(lower(t), '[a-z][a-z''-]+') AS w, greatest(1, len(regexp_extract_all(t, '[.?!] '))) AS s FROM t),
+    c AS (SELECT *, len(list_filter(w, lambda w: {_SYL} >= 3)) AS c, strpos(low, ' the ') AS a FROM w WHERE len(w) >= 500), p AS (SELECT *, CASE WHEN a > 0 THEN strpos(low[a:], '. ') ELSE 0 END AS b FROM c)
+    SELECT doc_id, len(w)::BIGINT AS n_words, round(log10(len(w)), 6) AS log_words, round(len(w) / s, 6) AS avg_sentence, round(c / len(w), 6) AS pct_complex, round(0.4 * (len(w) / s + 100 * c / len(w)), 6) AS fog, {_RATES},
+    round(len(regexp_extract_all(t, '[0-9]')) / length(t), 6) AS number_density, round(CASE WHEN b > 1 THEN (b - 1) / length(low) ELSE 0 END, 6) AS section_share, round(len(list_distinct(w)) / len(w), 6) AS unique_ratio FROM p""",
+)
+def text_measures(t):
+    """All measures of texts of 500 words or more; the section is what follows a first article up to the end of its sentence."""
+    m = X.measures(F.col("text"), _LISTS, (" the ", ". "))
+    whole = {"n_words"}
+    x = t.documents.select("doc_id", *[c.alias(k) for k, c in m.items()]).where("n_words >= 500")
+    return x.select("doc_id", *[n(k).alias(k) if k in whole else r6(k).alias(k) for k in m])
+
+
 @R.query("tone", f"SELECT doc_id, round(1000.0 * len(regexp_extract_all(text, '{X.POSITIVE}')) / greatest(1, len(regexp_extract_all(text, '[A-Za-z]{{2,}}'))), 6) AS pos, round(1000.0 * len(regexp_extract_all(text, '{X.NEGATIVE}')) / greatest(1, len(regexp_extract_all(text, '[A-Za-z]{{2,}}'))), 6) AS neg FROM documents")
 def tone(t):
     return t.documents.select("doc_id", r6(X.per_thousand(F.col("text"), X.POSITIVE)).alias("pos"), r6(X.per_thousand(F.col("text"), X.NEGATIVE)).alias("neg"))
