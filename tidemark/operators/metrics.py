@@ -7,29 +7,7 @@ is ordered by itself and starts where the ranges below it end, so no task sees a
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-RANGES = 64
-
-
-def _range_of(df: DataFrame, score: str, ranges: int = RANGES) -> Column:
-    """The range of a score among about equally filled ones, by cuts over all rows; groups share the cuts."""
-    cuts = sorted(set(df.approxQuantile(score, [i / ranges for i in range(1, ranges)], 0.002)))
-    return F.size(F.filter(F.array(*[F.lit(x) for x in cuts]), lambda c: c < F.col(score))) if cuts else F.lit(0)
-
-
-def _below(g: DataFrame, by: list[str], score: str, sums: dict[str, Column]) -> DataFrame:
-    """g (a row per group, range _b and score) with, for each name, the sum of the column over all smaller scores of the group.
-
-    Sums of whole ranges are few: a row per group and range.
-    """
-    per = g.groupBy(*by, "_b").agg(*[F.sum(c).alias(f"_{k}") for k, c in sums.items()])
-    up = Window.partitionBy(*by).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    start = per.select(*[F.col(c).alias(f"_k{i}") for i, c in enumerate([*by, "_b"])], *[F.coalesce(F.sum(f"_{k}").over(up), F.lit(0.0)).alias(f"_0{k}") for k in sums])
-    on = [F.col(c).eqNullSafe(F.col(f"_k{i}")) for i, c in enumerate([*by, "_b"])]
-    run = Window.partitionBy(*by, "_b").orderBy(score).rowsBetween(Window.unboundedPreceding, -1)
-    g = g.join(start, on)
-    g = g.withColumns({k: F.col(f"_0{k}") + F.coalesce(F.sum(c).over(run), F.lit(0.0)) for k, c in sums.items()})
-    return g.drop(*[f"_0{k}" for k in sums], *[f"_k{i}" for i in range(len(by) + 1)])
-
+from tidemark.operators.ranks import below, ranges
 
 def ranked_counts(df: DataFrame, score: str, y: str, by: list[str] | None = None, weight: Column | None = None, range_: Column | None = None) -> DataFrame:
     """range_: the range of a score, where the caller knows it from fewer rows than df has.
@@ -38,8 +16,8 @@ def ranked_counts(df: DataFrame, score: str, y: str, by: list[str] | None = None
     by, w = by or [], weight if weight is not None else F.lit(1.0)
     df = df.where(F.col(score).isNotNull() & F.col(y).isNotNull())
     g = df.groupBy(*by, score).agg(F.sum(F.when(F.col(y) == 1, w).otherwise(0.0)).alias("pos"), F.sum(F.when(F.col(y) == 1, 0.0).otherwise(w)).alias("neg"))
-    g = g.withColumn("_b", _range_of(df, score) if range_ is None else range_)
-    return _below(g, by, score, {"below": F.col("pos") + F.col("neg"), "below_neg": F.col("neg")}).drop("_b")
+    g = g.withColumn("_b", ranges(df, score)[0] if range_ is None else range_)
+    return below(g, by, [score], {"below": F.col("pos") + F.col("neg"), "below_neg": F.col("neg")}).drop("_b")
 
 
 def percentiles(df: DataFrame, value: str, at: list[float], by: list[str] | None = None, names: list[str] | None = None) -> DataFrame:
@@ -49,10 +27,8 @@ def percentiles(df: DataFrame, value: str, at: list[float], by: list[str] | None
     """
     by, names = by or [], names or [f"q{i}" for i in range(len(at))]
     df = df.where(F.col(value).isNotNull()).select(*by, F.col(value).cast("double").alias("_v"))
-    g = df.groupBy(*by, "_v").agg(F.count("*").cast("double").alias("_n")).withColumn("_b", _range_of(df, "_v"))
-    g = _below(g, by, "_v", {"_from": F.col("_n")})
-    total = g.groupBy(*by).agg(F.sum("_n").alias("_all"))
-    g = g.join(total.select(*[F.col(c).alias(f"_t{i}") for i, c in enumerate(by)], "_all"), [F.col(c).eqNullSafe(F.col(f"_t{i}")) for i, c in enumerate(by)]) if by else g.crossJoin(F.broadcast(total))
+    g = df.groupBy(*by, "_v").agg(F.count("*").cast("double").alias("_n")).withColumn("_b", ranges(df, "_v")[0])
+    g = below(g, by, ["_v"], {"_from": F.col("_n")}, {"_all": F.col("_n")})
     # Row numbers from 0: a share lies between the whole places around it.
     place = {n: F.lit(q) * (F.col("_all") - 1) for n, q in zip(names, at, strict=True)}
     held = lambda k: (F.col("_from") <= k) & (k < F.col("_from") + F.col("_n"))
@@ -110,7 +86,7 @@ def ndcg(df: DataFrame, score: str, y: str, tie: str, fraction: float) -> DataFr
     it, are ordered, each by itself."""
     total = df.agg(F.count("*").alias("n"), F.sum(y).alias("p")).first()
     k = max(1, int((total["n"] or 0) * fraction))
-    ranged = df.select(score, y, tie).withColumn("_b", _range_of(df, score))
+    ranged = df.select(score, y, tie).withColumn("_b", ranges(df, score)[0])
     per = ranged.groupBy("_b").agg(F.count("*").alias("_c"))
     up = Window.orderBy(F.desc("_b")).rowsBetween(Window.unboundedPreceding, -1)  # a row per range
     start = F.broadcast(per.select("_b", F.coalesce(F.sum("_c").over(up), F.lit(0)).alias("_0")).where(F.col("_0") < k))
@@ -151,7 +127,7 @@ def bootstrap_auc(df: DataFrame, scores: list[str], y: str, unit: str, replicate
     long = drawn.unpivot(["replicate", y, "w"], scores, "model", "s")
     # Ranges come from the rows as they are, not from their replicates; few of them do, as each replicate is ordered by itself.
     once = df.select(*[F.col(s).cast("double").alias(s) for s in scores]).unpivot([], scores, "model", "s").where("s is not null")
-    each = auc(long, "s", y, ["replicate", "model"], F.col("w"), _range_of(once, "s", 8))
+    each = auc(long, "s", y, ["replicate", "model"], F.col("w"), ranges(once, "s", most=8)[0])
     return each.groupBy("replicate").agg(*[F.max(F.when(F.col("model") == s, F.col("auc"))).alias(s) for s in scores])
 
 

@@ -5,21 +5,23 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.operators.ranks import matched, ranges, with_smaller
+
 
 def rank_pct(value: str, by: list[str]) -> Column:
-    """Percentile rank within a group: the average rank of ties over the group's size."""
+    """Percentile rank within a group that fits a task (others: `ranks.with_rank_pct`): the average rank of ties over the group's size."""
     ties = F.count("*").over(Window.partitionBy(*by, value))
     return (F.rank().over(Window.partitionBy(*by).orderBy(value)) + (ties - 1) / 2) / F.count("*").over(Window.partitionBy(*by))
 
 
 def rank_unit(by: list[str], value: str, tie: str) -> Column:
-    """Rank from 0 to 1 within a group; ties by another column; null in a group of one."""
+    """Rank from 0 to 1 within a group that fits a task (others: `ranks.with_rank_unit`); ties by another column; null in a group of one."""
     rn = F.row_number().over(Window.partitionBy(*by).orderBy(value, tie))
     return F.try_divide(rn - 1, F.count("*").over(Window.partitionBy(*by)) - 1)
 
 
 def quantile_cut(by: list[str], value: str, tie: str, k: int) -> Column:
-    """The quantile 1 to k of a row within its group, as cutting its first-come ranks at the k-quantiles gives it."""
+    """The quantile 1 to k of a row within a group that fits a task (others: `ranks.with_quantile`), as cutting its first-come ranks at the k-quantiles gives it."""
     rn = F.row_number().over(Window.partitionBy(*by).orderBy(value, tie))
     return F.greatest(F.lit(1), F.ceil(F.try_divide((rn - 1) * k, F.count("*").over(Window.partitionBy(*by)) - 1)))
 
@@ -68,29 +70,23 @@ def smoothed(df: DataFrame, key: list[str], order: str, value: str, weight: floa
 def train_percentile(df: DataFrame, group: list[str], fallback: list[str], value: str, train: str, least: int) -> DataFrame:
     """df with pct: the share of training values of the row's group that are smaller.
 
-    A group without training values uses its fallback group; a pool of fewer than `least` gives null. Counts come from
-    running sums over sorted values, so no pool is gathered.
+    A group without training values uses its fallback group; a pool of fewer than `least` gives null, and so does a row without a value.
+    Values are counted per group and ordered by ranges, so no task holds a pool.
     """
-    one = F.when(F.col(train) & F.col(value).isNotNull(), 1).otherwise(0)
-
-    def share(by: list[str]) -> tuple[Column, Column]:
-        below = F.sum(one).over(Window.partitionBy(*by).orderBy(value)) - F.sum(one).over(Window.partitionBy(*by, value))
-        return below, F.sum(one).over(Window.partitionBy(*by))
-
-    (bg, ng), (bf, nf) = share(group), share(fallback)
-    df = df.withColumns({"_bg": bg, "_ng": ng, "_bf": bf, "_nf": nf})
+    one = F.when(F.col(train), 1).otherwise(0)
+    at = ranges(df, value)[0]
+    df = with_smaller(df, group, value, one, at, ("_bg", "_sg", "_ng"))
+    df = with_smaller(df, fallback, value, one, at, ("_bf", "_sf", "_nf"))
     own = F.when(F.col("_ng") >= least, F.col("_bg") / F.col("_ng"))
     pct = F.when(F.col(value).isNotNull(), F.when(F.col("_ng") > 0, own).when(F.col("_nf") >= least, F.col("_bf") / F.col("_nf")))
-    return df.withColumn("pct", pct).drop("_bg", "_ng", "_bf", "_nf")
+    return df.withColumn("pct", pct).drop("_bg", "_sg", "_ng", "_bf", "_sf", "_nf")
 
 
-def previous_keys(df: DataFrame, by: str, key: str, ranges: int = 256) -> DataFrame:
+def previous_keys(df: DataFrame, by: str, key: str) -> DataFrame:
     """key, prev: the key before each one within a group, over ranges of the key, the edge of the last range that has any carried over."""
-    ends = df.agg(F.min(key).alias("low"), F.max(key).alias("high"))
-    bin_ = F.call_function("div", (F.col(key) - F.col("low")) * ranges, F.col("high") - F.col("low") + 1)
-    df = df.crossJoin(F.broadcast(ends)).select(by, key, bin_.alias("bin"))
+    df = df.select(by, key, ranges(df, key)[0].alias("bin"))
     last = df.groupBy(by, "bin").agg(F.max(key).alias("edge"))  # a row per group and range
-    carried = last.select(F.col(by).alias("_g"), F.col("bin").alias("_b"), F.lag("edge").over(Window.partitionBy(by).orderBy("bin")).alias("edge"))
-    df = df.join(carried, F.col(by).eqNullSafe(F.col("_g")) & (F.col("bin") == F.col("_b")))
+    carried = last.select(by, "bin", F.lag("edge").over(Window.partitionBy(by).orderBy("bin")).alias("edge"))
+    df = matched(df, carried, [by, "bin"], "inner")
     prev = F.coalesce(F.lag(key).over(Window.partitionBy(by, "bin").orderBy(key)), "edge")
     return df.select(key, prev.alias("prev")).where("prev is not null")

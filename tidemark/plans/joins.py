@@ -4,6 +4,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import scalar as S
+from tidemark.operators import network
 from tidemark.operators import temporal as T
 from tidemark.operators.metrics import percentiles
 from tidemark.plans.registry import Registry, day, n, r6, text_of
@@ -280,11 +281,10 @@ def name_match_unique(t):
     FROM e a JOIN e b ON a.person = b.person AND a.firm <> b.firm LEFT JOIN s ON s.s_suppkey = b.firm GROUP BY 1""",
 )
 def two_hop_links(t):
-    """Firms reached through a shared person. Pairs of firms are made distinct before any flag is joined."""
+    """Firms reached through a shared person; persons of more than 1,000 firms are taken as sets."""
     e = t.lineitem.select(F.col("l_suppkey").alias("firm"), F.col("l_partkey").alias("person")).distinct()
-    pairs = e.join(e.select(F.col("firm").alias("other"), "person"), "person").where("firm <> other").select("firm", "other").distinct()
-    bad = t.supplier.where("s_acctbal < 0").select(F.col("s_suppkey").alias("other"), F.lit(1).alias("bad"))
-    return pairs.join(bad, "other", "left").groupBy("firm").agg(n(F.count("*")).alias("linked"), n(F.count("bad")).alias("flagged"))
+    bad = t.supplier.where("s_acctbal < 0").select(F.col("s_suppkey").alias("firm"))
+    return network.linked(e, bad).select("firm", n("linked").alias("linked"), n("flagged").alias("flagged"))
 
 
 @R.query(

@@ -4,6 +4,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tidemark.operators import portfolio as P
+from tidemark.operators.metrics import percentiles
 from tidemark.plans.registry import Registry, n, r6, text_of
 
 R = Registry()
@@ -57,8 +58,8 @@ def holdings_clone(t):
     h = t.lineitem.groupBy(F.col("l_suppkey").alias("m"), F.date_trunc("quarter", "l_shipdate").cast("date").alias("q"), F.col("l_partkey").alias("s")).agg(F.sum("l_extendedprice").alias("v"))
     past = Window.partitionBy("m").orderBy("q").rowsBetween(-8, -1)
     f = h.groupBy("m", "q").agg(F.sum("v").alias("v")).select("m", "q", F.avg("v").over(past).alias("score"), F.count("*").over(past).alias("c")).where("c >= 6")
-    cut = f.groupBy("q").agg(F.percentile("score", F.lit(0.9)).alias("cut"))
-    top = f.join(F.broadcast(cut), "q").where("score >= cut").select("m", "q")
+    cut = percentiles(f, "score", [0.9], ["q"], ["cut"])
+    top = f.join(cut, "q").where("score >= cut").select("m", "q")
     w = Window.partitionBy("m", "q").orderBy(F.desc("v"), "s")
     return h.join(top, ["m", "q"]).withColumn("i", F.row_number().over(w)).where("i <= 10").select(text_of("q").alias("quarter"), F.col("m").alias("manager"), F.col("s").alias("stock"))
 

@@ -4,7 +4,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tidemark.operators import metrics as M
-from tidemark.operators import sequence as Q
+from tidemark.operators import ranks as K
 from tidemark.plans.registry import Registry, n, r6
 
 R = Registry()
@@ -142,8 +142,8 @@ _U = "(row_number() OVER (PARTITION BY lang ORDER BY {0}, doc_id) - 1) / nullif(
 
 @R.query("rank_blend", f"SELECT doc_id, round(0.7 * {_U.format('a')} + 0.3 * {_U.format('c')}, 6) AS blend FROM ({_S})")
 def rank_blend(t):
-    u = lambda s: Q.rank_unit(["lang"], s, "doc_id")
-    return _scores(t).select("doc_id", r6(0.7 * u("a") + 0.3 * u("c")).alias("blend"))
+    u = K.with_rank_unit(K.with_rank_unit(_scores(t), ["lang"], "a", "doc_id", "ua"), ["lang"], "c", "doc_id", "uc")
+    return u.select("doc_id", r6(0.7 * F.col("ua") + 0.3 * F.col("uc")).alias("blend"))
 
 
 @R.query("score_average", f"SELECT lang, round(avg((a + b + c) / 3), 6) AS m FROM ({_S}) GROUP BY 1")
@@ -154,8 +154,8 @@ def score_average(t):
 @R.query("cascade_rank", f"WITH u AS (SELECT *, {_U.format('a')} AS u FROM ({_S})) SELECT doc_id, round(CASE WHEN u >= 0.7 THEN 0.7 + 0.3 * (row_number() OVER (PARTITION BY lang, u >= 0.7 ORDER BY c, doc_id) - 1) / nullif(count(*) OVER (PARTITION BY lang, u >= 0.7) - 1, 0) ELSE u END, 6) AS s FROM u")
 def cascade_rank(t):
     """A second score orders the top three tenths of the first."""
-    u = _scores(t).withColumn("u", Q.rank_unit(["lang"], "a", "doc_id")).withColumn("top", F.col("u") >= 0.7)
-    return u.select("doc_id", r6(F.when(F.col("top"), 0.7 + 0.3 * Q.rank_unit(["lang", "top"], "c", "doc_id")).otherwise(F.col("u"))).alias("s"))
+    u = K.with_rank_unit(_scores(t), ["lang"], "a", "doc_id", "u").withColumn("top", F.col("u") >= 0.7)
+    return K.with_rank_unit(u, ["lang", "top"], "c", "doc_id", "u2").select("doc_id", r6(F.when(F.col("top"), 0.7 + 0.3 * F.col("u2")).otherwise(F.col("u"))).alias("s"))
 
 
 @R.query("select_by_validation", f"""WITH s AS (SELECT *, doc_id % 4 AS fold FROM ({_S})), l AS (UNPIVOT s ON a, b, c INTO NAME model VALUE v), m AS (SELECT fold, model, avg(v) FILTER (y = 1) / nullif(avg(v) FILTER (y = 0), 0) AS m FROM l GROUP BY 1, 2)

@@ -3,6 +3,7 @@
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from tidemark.operators import ranks as K
 from tidemark.operators import sequence as Q
 from tidemark.operators import temporal as T
 from tidemark.operators.metrics import percentiles
@@ -35,17 +36,17 @@ def cumcount(t):
 @R.query("rank_pct_avg", f"SELECT k, y, round((rank() OVER (PARTITION BY y ORDER BY floor(v / 1000)) + (count(*) OVER (PARTITION BY y, floor(v / 1000)) - 1) / 2) / count(*) OVER (PARTITION BY y), 6) AS pct FROM ({_Y})")
 def rank_pct_avg(t):
     df = _years(t).withColumn("g", F.floor(F.col("v") / 1000))
-    return df.select("k", "y", r6(Q.rank_pct("g", ["y"])).alias("pct"))
+    return K.with_rank_pct(df, ["y"], "g").select("k", "y", r6("pct").alias("pct"))
 
 
 @R.query("rank_unit", f"SELECT k, y, round((row_number() OVER (PARTITION BY y ORDER BY v, k) - 1) / nullif(count(*) OVER (PARTITION BY y) - 1, 0), 6) AS u FROM ({_Y})")
 def rank_unit(t):
-    return _years(t).select("k", "y", r6(Q.rank_unit(["y"], "v", "k")).alias("u"))
+    return K.with_rank_unit(_years(t), ["y"], "v", "k", "u").select("k", "y", r6("u").alias("u"))
 
 
 @R.query("decile_qcut", f"SELECT k, y, greatest(1, ceil((row_number() OVER (PARTITION BY y ORDER BY v, k) - 1) * 10 / (count(*) OVER (PARTITION BY y) - 1)))::BIGINT AS d FROM ({_Y})")
 def decile_qcut(t):
-    return _years(t).select("k", "y", n(Q.quantile_cut(["y"], "v", "k", 10)).alias("d"))
+    return K.with_quantile(_years(t), ["y"], "v", "k", 10, "d").select("k", "y", n("d").alias("d"))
 
 
 @R.query("trailing_stats", f"""SELECT k, y, CASE WHEN c >= 3 THEN round(m, 6) END AS mean, CASE WHEN c >= 3 THEN round(s, 6) END AS sd, CASE WHEN c >= 3 THEN round(g, 6) END AS slope FROM (SELECT k, y, count(v) OVER w AS c, avg(v) OVER w AS m, stddev_pop(v) OVER w AS s,
