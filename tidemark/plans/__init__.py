@@ -2,7 +2,7 @@
 
 import importlib
 
-MODULES = ("scans", "filters", "joins", "sequences", "aggregates", "accounting", "ranking", "learning", "text", "streams", "portfolios", "blocks", "ensembles", "files")
+MODULES = ("scans", "filters", "joins", "sequences", "aggregates", "accounting", "ranking", "learning", "text", "streams", "portfolios", "blocks", "ensembles", "files", "disclosures")
 
 
 def registered(attribute: str) -> dict:
