@@ -44,6 +44,28 @@ def text_flags2(t):
     f = {k: v for k, v in X.flags(F.col("text"), _MORE).items()}
     return t.documents.select("doc_id", *[v.alias(k) for k, v in f.items()])
 
+# RE2 has no look-ahead, so what needs one is tested by hand only.
+_TOLD = [k for k in X.ITEM_PATTERNS if k != "icfr_changed"]
+
+
+def _told(k):
+    p = _quoted(X.ITEM_PATTERNS[k])
+    if k == "auditor_tenure":
+        since = f"try_cast(regexp_extract(text, '{p}', 2) AS INT)"
+        return f"CASE WHEN {since} > 1900 AND {since} <= 2024 THEN 2024 - {since} END::BIGINT AS {k}"
+    return f"len(regexp_extract_all(text, '{p}'))::BIGINT AS {k}" if k.endswith(("_n", "_count")) else f"regexp_matches(text, '{p}')::BIGINT AS {k}"
+
+
+@R.query(
+    "block_item_flags",
+    f"""SELECT doc_id, {', '.join(f"regexp_matches(text, '{_quoted(X.WEAKNESS[k])}')::BIGINT AS {k}" for k in X.WEAKNESS_KINDS)}, ({' + '.join(f"regexp_matches(text, '{_quoted(X.WEAKNESS[k])}')::BIGINT" for k in X.WEAKNESS_KINDS)})::BIGINT AS mw_types_n,
+    {', '.join(_told(k) for k in _TOLD)}, round(log10(1 + length(text)), 6) AS len_9a FROM (SELECT doc_id, coalesce(text, '') AS text FROM documents)""",
+)
+def block_item_flags(t):
+    """The disclosures of an annual report; a text stands for each of its items, but is repeated nowhere."""
+    f = X.item_flags(dict.fromkeys(("1", "1A", "3", "5", "7", "8", "9A", "9B"), F.col("text")), F.lit(2024))
+    return t.documents.select("doc_id", *[(r6(c) if k == "len_9a" else c).alias(k) for k, c in f.items() if k != "icfr_changed"])
+
 
 _SYL = "greatest(1, len(regexp_extract_all(w, '[aeiouy]+')) - CASE WHEN ends_with(w, 'e') AND len(regexp_extract_all(w, '[aeiouy]+')) > 1 THEN 1 ELSE 0 END)"
 
