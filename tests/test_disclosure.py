@@ -106,3 +106,38 @@ def test_contradictions(spark, monkeypatch):
     assert got == want
     assert all(len({w[k] for w in want.values()}) > 2 for k in range(14))
     assert D.contradictions(df.limit(0), "id", "year").count() == 0
+
+
+def _audit(panel_row, audits, reports):
+    _, firm, t = panel_row
+    own = sorted((a for a in audits if a[0] == firm and a[0] is not None and a[1] is not None), key=lambda a: (a[1], a[7]))
+    now = [a for a in own if 0 <= (t - a[1]).days <= 400]
+    if not now:
+        return (None,) * 14
+    a = now[-1]
+    before = [b for b in own if (a[1] - b[1]).days > 300]
+    b = before[-1] if before else None
+    told = sorted((r for r in reports if r[0] == a[2] and r[0] is not None and r[1] is not None and r[2] is not None and r[1] < t), key=lambda r: (r[1], r[2]))
+    last, prior = (told[-1] if told else None), (told[-2][2] if len(told) > 1 else None)
+    audits_before = sum(1 for x in audits if x[0] is not None and x[1] and a[2] is not None and x[2] == a[2] and x[1].year == a[1].year - 1)
+    return (
+        *((last[2], prior, None if prior is None else round(last[2] - prior, 9), *last[3:6], round((t - last[1]).days / 365.25, 9)) if last else (None,) * 7),
+        None if a[2] is None else int(not told), None if b is None else int(a[2] != b[2]), None if b is None else int(a[3] != b[3]), a[4] or 0, a[5] or 0.0, None if a[6] is None else (a[6] - a[1]).days, audits_before,
+    )
+
+
+def test_audit_history(spark):
+    r = random.Random(9)
+    day = lambda: date(2015, 1, 1) + timedelta(r.randrange(2400))
+    some = lambda v: None if r.random() < 0.1 else v
+    audits = [(some(r.randrange(12)), some(day()), some(r.choice("AAAABCD")), some(r.randrange(3)), some(r.randrange(4)), some(round(r.random(), 3)), some(day()), i) for i in range(160)]
+    reports = [(some(r.choice("ABC")), some(day()), some(round(r.random(), 3)), r.randrange(50), r.randrange(50), r.randrange(2)) for _ in range(40)]
+    panel = [(i, some(r.randrange(14)), day()) for i in range(400)] + [(400 + i, a[0], a[1] + timedelta(gap)) for i, (a, gap) in enumerate(zip([a for a in audits if a[1]], [0, 400, 401] * 60))]
+    p = spark.createDataFrame(panel, "id long, firm long, t date").selectExpr("*", "1 as auditor", "2 as rate")
+    a = spark.createDataFrame(audits, "firm long, period_end date, auditor string, partner long, participants long, share double, signed date, form long").selectExpr("*", "'x' as id")
+    q = spark.createDataFrame(reports, "auditor string, day date, rate double, reviewed long, clients long, annual long").selectExpr("*", "'x' as t")
+    got = D.audit_history(p, a, q).collect()
+    told = lambda v: round(v, 9) if isinstance(v, float) else v
+    assert len(got) == len(panel)
+    assert {x.id: tuple(told(v) for v in x[1:]) for x in got} == {x[0]: _audit(x, audits, reports) for x in panel}
+    assert D.audit_history(p, a.limit(0), q.limit(0)).where("rate is null and never is null").count() == len(panel)

@@ -1,6 +1,6 @@
-"""How a firm files, and where its words disagree with its numbers. Both are as of the filing's day."""
+"""How a firm files, who audits it, and where its words disagree with its numbers. All is as of the filing's day."""
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.operators import ranks
@@ -66,6 +66,43 @@ def filing_behaviour(panel: DataFrame, links: DataFrame, filings: DataFrame) ->
     return x.select(*names).unionByName(missing, allowMissingColumns=True).select(*names)
 
 
+def audit_history(panel: DataFrame, audits: DataFrame, reports: DataFrame) -> DataFrame:
+    """id and the measures of the auditor of each filing in panel (id, firm, t).
+
+    audits: firm, period_end, auditor, partner, participants, share, signed (a day), form (a number, which settles ties); reports: auditor, day, rate,
+    reviewed, clients, annual. The audit is the firm's last one whose period ended within the 400 days up to t; the one before it ended more
+    than 300 days earlier. From these: auditor_changed and partner_changed (null without an earlier audit; null and anything else
+    differ), participants and participant_share (0 where none is told), report_lag in days, auditor_audits (of the calendar year before
+    the period's). From the auditor's last report before t: rate, rate_before and trend (null without an earlier report), reviewed,
+    clients, annual, years_since; never is 1 where there is none yet, and null as all else without an audit. Audits without firm or
+    period_end and reports without auditor, day or rate are left out.
+
+    A report holds until the next one, so filings meet reports by auditor and span of days: an auditor of a third of all filings is joined in
+    as many tasks as AQE makes of it, and not sorted in one.
+    """
+    a = audits.dropna(subset=["firm", "period_end"]).select("firm", F.col("period_end").cast("date").alias("end"), "auditor", "partner", "participants", "share", F.col("signed").cast("date").alias("signed"), "form")
+    x = panel.select("id", F.col("firm").alias("_firm"), F.col("t").cast("date").alias("t"))
+    values = ["end", "auditor", "partner", "participants", "share", "signed"]
+    x = T.asof_backward(x, a.withColumnRenamed("firm", "_firm"), "_firm", "t", "end", values, strict=False, tolerance=400, order="form").drop("_day")
+    before = a.select(F.col("firm").alias("_firm"), "end", "form", F.col("auditor").alias("_auditor"), F.col("partner").alias("_partner"))
+    x = T.asof_backward(x.withColumn("_t", F.date_sub("end", 300)), before, "_firm", "_t", "end", ["_auditor", "_partner"], order="form")
+    size = a.groupBy(F.col("auditor").alias("_a"), (F.year("end") + 1).alias("_y")).agg(F.count("*").alias("_audits"))
+    x = x.join(size, (F.col("auditor") == F.col("_a")) & (F.year("end") == F.col("_y")), "left")
+    r = reports.dropna(subset=["auditor", "day", "rate"])
+    w = Window.partitionBy("auditor").orderBy("day", "rate", "reviewed", "clients", "annual")
+    r = r.select(F.col("auditor").alias("_by"), F.col("day").cast("date").alias("_from"), F.lead(F.col("day").cast("date")).over(w).alias("_to"), "rate", F.lag("rate").over(w).alias("rate_before"), "reviewed", "clients", "annual")
+    x = x.join(r, (F.col("auditor") == F.col("_by")) & (F.col("t") > F.col("_from")) & (F.col("_to").isNull() | (F.col("t") <= F.col("_to"))), "left")
+    had, told = F.col("_day").isNotNull() & F.col("end").isNotNull(), F.col("end").isNotNull()
+    differs = lambda c: F.when(had, (~F.col(c).eqNullSafe(F.col(f"_{c}"))).cast("long"))
+    or0 = lambda c: F.when(told, F.coalesce(F.col(c), F.lit(0)))
+    out = {
+        "rate": F.col("rate"), "rate_before": F.col("rate_before"), "trend": F.col("rate") - F.col("rate_before"), "reviewed": F.col("reviewed"), "clients": F.col("clients"), "annual": F.col("annual"),
+        "years_since": F.datediff("t", "_from") / 365.25, "never": F.when(F.col("auditor").isNotNull(), F.col("_from").isNull().cast("long")), "auditor_changed": differs("auditor"), "partner_changed": differs("partner"),
+        "participants": or0("participants"), "participant_share": or0("share"), "report_lag": F.datediff("signed", "end").cast("long"), "auditor_audits": or0("_audits"),
+    }
+    return x.select("id", *[c.alias(k) for k, c in out.items()])
+
+
 def change_of(now: str, before: str) -> Column:
     """The change over the size of the earlier value, which counts as 1 at least."""
     return (F.col(now) - F.col(before)) / F.greatest(F.lit(1.0), F.abs(F.col(before)))

@@ -38,6 +38,32 @@ def block_filing_behaviour(t):
     return x.select("entity", n("year").alias("year"), "firm", "doy", F.col("lag_vs_median").cast("double").alias("lag_vs_median"), *[n(k).alias(k) for k in _COUNTS], r6("firm_age").alias("firm_age"), n("not_found").alias("not_found"))
 
 
+@R.query(
+    "block_auditor",
+    """WITH o AS (SELECT *, o_orderdate::DATE AS d FROM orders), a AS (SELECT o_custkey AS firm, d AS e, o_orderkey % 40 AS auditor, o_orderkey % 3 AS partner, nullif(o_orderkey % 5, 0) AS participants, CASE WHEN o_orderkey % 5 > 0 THEN o_totalprice END AS share,
+    CASE WHEN o_orderkey % 7 > 0 THEN d + (o_orderkey % 90)::INT END AS signed, o_orderkey AS form FROM o WHERE o_orderpriority < '3'),
+    r AS (SELECT *, lead(day) OVER w AS next, lag(rate) OVER w AS rate_before FROM (SELECT o_orderkey % 40 AS auditor, max(d) AS day, avg(o_totalprice) AS rate, count(*) AS reviewed, count(DISTINCT o_custkey) AS clients, year(d) % 2 AS annual FROM o WHERE o_orderpriority = '5-LOW' AND o_orderkey % 40 > 4 GROUP BY 1, year(d)) WINDOW w AS (PARTITION BY auditor ORDER BY day)),
+    x AS (SELECT o_orderkey AS id, o_custkey AS k, d AS t, a.* FROM o LEFT JOIN a ON firm = o_custkey AND d - e BETWEEN 0 AND 400 QUALIFY row_number() OVER (PARTITION BY o_orderkey ORDER BY e DESC, form DESC) = 1),
+    y AS (SELECT x.*, b.auditor AS auditor0, b.partner AS partner0, b.firm IS NOT NULL AS had FROM x LEFT JOIN a b ON b.firm = k AND b.e < x.e - 300 QUALIFY row_number() OVER (PARTITION BY id ORDER BY b.e DESC, b.form DESC) = 1),
+    s AS (SELECT auditor, year(e) + 1 AS y, count(*) AS audits FROM a GROUP BY 1, 2)
+    SELECT id, round(rate, 2) AS rate, round(rate_before, 2) AS rate_before, round(rate - rate_before, 2) AS trend, reviewed, clients, annual, round((t - day) / 365.25, 6) AS years_since, CASE WHEN y.auditor IS NOT NULL THEN (day IS NULL)::BIGINT END AS never,
+    CASE WHEN had THEN (y.auditor <> auditor0)::BIGINT END AS auditor_changed, CASE WHEN had THEN (partner <> partner0)::BIGINT END AS partner_changed, CASE WHEN e IS NOT NULL THEN coalesce(participants, 0) END AS participants, CASE WHEN e IS NOT NULL THEN coalesce(share, 0) END AS participant_share,
+    (signed - e)::BIGINT AS report_lag, CASE WHEN e IS NOT NULL THEN coalesce(audits, 0) END AS auditor_audits FROM y LEFT JOIN r ON r.auditor = y.auditor AND t > day AND (next IS NULL OR t <= next) LEFT JOIN s ON s.auditor = y.auditor AND s.y = year(e)""",
+)
+def block_auditor(t):
+    """Orders as filings; urgent ones carry the audit, slow ones of a year make an auditor's report; five auditors have none."""
+    k, d = F.col("o_orderkey"), day("o_orderdate")
+    audits = t.orders.where("o_orderpriority < '3'").select(
+        F.col("o_custkey").alias("firm"), d.alias("period_end"), (k % 40).alias("auditor"), (k % 3).alias("partner"), F.when(k % 5 > 0, k % 5).alias("participants"), F.when(k % 5 > 0, F.col("o_totalprice")).alias("share"),
+        F.when(k % 7 > 0, F.date_add(d, (k % 90).cast("int"))).alias("signed"), k.alias("form"),
+    )
+    slow = t.orders.where("o_orderpriority = '5-LOW' AND o_orderkey % 40 > 4").groupBy((k % 40).alias("auditor"), F.year("o_orderdate").alias("y"))
+    reports = slow.agg(F.max(d).alias("day"), F.avg("o_totalprice").alias("rate"), F.count("*").alias("reviewed"), F.count_distinct("o_custkey").alias("clients")).withColumn("annual", n(F.col("y") % 2))
+    x = D.audit_history(t.orders.select(k.alias("id"), F.col("o_custkey").alias("firm"), d.alias("t")), audits, reports)
+    r2 = lambda c: F.round(c, 2).alias(c)
+    return x.select("id", r2("rate"), r2("rate_before"), r2("trend"), "reviewed", "clients", "annual", r6("years_since").alias("years_since"), "never", "auditor_changed", "partner_changed", "participants", "participant_share", "report_lag", "auditor_audits")
+
+
 # Words of the given texts stand for words of good and bad news.
 _GOOD, _BAD, _STRONG, _CLAIM, _ADJUSTED = "an", "en", "[Tt]h", "ion[.]", "[0-9][0-9]"
 _W = "greatest(1, len(regexp_extract_all(text, '[A-Za-z]{2,}')))"
