@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from tidemark.operators import disclosure as D
+from tidemark.operators import facts
 from tidemark.plans.registry import Registry, day, n, r6
 from tidemark.sources.writers import shared_folder
 
@@ -64,6 +65,29 @@ def block_auditor(t):
     return x.select("id", r2("rate"), r2("rate_before"), r2("trend"), "reviewed", "clients", "annual", r6("years_since").alias("years_since"), "never", "auditor_changed", "partner_changed", "participants", "participant_share", "report_lag", "auditor_audits")
 
 
+_SUMS = {
+    "assets": "l_returnflag <> 'A'", "restructuring": "l_linenumber % 5 = 0", "deferred": "l_linenumber % 5 = 1", "pretax": "l_linestatus = 'O'",
+    "foreign": "l_linenumber % 5 = 2", "current_tax": "l_linenumber % 5 = 3", "allowance": "l_returnflag = 'N'", "prior_allowance": "l_returnflag = 'R'",
+}
+
+
+@R.query(
+    "block_determinants",
+    f"""WITH v AS (SELECT l_orderkey AS id, {", ".join(f"sum(l_extendedprice) FILTER ({c}) AS {k}" for k, c in _SUMS.items())}, count(DISTINCT l_suppkey % 3) AS n_segments, count(DISTINCT CASE WHEN l_returnflag <> 'A' THEN l_returnflag END) AS n_geographies FROM lineitem GROUP BY 1),
+    x AS (SELECT o_orderkey, o_orderdate::DATE AS d, min(o_orderdate::DATE) OVER (PARTITION BY o_custkey) AS a, v.*, assets > 0 AS big FROM orders LEFT JOIN v ON id = o_orderkey)
+    SELECT o_orderkey AS id, round((d - a) / 365.25, 6) AS firm_age, coalesce(n_segments, 0) AS n_segments, coalesce(n_geographies, 0) AS n_geographies, CASE WHEN big THEN round(coalesce(restructuring, 0) / assets, 6) END AS restructuring, CASE WHEN big THEN round(deferred / assets, 6) END AS deferred,
+    CASE WHEN big AND foreign_ IS NOT NULL AND pretax <> 0 THEN round(greatest(-2, least(2, foreign_ / abs(pretax))), 6) END AS foreign_share, CASE WHEN big THEN round((pretax - current_tax / 0.21) / assets, 6) + 0 END AS tax_gap, CASE WHEN big THEN round((allowance - prior_allowance) / assets, 6) + 0 END AS allowance_change,
+    CASE WHEN big THEN (coalesce(foreign_, 0) <> 0)::BIGINT END AS has_foreign, CASE WHEN big THEN (coalesce(restructuring, 0) <> 0)::BIGINT END AS has_restructuring, CASE WHEN big THEN (coalesce(allowance, 0) <> 0)::BIGINT END AS has_allowance FROM x""".replace(" AS foreign,", " AS foreign_,"),
+)
+def block_determinants(t):
+    """An order's lines as its facts: suppliers' numbers are segments, flags geographies. Sums of prices stand for items of the statements."""
+    of = t.lineitem.groupBy(F.col("l_orderkey").alias("id")).agg(*[F.sum(F.when(F.expr(c), F.col("l_extendedprice"))).alias(k) for k, c in _SUMS.items()])
+    parts = F.concat(F.lit("segments="), (F.col("l_suppkey") % 3).cast("string"), F.when(F.col("l_returnflag") != "A", F.concat(F.lit(";geography="), "l_returnflag")).otherwise(""))
+    filings = t.orders.select(F.col("o_orderkey").alias("id"), F.col("o_custkey").alias("firm"), day("o_orderdate").alias("filed"))
+    x = facts.determinants(filings, of, t.lineitem.select(F.col("l_orderkey").alias("id"), parts.alias("parts")), filings.select("firm", F.col("filed").alias("day")), "segments=", "geography=")
+    return x.select(*[c if c == "id" or c.startswith(("n_", "has_")) else r6(c).alias(c) for c in x.columns])
+
+
 # Words of the given texts stand for words of good and bad news.
 _GOOD, _BAD, _STRONG, _CLAIM, _ADJUSTED = "an", "en", "[Tt]h", "ion[.]", "[0-9][0-9]"
 _W = "greatest(1, len(regexp_extract_all(text, '[A-Za-z]{2,}')))"
