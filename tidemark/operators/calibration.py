@@ -68,7 +68,9 @@ def calibrated(train: DataFrame, df: DataFrame, group: str, score: str, y: str,
     rows = ranged(keyed(df).withColumn("_s", F.col(score).cast("double")).where("_s is not null"))
     both = rows.withColumn("_point", F.lit(None).cast(points.select(point.alias("p")).schema["p"].dataType)).unionByName(points.select("_key", "_s", "_r", point.alias("_point")), allowMissingColumns=True)
     at = Window.partitionBy("_key", "_r").orderBy("_s")
-    both = both.withColumns({"_low": F.last("_point", True).over(at.rangeBetween(Window.unboundedPreceding, 0)), "_high": F.first("_point", True).over(at.rangeBetween(0, Window.unboundedFollowing))})
+    # From the highest score down: a frame that looks ahead is gone through again for each row.
+    back = Window.partitionBy("_key", "_r").orderBy(F.desc("_s")).rangeBetween(Window.unboundedPreceding, 0)
+    both = both.withColumns({"_low": F.last("_point", True).over(at.rangeBetween(Window.unboundedPreceding, 0)), "_high": F.last("_point", True).over(back)})
     both = both.where("_point is null").join(spine, F.col("_key").eqNullSafe(F.col("_k")) & (F.col("_r") == F.col("_q")), "left")
     low, high = F.coalesce("_low", "_before"), F.coalesce("_high", "_after")
     gap = high["_s"] - low["_s"]
