@@ -1,8 +1,10 @@
 """Steps that cost a row of a large group no more than one of a small group: no frame looks ahead, no group has a call of its own."""
 
 import random
+from datetime import date, timedelta
 
 from tidemark.operators import calibration
+from tidemark.operators import temporal as T
 
 
 def _plan(df):
@@ -13,6 +15,22 @@ def _looks_ahead(df):
     return "RangeFrame, currentrow" in _plan(df)
 
 
+def test_asof_forward_by_hand(spark):
+    r = random.Random(5)
+    at = lambda n: date(2020, 1, 1) + timedelta(days=n)
+    left = [(i, r.choice("abc"), r.randrange(120)) for i in range(200)] + [(200, "none", 5), (201, None, 5)]
+    right = [(r.choice("abc"), r.randrange(120), r.random()) for _ in range(40)]
+    want = {}
+    for i, k, d in left:
+        near = [(e, v) for key, e, v in right if key == k and d <= e <= d + 7]
+        want[i] = min(near) if near else None
+    a = spark.createDataFrame([(i, k, at(d)) for i, k, d in left], "id long, k string, t date")
+    b = spark.createDataFrame([(k, at(d), v) for k, d, v in right], "k string, day date, v double")
+    out = T.asof_forward(a, b, "k", "t", "day", ["v"], 7)
+    got = {x.id: ((x._day - at(0)).days, x.v) if x._day else None for x in out.collect()}
+    assert got == want and not _looks_ahead(out)
+
+
 def test_calibrated_rows_look_back_only(spark):
     r = random.Random(2)
     train = spark.createDataFrame([("g", s := r.random(), int(r.random() < s)) for _ in range(2000)], "grp string, s double, y int")
