@@ -25,7 +25,9 @@ def tfidf(docs: DataFrame, key: str, text: str, min_df: int = 5, max_share: floa
     scaled so that the squares of a document sum to 1. Null and empty texts count among the n documents only; rows of one key count
     as one document. The vocabulary is at most `cap` terms and is sent to every executor: a frequent word is no hot key.
     """
-    w = docs.select(F.col(key).alias("_k"), F.regexp_extract_all(F.lower(text), F.lit("[a-z]{2,}"), F.lit(0)).alias("w"))
+    # Texts are dealt by key, and their terms, which are many times as much, are counted where the texts then are.
+    texts = docs.select(F.col(key).alias("_k"), F.lower(text).alias("t")).groupBy("_k").agg(F.collect_list("t").alias("t"))
+    w = texts.select("_k", F.explode("t").alias("t")).select("_k", F.regexp_extract_all("t", F.lit("[a-z]{2,}"), F.lit(0)).alias("w"))
     bag = w.select("_k", F.explode(grams("w")).alias("term")).groupBy("_k", "term").agg(F.count("*").alias("c"))
     vocab = vocabulary(bag, docs.agg(F.count_distinct(F.struct(key)).alias("n")), min_df, max_share, cap)
     x = bag.join(F.broadcast(vocab), "term").withColumn("s", (1 + F.log("c")) * (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1))
