@@ -48,6 +48,20 @@ def test_counts_and_scores_equal_brute_force(spark, shards, slots):
     assert sorted(got, key=lambda r: (r[0], -r[6], -r[2], r[1].encode())) == want and len(want) > 60
 
 
+def test_phrases_of_late_words_that_share_slots_are_counted_whole(spark):
+    """A part may share its slot with an earlier phrase while its own words are frequent in the second shard only."""
+    r = random.Random(53)
+    rows = []
+    for i in range(240):
+        late = i % 4 == 3
+        told = [["a", "p", "q", "c"], ["q", "s", "b", "a"], ["b", "c", "d", "e"], ["a", "b", "c", "p"]] if late else [["b", "c", "d", "e"]]
+        words = [w for _ in range(r.randrange(5, 60)) for w in [r.choice("abcde" + "pqs" * late)] + r.choice(told) * (r.random() < 0.2)]
+        rows.append(("en", " ".join(words)))
+    f, _ = by_hand(rows, 12)
+    counts = C.phrase_counts(spark.createDataFrame(rows, "lang string, text string").coalesce(1), least=12, shards=2, slots=301)[0]
+    assert {(x.lang, tuple(x.phrase.split(" "))): x.n for x in counts.collect()} == {k: v for k, v in f.items() if v >= 12}
+
+
 def test_query_equals_sql(spark, tmp_path):
     import duckdb
 

@@ -2,7 +2,7 @@ r"""Phrases whose words keep together, mined by dynamic itemset counting.
 
 The texts are dealt to shards, which are scanned in a cycle. Words are counted from the start. A longer phrase is activated at the step after which both its
 subphrases, without its last and without its first word, have been seen often enough; from there on it is counted through one full cycle, so
-its count is exact though lengths are counted side by side. The start of a longer phrase is the later one of its two subphrases' steps.
+its count is exact though lengths are counted side by side. The start of a longer phrase is the latest of its two subphrases' steps and starts.
 
 The steps are remembered in a table of fixed size (SLOTS entries a length, by a hash of the phrase): a slot has the first step after which any of its
 phrases was frequent. Phrases that share a slot with a frequent one start some longer phrases too many and none too few, and as a slot never changes
@@ -68,7 +68,8 @@ def _counted(lang: str, texts: list[bytes], step: int, cycle: int, live: list[in
             gram = np.full(max(0, len(left)), -1)
             gram[at] = code
             one, two = np.divmod(pairs, max(1, len(rows)))
-            start = np.maximum(first[one], first[two])
+            # Not before both parts are told apart in every scan: a slot shared with an earlier phrase may be older than a part's own parts.
+            start = np.maximum(np.maximum(first[one], first[two]), np.maximum(start[one], start[two]))
             rows = np.concatenate([rows[one], rows[two][:, -1:]], 1)
         mixed = np.full(len(rows), 0x9E3779B97F4A7C15, "uint64")
         for c in range(k):
@@ -195,8 +196,8 @@ def _cycles(spark, docs: DataFrame, text_col: str, lang_col: str, longest: int,
             at = part["slot"].to_numpy()
             at = at[s[at] == _NEVER]
             s[at] = step + 1
-            if len(at):
-                until[int(k) + 1] = step + 1 + shards
+            if len(at):  # Longer phrases wait for all their parts.
+                until[int(k) + 1 :] = [step + 1 + shards] * (longest - int(k))
         step += 1
     out = ended[0]
     for e in ended[1:]:
