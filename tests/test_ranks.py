@@ -94,6 +94,25 @@ def test_median_imputation(spark, small_ranges):
     assert got[0].a_missing == 1.0 and got[1].a == 1.0 and "none_missing" not in got[0]
 
 
+@pytest.mark.parametrize("at_once", [0, 2_000_000])
+def test_firms_that_share_persons_get_lists(spark, monkeypatch, at_once):
+    """What is shuffled follows the links and not the pairs of firms, with the pairs of a firm counted as an array or as rows."""
+    monkeypatch.setattr(network, "PAIRS_AT_ONCE", at_once, raising=False)
+    r = random.Random(2)
+    links = [(f, p) for p in range(300) for f in r.sample(range(1500), 40)]
+    written = lambda: spark.sparkContext._jsc.sc().statusStore().executorList(False).apply(0).totalShuffleWrite()
+    before = written()
+    got = {x.firm: (x.linked, x.flagged) for x in network.linked(spark.createDataFrame(links, "firm long, person long"), spark.createDataFrame([(f,) for f in range(0, 1500, 9)], "firm long")).collect()}
+    sent = written() - before
+    firms, want = {}, {}
+    for f, p in links:
+        firms.setdefault(p, set()).add(f)
+    for f, p in links:
+        want.setdefault(f, set()).update(firms[p] - {f})
+    assert got == {f: (len(o), sum(x % 9 == 0 for x in o)) for f, o in want.items()} and sum(map(len, want.values())) > 400_000
+    assert sent < 4_000_000, sent
+
+
 @pytest.mark.parametrize("hot", [1, 5, 1000])
 def test_firms_that_share_persons(spark, hot):
     r = random.Random(hot)

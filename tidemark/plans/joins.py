@@ -282,7 +282,7 @@ def name_match_unique(t):
 )
 def two_hop_links(t):
     """Firms reached through a shared person; persons of more than 1,000 firms are taken as sets."""
-    e = t.lineitem.select(F.col("l_suppkey").alias("firm"), F.col("l_partkey").alias("person")).distinct()
+    e = t.lineitem.select(F.col("l_suppkey").alias("firm"), F.col("l_partkey").alias("person"))
     bad = t.supplier.where("s_acctbal < 0").select(F.col("s_suppkey").alias("firm"))
     return network.linked(e, bad).select("firm", n("linked").alias("linked"), n("flagged").alias("flagged"))
 
