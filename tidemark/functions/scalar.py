@@ -65,8 +65,9 @@ def day_of_fiscal_year(d: Column, last_month: int = 5) -> Column:
 
 
 def parse_date(s: Column) -> Column:
-    """The first of four formats that fits; otherwise null."""
-    return F.coalesce(*[F.try_to_date(s, f) for f in ("yyyyMMdd", "yyyy-MM-dd", "dd-MMM-yyyy", "MMMM d yyyy")])
+    """The one of four formats that fits; otherwise null. Only that which a text's signs allow is tried, as a failure costs an exception."""
+    known = F.when(s.rlike("^[A-Za-z]"), F.try_to_date(s, "MMMM d yyyy")).when(s.rlike("[A-Za-z]"), F.try_to_date(s, "dd-MMM-yyyy"))
+    return known.when(s.rlike(".-"), F.try_to_date(s, "yyyy-MM-dd")).otherwise(F.try_to_date(s, "yyyyMMdd"))
 
 
 def in_range_or_kept(s: Column, low: int, high: int) -> Column:
