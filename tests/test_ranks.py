@@ -94,6 +94,14 @@ def test_median_imputation(spark, small_ranges):
     assert got[0].a_missing == 1.0 and got[1].a == 1.0 and "none_missing" not in got[0]
 
 
+def test_medians_are_looked_up_once(spark, small_ranges):
+    """What is fitted reads the imputed rows many times over, so their plan must not order the values again."""
+    df = spark.range(0, 500).select("id", F.when(F.col("id") % 3 > 0, F.col("id").cast("double")).alias("a"), F.lit(None).cast("double").alias("none"))
+    got = models.impute_median(df, ["a", "none"], F.col("id") < 100)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Join" not in plan and {(r.a, r.none) for r in got.where("id % 3 = 0").collect()} == {(49.5, 0.0)}
+
+
 @pytest.mark.parametrize("at_once", [0, 2_000_000])
 def test_firms_that_share_persons_get_lists(spark, monkeypatch, at_once):
     """What is shuffled follows the links and not the pairs of firms, with the pairs of a firm counted as an array or as rows."""

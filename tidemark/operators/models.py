@@ -8,14 +8,14 @@ from tidemark.operators.metrics import percentiles
 
 def impute_median(df: DataFrame, features: list[str], train: Column, plain: int = 0) -> DataFrame:
     """Nulls become the training median (0 for a column without values), and each feature but the last `plain` ones gets an indicator
-    <name>_missing. Exact medians of all features at once, over ranges of their values; a row of them is sent to the executors."""
+    <name>_missing. Exact medians of all features at once, over ranges of their values, found while the query is planned; the plan holds them as numbers."""
     long = df.where(train).select(*[F.col(f).cast("double").alias(f) for f in features]).unpivot([], features, "feature", "v")
     q = percentiles(long, "v", [0.5], ["feature"], ["m"])
-    medians = q.agg(*[F.coalesce(F.max(F.when(F.col("feature") == f, F.col("m"))), F.lit(0.0)).alias(f"_m_{f}") for f in features])
-    df = df.crossJoin(F.broadcast(medians))
+    # Looked up once, a row for each feature: what is fitted reads its rows many times over.
+    medians = {r["feature"]: r["m"] for r in q.collect() if r["m"] is not None}
     flagged = features[: len(features) - plain]
-    df = df.withColumns({f"{f}_missing": F.col(f).isNull().cast("double") for f in flagged} | {f: F.coalesce(F.col(f).cast("double"), F.col(f"_m_{f}")) for f in features})
-    return df.drop(*[f"_m_{f}" for f in features])
+    df = df.withColumns({f"{f}_missing": F.col(f).isNull().cast("double") for f in flagged} | {f: F.coalesce(F.col(f).cast("double"), F.lit(medians.get(f, 0.0))) for f in features})
+    return df
 
 
 def standardise(df: DataFrame, features: list[str], train: Column) -> DataFrame:
