@@ -185,23 +185,20 @@ _NOW, _PRIOR = "floor(l_extendedprice)", "floor(l_quantity * 1000 + l_partkey %
 def fee_parse(t):
     """Fee tables are read back from reports that are written from an order's lines, after a mention of fees in prose."""
     cell = lambda c: F.format_number(c, 0)
-    row = F.concat_ws(" ", _chosen({i: name for i, (_, name) in _FEE_LINES.items()}), F.concat(F.lit("$ "), cell("now")), cell("prior"))
-    lines = t.lineitem.where("l_linenumber <= 4").groupBy("l_orderkey", "l_linenumber").agg(F.max(F.floor("l_extendedprice")).alias("now"), F.max(F.floor(F.col("l_quantity") * 1000 + F.col("l_partkey") % 1000)).alias("prior"))
-    rows = lines.groupBy("l_orderkey").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("l_linenumber", row.alias("row")))), lambda x: x["row"]), "\n").alias("rows"))
+    line = lambda c, i: F.max(F.when(F.col("l_linenumber") == i, c))
+    now, prior = F.floor("l_extendedprice"), F.floor(F.col("l_quantity") * 1000 + F.col("l_partkey") % 1000)
+    # One shuffle: an order's lines are columns, null where it has none.
+    orders = t.lineitem.groupBy("l_orderkey").agg(*[line(c, i).alias(f"{k}{i}") for i in _FEE_LINES for k, c in (("has", F.lit(1)), ("now", now), ("prior", prior))])
+    row = lambda i, name: F.when(F.col(f"has{i}") == 1, F.concat_ws(" ", F.lit(name), F.concat(F.lit("$ "), cell(f"now{i}")), cell(f"prior{i}")))
+    some = F.greatest(*[F.col(f"has{i}") for i in _FEE_LINES]) == 1
+    rows = orders.select("l_orderkey", F.when(some, F.concat_ws("\n", *[row(i, name) for i, (_, name) in _FEE_LINES.items()])).alias("rows"))
     text = F.concat(F.lit("The committee approved all audit fees of 2001 in advance.\nFees 2001 2000\n"), F.col("rows"), F.lit("\nSee note 12 on total assets of 2001."))
     # Orders without a first line have no audit fees, so their table is none.
-    f = t.lineitem.select("l_orderkey").distinct().join(rows, "l_orderkey", "left").select("l_orderkey", X.fees(text).alias("f"))
+    f = rows.select("l_orderkey", X.fees(text).alias("f"))
     names = ("audit", "related", "tax", "other", "total", "audit_prior", "total_prior")
     return f.select("l_orderkey", *[F.col(f"f.{k}").alias(k) for k in names])
 
 
-def _chosen(names: dict[int, str]):
-    out = F.lit(None).cast("string")
-    for i, name in names.items():
-        out = F.when(F.col("l_linenumber") == i, name).otherwise(out)
-    return out
-
-
 @R.query("extract_years", r"SELECT page_id, array_to_string(list_sort(list_distinct(list_filter(regexp_extract_all(url, '[0-9]{4}')::BIGINT[], lambda y: y BETWEEN 1005 AND 8026)))::VARCHAR[], ',') AS years FROM pages")
 def extract_years(t):
     found = F.transform(F.regexp_extract_all("url", F.lit("[0-9]{4}"), F.lit(0)), lambda y: y.cast("long"))
