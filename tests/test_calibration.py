@@ -97,6 +97,30 @@ def test_no_label_after_the_cutoff_reaches_a_score(spark):
     assert set(a) == set(early) and all(a[k] == pytest.approx(b[k]) for k in early) and len(set(a.values())) > 50
 
 
+def test_rolling_works_out_its_rows_once(spark):
+    """However many cut-offs and passes of fits there are; rows from the last cut-off on are left out."""
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for pdf in batches:
+            seen.add(len(pdf))
+            yield pdf
+
+    data = [(i, date(2000, 1, 1) + timedelta(i * 10), float(i % 7), date(2000, 2, 1) + timedelta(i * 10) if i % 3 else None) for i in range(150)]
+    df = spark.createDataFrame(data, "k long, d date, x double, event date")
+    fit = lambda train, rows: rows.withColumn("score", F.lit(train.agg(F.avg("y")).first()[0]) + F.col("x") * train.count()).select("k", "score")
+    got = refit.rolling(df.mapInPandas(count, df.schema), "d", "event", ["2001-01-01", "2002-01-01", "2003-01-01"], fit).collect()
+    assert seen.value == len(data)
+
+    def score(i, cut):
+        past = [e is not None and e < cut for _, d, _, e in data if d < cut]
+        return sum(past) / len(past) + data[i][2] * len(past)
+
+    cuts = [date(2001, 1, 1), date(2002, 1, 1), date(2003, 1, 1)]
+    want = {(i, str(a)): score(i, a) for a, b in zip(cuts, cuts[1:], strict=False) for i, d, *_ in data if a <= d < b}
+    assert {(r.k, r.cutoff): r.score for r in got} == pytest.approx(want) and len(got) == len(want)
+
+
 def test_search_is_seeded_and_finds_the_plain_winner(spark):
     space = {"shift": [0, 1, 2, 3], "sign": [1, -1]}
     assert refit.parameter_table(space, 5, 3) == refit.parameter_table(space, 5, 3) != refit.parameter_table(space, 5, 4)

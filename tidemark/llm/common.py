@@ -1,11 +1,10 @@
 """What the operators of this subpackage share: reading tables, words, kept intermediate results."""
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.operators.kept import forget, keep, shared_dir  # noqa: F401
+
 #: A word is a run of characters other than ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 SPACE = r"[\x20\x09-\x0D]+"
@@ -18,39 +17,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or the context's checkpoint folder.
-
-    On one machine, as in tests, a temporary folder does where neither is set. On a cluster that would be another folder on each
-    machine, so there it is an error.
-    """
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or _LOCAL.get(spark.sparkContext.applicationId)
-    if not folder:
-        if not (spark.sparkContext.master + "[").startswith("local["):
-            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-        folder = _LOCAL[spark.sparkContext.applicationId] = tempfile.mkdtemp(prefix="tidemark-")
-    return folder.rstrip("/")
-
-
-#: Temporary folders by application.
-_LOCAL: dict[str, str] = {}
-
-
-def keep(df: DataFrame, name: str, **options) -> DataFrame:
-    """Write df to the shared folder and read it back: cuts the lineage and survives lost executors. A run's files lie in one folder,
-    named by the application, which forget removes."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path, **options)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def forget(spark: SparkSession) -> None:
-    """Removes what this application has kept; to be called when its results are written, as they read these files until then."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/{spark.sparkContext.applicationId}")
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
-
-
 def words(text: Column) -> Column:
     """The words of a text in order; null and blank texts have none."""
     return F.array_remove(F.split(F.coalesce(text, F.lit("")), SPACE), "")

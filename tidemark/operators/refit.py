@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.operators.kept import keep
+
 
 def as_of(df: DataFrame, day: str, event: str, cutoff: str, y: str = "y") -> DataFrame:
     """Rows before the cut-off with the label known at it: 1 if the event was reported before the cut-off."""
@@ -19,7 +21,10 @@ def rolling(df: DataFrame, day: str, event: str, cutoffs: list[str], fit: Callab
 
     cutoffs rise; rows from each to the next are scored by fit(train, rows), train being all earlier rows with labels as of the cut-off. The rows to be scored
     carry no label and no event, so that neither labels nor statistics from after a cut-off can reach a score. The last cut-off ends the last window.
+
+    Every fit reads its rows many times over, so they are worked out and written once, in tasks by their size; df should have no columns beyond those that fit needs.
     """
+    df = keep(df.where(F.col(day) < F.lit(cutoffs[-1]).cast("date")), "rolling")
     parts = []
     for start, end in zip(cutoffs, cutoffs[1:], strict=False):
         rows = df.where((F.col(day) >= F.lit(start).cast("date")) & (F.col(day) < F.lit(end).cast("date"))).drop(event, y)

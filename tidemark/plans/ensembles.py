@@ -106,7 +106,7 @@ def rolling_refit(t):
     o = _orders(t)
     late = t.lineitem.groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.max(F.col("l_shipdate").cast("date")).alias("last"))
     o = o.join(late, "o_orderkey").withColumn("event", F.when(F.datediff("last", "d") > 90, F.col("last"))).drop("y", "last")
-    got = refit.rolling(o, "d", "event", ["1996-01-01", "1997-01-01", "1998-01-01", "1999-01-01"], _fit_rolling)
+    got = refit.rolling(o.select("o_orderkey", "d", "event", "total", "lines"), "d", "event", ["1996-01-01", "1997-01-01", "1998-01-01", "1999-01-01"], _fit_rolling)
     return got.select("o_orderkey", "cutoff", r6("score").alias("score"))
 
 
