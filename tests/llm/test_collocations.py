@@ -87,3 +87,22 @@ def test_long_texts():
     parts = list(C._pieces(text))
     assert len(parts) > 1 and b",".join(parts) == text and max(map(len, parts)) < 2 * C.CHUNK + 100
     assert list(C._pieces(b"x " * 7_000_000)) == [b"x " * 7_000_000]
+
+
+def test_texts_are_cut_into_words_once(monkeypatch):
+    """What every scan counts are numbered words: lots put together again give the words of their texts, and no text is cut into words then."""
+    lots = [["A b, c a", "d\te"], ["e e . zz"], [""], ["b\nb", " ", "Ä é;b"]]
+    numbered = [C._numbered([t.encode() for t in texts]) for texts in lots]
+    monkeypatch.setattr(C, "_LOWER", None)
+    words, gram = C._merged(numbered)
+    assert len(set(words)) == len(words)
+    got = [[]]
+    for i in gram:
+        got[-1].append(words[i].decode()) if i >= 0 else got.append([])
+    want = [piece.split() for texts in lots for t in texts for piece in re.split("[.,;:!?\n]", t.replace("A", "a"))]
+    assert [p for p in got if p] == [p for p in want if p]
+    import numpy as np
+
+    since = {k: np.zeros(16, "uint8") for k in (1, 2, 3)}
+    counts = {p: n for _, phrases, ns, *_ in C._counted("en", numbered, 0, 2, [1, 2], since) for p, n in zip(phrases.to_pylist(), ns.tolist(), strict=True)}
+    assert counts[b"b"] == 4 and counts[b"e e"] == 1 and counts[b"c a"] == 1 and b"b b" not in counts

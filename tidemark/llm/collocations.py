@@ -7,6 +7,7 @@ its count is exact though lengths are counted side by side. The start of a longe
 The steps are remembered in a table of fixed size (SLOTS entries a length, by a hash of the phrase): a slot has the first step after which any of its
 phrases was frequent. Phrases that share a slot with a frequent one start some longer phrases too many and none too few, and as a slot never changes
 its step, these too are counted through exactly one cycle; their own counts show that they are rare. So every task knows what to count and no phrase has to be joined.
+Texts are cut into words once: what is scanned are lots of texts of one language, as the lot's words and their numbers in order.
 A scan's counts are merged with those of phrases in the midst of their cycle; a phrase leaves at the end of its cycle, with its count or, if rare, without trace.
 
 A text is in lower case (A-Z only) and cut at [.,;:!?\x0A-\x0D] into pieces and at [\x20\x09] into words; phrases lie within pieces. All counts are by language. A
@@ -24,8 +25,8 @@ from tidemark.llm.common import keep, sized, table
 
 #: Words of a phrase at most, its least count, the share of its count (in hundredths) from which a longer phrase replaces it.
 LONGEST, LEAST, COVER = 4, 30, 80
-#: Shards of a cycle; entries of a length's table of steps; bytes of text that are counted at once.
-SHARDS, SLOTS, CHUNK = 2, 1 << 22, 6_000_000
+#: Shards of a cycle; entries of a length's table of steps; bytes of text above which a text is cut; bytes of a lot of texts; words of a language that are counted at once.
+SHARDS, SLOTS, CHUNK, LOT, COUNTED = 2, 1 << 22, 6_000_000, 2_000_000, 1_000_000
 #: The step of what is not frequent.
 _NEVER = 255
 
@@ -36,8 +37,35 @@ _MARK = b"\xff"
 _LOWER = bytes(ord(_MARK) if b in _ENDS else ord(" ") if b in _BLANKS else b + 32 if 65 <= b <= 90 else b for b in range(256))
 
 
-def _counted(lang: str, texts: list[bytes], step: int, cycle: int, live: list[int], since):
-    """Counts of one language's texts: (k, phrases, counts, slots, starts) for each length k in live.
+def _numbered(texts: list[bytes]) -> tuple[bytes, bytes, int]:
+    """A lot: its words, parted by blanks, the number of the word at each place, compressed, -1 where a piece ends, and how many places there are."""
+    import numpy as np
+    import pyarrow as pa
+
+    numbers = _Numbers({_MARK: -1})
+    numbers.next = 0
+    words = _MARK.join(texts).translate(_LOWER).replace(_MARK, b" \xff ").split(b" ")
+    gram = np.fromiter(map(numbers.__getitem__, filter(None, words)), "int32")
+    return b" ".join(list(numbers)[1:]), pa.compress(gram.tobytes(), "zstd", asbytes=True), len(gram)
+
+
+def _merged(lots: list[tuple[bytes, bytes, int]]):
+    """The words of lots and the number of the word at each place, as one lot."""
+    import numpy as np
+    import pyarrow as pa
+
+    numbers = _Numbers()
+    numbers.next = 0
+    grams = []
+    for words, gram, places in lots:
+        # The last entry is that of -1.
+        own = np.fromiter(map(numbers.__getitem__, words.split(b" ") if words else []), "int64")
+        grams += [np.append(own, -1)[np.frombuffer(pa.decompress(gram, 4 * places, "zstd"), "int32")], np.array([-1])]
+    return list(numbers), np.concatenate(grams)
+
+
+def _counted(lang: str, lots: list[tuple[bytes, bytes, int]], step: int, cycle: int, live: list[int], since):
+    """Counts of one language's lots: (k, phrases, counts, slots, starts) for each length k in live.
 
     since[k] holds the first step of each slot for phrases of k words.
     """
@@ -47,12 +75,7 @@ def _counted(lang: str, texts: list[bytes], step: int, cycle: int, live: list[in
     import pyarrow.compute as pc
     import xxhash
 
-    numbers = _Numbers({_MARK: -1})
-    numbers.next = 0
-    words = _MARK.join(texts).translate(_LOWER).replace(_MARK, b" \xff ").split(b" ")
-    gram = np.fromiter(map(numbers.__getitem__, filter(None, words)), "int64")  # the number of the phrase that starts here, or -1
-    del words
-    text = list(numbers)[1:]
+    text, gram = _merged(lots)  # the number of the phrase that starts here, or -1
     label = xxhash.xxh3_64_intdigest(lang.encode()) & 0xFFFFFFFF
     hashed = np.array([xxhash.xxh3_64_intdigest(w, seed=label) for w in text], "uint64")
     text = pa.array(text, pa.binary())
@@ -114,8 +137,39 @@ def _pieces(text: bytes):
     yield text[at:]
 
 
-def _scan(texts: DataFrame, step: int, cycle: int, live: list[int], filled, slots: int) -> DataFrame:
-    """k, lang, phrase, n, slot, start: what is counted at this step, by chunks of text. filled is a broadcast of (slots, steps) by length."""
+def _lots(texts: DataFrame) -> DataFrame:
+    """lang, shard, words, gram, places: texts of one language and shard in lots of about LOT bytes, as _numbered gives them."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        waiting: dict[tuple[str, int], list[bytes]] = {}
+        size: dict[tuple[str, int], int] = {}
+
+        def lot(key: tuple[str, int]):
+            size.pop(key)
+            words, gram, places = _numbered(waiting.pop(key))
+            columns = [pa.array([key[0]], pa.string()), pa.array([key[1]], pa.int32()), pa.array([words], pa.binary()), pa.array([gram], pa.binary()), pa.array([places], pa.int64())]
+            return pa.RecordBatch.from_arrays(columns, ["lang", "shard", "words", "gram", "places"])
+
+        for batch in batches:
+            for *key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
+                key = tuple(key)
+                for piece in _pieces(_clean(text.as_py())):
+                    waiting.setdefault(key, []).append(piece)
+                    size[key] = size.get(key, 0) + len(piece) + 1
+                    if size[key] > LOT:
+                        yield lot(key)
+                    elif sum(size.values()) > 2 * CHUNK:  # many languages
+                        yield lot(max(size, key=size.get))
+        for key in list(waiting):
+            yield lot(key)
+
+    return texts.select("lang", "shard", "text").mapInArrow(run, "lang string, shard int, words binary, gram binary, places long")
+
+
+def _scan(lots: DataFrame, step: int, cycle: int, live: list[int], filled, slots: int) -> DataFrame:
+    """k, lang, phrase, n, slot, start: what is counted at this step, by lots of a language. filled is a broadcast of (slots, steps) by length."""
 
     def run(batches):
         import numpy as np
@@ -124,7 +178,7 @@ def _scan(texts: DataFrame, step: int, cycle: int, live: list[int], filled, slot
         since = {k: np.full(slots, _NEVER, "uint8") for k in range(1, max(live) + 1)}
         for k, (slot, first) in filled.value.items():
             since[k][slot] = first
-        waiting: dict[str, list[bytes]] = {}
+        waiting: dict[str, list[tuple[bytes, bytes, int]]] = {}
         size: dict[str, int] = {}
 
         def counted(lang: str):
@@ -135,18 +189,17 @@ def _scan(texts: DataFrame, step: int, cycle: int, live: list[int], filled, slot
                     yield pa.RecordBatch.from_arrays([c.slice(at, 100_000) for c in columns], ["k", "lang", "phrase", "n", "slot", "start"])
 
         for batch in batches:
-            for lang, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                for piece in _pieces(_clean(text.as_py())):
-                    waiting.setdefault(lang, []).append(piece)
-                    size[lang] = size.get(lang, 0) + len(piece) + 1
-                    if size[lang] > CHUNK:
-                        yield from counted(lang)
-                    elif sum(size.values()) > 2 * CHUNK:  # many languages
-                        yield from counted(max(size, key=size.get))
+            for lang, words, gram, places in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2), batch.column(3).to_pylist(), strict=True):
+                waiting.setdefault(lang, []).append((words.as_py(), gram.as_py(), places))
+                size[lang] = size.get(lang, 0) + places
+                if size[lang] > COUNTED:
+                    yield from counted(lang)
+                elif sum(size.values()) > 2 * COUNTED:  # many languages
+                    yield from counted(max(size, key=size.get))
         for lang in list(waiting):
             yield from counted(lang)
 
-    got = texts.select("lang", "text").mapInArrow(run, "k int, lang string, phrase binary, n long, slot int, start int")
+    got = lots.select("lang", "words", "gram", "places").mapInArrow(run, "k int, lang string, phrase binary, n long, slot int, start int")
     return got.withColumn("phrase", F.col("phrase").cast("string"))
 
 
@@ -171,7 +224,9 @@ def _cycles(spark, docs: DataFrame, text_col: str, lang_col: str, longest: int,
     import numpy as np
 
     texts = docs.select(F.coalesce(F.col(lang_col), F.lit("und")).alias("lang"), F.col(text_col).cast("binary").alias("text")).where("text is not null")
-    texts = keep(texts.withColumn("shard", F.pmod(F.monotonically_increasing_id(), F.lit(shards)).cast("int")), "texts", partitionBy="shard", compression="zstd")
+    lots = _lots(texts.withColumn("shard", F.pmod(F.monotonically_increasing_id(), F.lit(shards)).cast("int")))
+    # Rows of megabytes: pages are written row by row, not by the hundred.
+    lots = keep(lots, "lots", partitionBy="shard", compression="zstd", **{"parquet.page.size.row.check.min": 1})
     since = {k: np.full(slots, _NEVER, "uint8") for k in range(1, longest)}
     amid, ended, sizes = None, [], []
     step, until = 0, [0, shards] + [0] * (longest - 1)  # until[k]: phrases of k words may be counted before this step
@@ -179,7 +234,7 @@ def _cycles(spark, docs: DataFrame, text_col: str, lang_col: str, longest: int,
         live = [k for k in range(1, longest + 1) if step < until[k]]
         filled = {k: (np.nonzero(s != _NEVER)[0].astype("int32"), s[s != _NEVER]) for k, s in since.items() if k < max(live)}
         sent = spark.sparkContext.broadcast(filled)
-        counts = _scan(texts.where(F.col("shard") == step % shards), step, shards, live, sent, slots)
+        counts = _scan(lots.where(F.col("shard") == step % shards), step, shards, live, sent, slots)
         total = (counts if amid is None else amid.unionByName(counts)).groupBy("k", "lang", "phrase", "slot", "start").agg(F.sum("n").alias("n"))
         over = F.col("start") + shards - 1 <= step
         # Rare words of a finished cycle are left with their numbers only, for the size of a language.
