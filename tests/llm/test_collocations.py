@@ -62,6 +62,25 @@ def test_phrases_of_late_words_that_share_slots_are_counted_whole(spark):
     assert {(x.lang, tuple(x.phrase.split(" "))): x.n for x in counts.collect()} == {k: v for k, v in f.items() if v >= 12}
 
 
+def test_what_passes_the_driver_does_not_follow_the_phrases(spark, monkeypatch):
+    """Some 50,000 frequent phrases: the slots that they fill come as bits, and the tables of steps go out smaller than their slots."""
+    import pickle
+
+    from pyspark import SparkContext
+    from pyspark.sql.classic.dataframe import DataFrame
+
+    rows = [("en", " ".join(f"w{i}" for i in range(at, at + 40))) for at in range(0, 20_000, 40)] * 2
+    came, went = [], []
+    for name in ("toPandas", "collect"):
+        monkeypatch.setattr(DataFrame, name, lambda self, f=getattr(DataFrame, name): (out := f(self), came.append(len(out)))[0])
+    monkeypatch.setattr(SparkContext, "broadcast", lambda self, value, f=SparkContext.broadcast: (went.append(len(pickle.dumps(value))), f(self, value))[1])
+    counts = C.phrase_counts(spark.createDataFrame(rows, "lang string, text string"), least=2, slots=1 << 16)[0]
+    assert 0 < sum(came) < 100 and 0 < max(went) < 3 << 16
+    monkeypatch.undo()
+    f, _ = by_hand(rows, 3)  # none is that frequent: only the counts are of use
+    assert {(x.lang, tuple(x.phrase.split(" "))): x.n for x in counts.collect()} == f and len(f) > 70_000
+
+
 def test_query_equals_sql(spark, tmp_path):
     import duckdb
 

@@ -27,8 +27,8 @@ from tidemark.llm.common import keep, sized, table
 LONGEST, LEAST, COVER = 4, 30, 80
 #: Shards of a cycle; entries of a length's table of steps; bytes of text above which a text is cut; bytes of a lot of texts; words of a language that are counted at once.
 SHARDS, SLOTS, CHUNK, LOT, COUNTED = 2, 1 << 22, 6_000_000, 2_000_000, 1_000_000
-#: The step of what is not frequent.
-_NEVER = 255
+#: The step of what is not frequent; slots whose bits make a row on their way to the driver.
+_NEVER, _BITS = 255, 1 << 15
 
 # Signs that end a piece, and those that part words.
 _ENDS, _BLANKS = b".,;:!?\n\x0b\x0c\r", b" \t"
@@ -169,15 +169,14 @@ def _lots(texts: DataFrame) -> DataFrame:
 
 
 def _scan(lots: DataFrame, step: int, cycle: int, live: list[int], filled, slots: int) -> DataFrame:
-    """k, lang, phrase, n, slot, start: what is counted at this step, by lots of a language. filled is a broadcast of (slots, steps) by length."""
+    """k, lang, phrase, n, slot, start: what is counted at this step, by lots of a language. filled is a broadcast of the tables of steps by length, compressed."""
 
     def run(batches):
         import numpy as np
         import pyarrow as pa
 
-        since = {k: np.full(slots, _NEVER, "uint8") for k in range(1, max(live) + 1)}
-        for k, (slot, first) in filled.value.items():
-            since[k][slot] = first
+        since = {k: np.full(slots, _NEVER, "uint8") for k in range(1, max(live) + 1) if k not in filled.value}
+        since |= {k: np.frombuffer(pa.decompress(steps, slots, "zstd"), "uint8") for k, steps in filled.value.items()}
         waiting: dict[str, list[tuple[bytes, bytes, int]]] = {}
         size: dict[str, int] = {}
 
@@ -222,6 +221,7 @@ def phrase_counts(docs: DataFrame, text_col: str = "text", lang_col: str = "lang
 
 def _cycles(spark, docs: DataFrame, text_col: str, lang_col: str, longest: int, least: int, shards: int, slots: int) -> tuple[DataFrame, DataFrame]:
     import numpy as np
+    import pyarrow as pa
 
     texts = docs.select(F.coalesce(F.col(lang_col), F.lit("und")).alias("lang"), F.col(text_col).cast("binary").alias("text")).where("text is not null")
     lots = _lots(texts.withColumn("shard", F.pmod(F.monotonically_increasing_id(), F.lit(shards)).cast("int")))
@@ -232,7 +232,7 @@ def _cycles(spark, docs: DataFrame, text_col: str, lang_col: str, longest: int,
     step, until = 0, [0, shards] + [0] * (longest - 1)  # until[k]: phrases of k words may be counted before this step
     while step < max(until):
         live = [k for k in range(1, longest + 1) if step < until[k]]
-        filled = {k: (np.nonzero(s != _NEVER)[0].astype("int32"), s[s != _NEVER]) for k, s in since.items() if k < max(live)}
+        filled = {k: pa.compress(s.tobytes(), "zstd", asbytes=True) for k, s in since.items() if k < max(live)}
         sent = spark.sparkContext.broadcast(filled)
         counts = _scan(lots.where(F.col("shard") == step % shards), step, shards, live, sent, slots)
         total = (counts if amid is None else amid.unionByName(counts)).groupBy("k", "lang", "phrase", "slot", "start").agg(F.sum("n").alias("n"))
@@ -244,15 +244,14 @@ def _cycles(spark, docs: DataFrame, text_col: str, lang_col: str, longest: int,
         ended.append(state.where(over & (F.col("n") >= least)))
         if step == shards - 1:
             sizes = state.where("k = 1").groupBy("lang").agg(F.sum("n").alias("n"))
-        # At most slots rows a length, whatever the corpus.
-        new = state.where((F.col("n") >= least) & (F.col("k") < longest)).select("k", "slot").distinct().toPandas()
-        for k, part in new.groupby("k"):
-            s = since[int(k)]
-            at = part["slot"].to_numpy()
-            at = at[s[at] == _NEVER]
-            s[at] = step + 1
+        # A bit for each slot, whatever the corpus: rows of slots would follow the frequent phrases.
+        new = state.where((F.col("n") >= least) & (F.col("k") < longest)).groupBy("k", F.expr(f"slot div {_BITS}").alias("row"))
+        for k, row, bits in new.agg(F.bitmap_construct_agg(F.col("slot").cast("long") % _BITS)).collect():
+            at = row * _BITS + np.nonzero(np.unpackbits(np.frombuffer(bits, "uint8"), bitorder="little"))[0]
+            at = at[since[k][at] == _NEVER]
+            since[k][at] = step + 1
             if len(at):  # Longer phrases wait for all their parts.
-                until[int(k) + 1 :] = [step + 1 + shards] * (longest - int(k))
+                until[k + 1 :] = [step + 1 + shards] * (longest - k)
         step += 1
     out = ended[0]
     for e in ended[1:]:
